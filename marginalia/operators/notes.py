@@ -235,8 +235,8 @@ def source_metadata_of(content: Column) -> Column:
 METADATA_FIELDS = ["citekey", "author", "year", "source_type", "locator", "evidence_kind"]
 
 
-def note_facts(notes: DataFrame) -> DataFrame:
-    """Everything other jobs need to know about a note, without its text."""
+def note_facts(notes: DataFrame, **extra: Column) -> DataFrame:
+    """Everything other jobs need to know about a note, without its text. ``extra`` columns come from the same scan."""
     facts = let(
         entries(F.col("content")),
         lambda fm: F.struct(
@@ -248,6 +248,7 @@ def note_facts(notes: DataFrame) -> DataFrame:
     return notes.select(
         "path", "ord", "dir", "name", "basename", "ext",
         is_drawing(F.col("path"), F.col("ext")).alias("is_drawing"), F.inline(F.array(facts)),
+        *[value.alias(name) for name, value in extra.items()],
     )
 
 

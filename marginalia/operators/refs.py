@@ -69,18 +69,30 @@ def _explode(notes: DataFrame, pattern: str, found: Column) -> DataFrame:
     return rows.select("path", "ord", "r.*")
 
 
-def line_references(notes: DataFrame) -> DataFrame:
-    """Line and block-range references. One counts only when an even number of back-ticks follows it."""
-    content = F.col("content")
+def _line_target(hit: Column) -> Column:
+    return trim_all(F.when(hit["g4"] != "", hit["g4"]).otherwise(hit["g1"]))
 
-    def target(m: Column) -> Column:
-        h = m["hit"]
-        return trim_all(F.when(h["g4"] != "", h["g4"]).otherwise(h["g1"]))
+
+def line_hits(content: Column) -> Column:
+    """Located line references of one text. One counts only when an even number of back-ticks follows it."""
 
     def counts(m: Column) -> Column:
         after = F.substring(content, m["start"] + F.length(m["hit"]["raw"]) + 1, F.length(content))
         ticks = F.length(after) - F.length(F.replace(after, F.lit("`"), F.lit("")))
-        return (ticks % 2 == 0) & (F.length(target(m)) > 0)
+        return (ticks % 2 == 0) & (F.length(_line_target(m["hit"])) > 0)
+
+    return F.filter(located(content, LINE_REF, 6), counts)
+
+
+def reference_targets(content: Column) -> Column:
+    """Targets of all line and block references of one text."""
+    lines = F.transform(line_hits(content), lambda m: _line_target(m["hit"]))
+    blocks = F.transform(F.regexp_extract_all(content, F.lit(BLOCK_REF), F.lit(1)), trim_all)
+    return F.filter(F.concat(lines, blocks), lambda t: t != "")
+
+
+def line_references(notes: DataFrame) -> DataFrame:
+    content = F.col("content")
 
     def number(a: Column, b: Column) -> Column:
         return F.when(a != "", a).when(b != "", b).try_cast("int")
@@ -88,11 +100,11 @@ def line_references(notes: DataFrame) -> DataFrame:
     def build(m: Column) -> Column:
         h = m["hit"]
         return _reference(
-            content, m, kind=F.when(h["g4"] != "", "block").otherwise("line"), target=target(m),
+            content, m, kind=F.when(h["g4"] != "", "block").otherwise("line"), target=_line_target(h),
             start_line=number(h["g2"], h["g5"]), end_line=number(h["g3"], h["g6"]), block_id=F.lit(None), alias=F.lit(None),
         )
 
-    return _explode(notes, LINE_REF, F.transform(F.filter(located(content, LINE_REF, 6), counts), build))
+    return _explode(notes, LINE_REF, F.transform(line_hits(content), build))
 
 
 def native_block_references(notes: DataFrame) -> DataFrame:
