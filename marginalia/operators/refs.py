@@ -24,9 +24,11 @@ def newline_count(text: Column) -> Column:
 
 def located(content: Column, pattern: str, groups: int) -> Column:
     """Matches of ``pattern`` with their offsets, in the row: the text is cut at the matches and the pieces measured."""
-    hits = F.arrays_zip(*[
-        F.regexp_extract_all(content, F.lit(pattern), F.lit(g)).alias("raw" if g == 0 else f"g{g}") for g in range(groups + 1)
-    ])
+    # one pass over the text; the groups are then taken from the short matches
+    hits = F.transform(
+        F.regexp_extract_all(content, F.lit(pattern), F.lit(0)),
+        lambda raw: F.struct(raw.alias("raw"), *[F.regexp_extract(raw, pattern, g).alias(f"g{g}") for g in range(1, groups + 1)]),
+    )
 
     def place(x: Column) -> Column:
         before = lambda n: F.aggregate(F.slice(x["pieces"], 1, n + 1), F.lit(0), lambda a, p: a + F.length(p))

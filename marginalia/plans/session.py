@@ -16,6 +16,9 @@ def build(app: str = "marginalia", cores: str = "8", shuffle: int = 8) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("MARGINALIA_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        # call-site capture makes long column expressions slow to build
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

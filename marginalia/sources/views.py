@@ -145,9 +145,77 @@ SELECT event_id AS id, ts,
 FROM events
 """
 
+# evidence queries: the second word of every document, searched in its note
+QUERIES = """
+SELECT doc_id AS query_id,
+  'Notes/' || source || '/' || lang || '/doc-' || cast(doc_id AS string)
+    || CASE WHEN doc_id % 40 = 39 THEN '.excalidraw.md' WHEN doc_id % 40 = 38 THEN '.excalidraw' ELSE '.md' END AS path,
+  split_part(text, ' ', 2) AS query,
+  CASE WHEN doc_id % 2 = 0 THEN 'line' ELSE 'paragraph' END AS scope,
+  CASE WHEN doc_id % 3 = 0 THEN 2 ELSE NULL END AS occurrence,
+  CASE WHEN doc_id % 4 = 0 THEN 'block' ELSE 'line' END AS kind,
+  1 + doc_id % 9 AS start_line,
+  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 1 + doc_id % 9 + doc_id % 11 - doc_id % 3 END AS end_line
+FROM documents
+"""
+
+# files of a folder tree before it is tidied up
+FILES = """
+SELECT ord, path,
+  CASE WHEN ord % 9 = 0 THEN '# T' || chr(10) || 'hi' ELSE text || chr(10)
+    || '[next](../doc-' || cast((ord + 8) % 800 AS string) || '.md#top) ![pic](img%20' || cast(ord % 3 AS string) || '.png) '
+    || '[self](doc-' || cast(ord AS string) || '.md) [web](https://example.org/a) [up](../../' || source || '/doc-'
+    || cast(ord AS string) || '.md) #ff00aa see https://example.org/x#frag and #root/abc1' || chr(10) END AS content
+FROM (
+  SELECT doc_id AS ord, text, source,
+    CASE doc_id % 8
+      WHEN 0 THEN 'Journals/Log/Daily/' || cast(2020 + doc_id % 4 AS string) || '/' || cast(1 + doc_id % 12 AS string) || ' - Month/'
+        || cast(1 + doc_id % 28 AS string) || ' - day ' || cast(doc_id % 5 AS string) || '/doc-' || cast(doc_id AS string) || '.md'
+      WHEN 1 THEN 'Import/root/' || CASE doc_id % 3 WHEN 0 THEN 'Tech_note' WHEN 1 THEN 'Tech.old' ELSE 'Other' END || '/' || source || '/doc-'
+        || cast(doc_id AS string) || '.md'
+      WHEN 2 THEN 'Knowledge/Tech/' || source || '/part  one/' || lang || '/doc-' || cast(doc_id AS string) || '.md'
+      WHEN 3 THEN 'Knowledge/Tech/' || source || '/doc-' || cast(doc_id AS string) || '.md'
+      WHEN 4 THEN 'Misc/' || source || '/' || lang || cast(doc_id AS string) || '/2.md'
+      WHEN 5 THEN 'Misc/' || source || '/_keep-' || cast(doc_id AS string) || '.md'
+      WHEN 6 THEN 'Import/root/' || CASE WHEN doc_id % 3 = 0 THEN 'Demo_' ELSE 'Deep-' END || cast(doc_id AS string) || '/' || source || '/page.html'
+      ELSE 'Archive/' || source || '/' || lang || '/old/doc-' || cast(doc_id AS string) || '.md' END AS path
+  FROM documents
+) f
+"""
+
+# topics: one per brand, whose sources are its works in part order
+TOPICS = """
+SELECT p_brand || CASE WHEN p_size % 2 = 0 THEN ' data governance' ELSE ' intelligent work' END AS topic, p_partkey AS work_no, p_partkey AS pos
+FROM part
+"""
+
+# recogniser results: every sentence of a turn first as its beginning, then as the finished text
+ASR = """
+SELECT conv_id AS session, turn, n, s.is_endpoint, CASE WHEN s.is_endpoint THEN part || ' 在显价值 ' ELSE substr(part, 1, 5) END AS text
+FROM (SELECT conv_id, turn, 1 AS n, split_part(text, '.', 1) AS part FROM conversations
+      UNION ALL SELECT conv_id, turn, 2 AS n, split_part(text, '.', 2) AS part FROM conversations) c
+JOIN (SELECT false AS is_endpoint UNION ALL SELECT true AS is_endpoint) s ON true
+"""
+
+# status polls of artifacts and the jobs that wait for them
+POLLS = """
+SELECT ts, 'nb' || cast(user_id % 20 AS string) AS notebook_id, 'a' || cast(event_id % 400 AS string) AS artifact_id,
+  CASE event_id % 4 WHEN 0 THEN 'report' WHEN 1 THEN 'audio' WHEN 2 THEN 'mind_map' ELSE 'video' END AS type,
+  CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'in_progress' END AS status,
+  cast(event_id % 97 AS string) AS created_at
+FROM events
+"""
+WATCH_JOBS = """
+SELECT DISTINCT 'nb' || cast(user_id % 20 AS string) || '-' || cast(user_id % 3 AS string) AS job_id,
+  'nb' || cast(user_id % 20 AS string) AS notebook_id,
+  CASE user_id % 3 WHEN 0 THEN 'report' WHEN 1 THEN 'audio' ELSE 'infographic' END AS artifact_type, cast(NULL AS string) AS artifact_id
+FROM events
+"""
+
 VIEWS = {
     "v_notes": NOTES, "v_works": WORKS, "v_work_authors": WORK_AUTHORS, "v_work_references": WORK_REFERENCES,
     "v_feed": FEED, "v_comments": COMMENTS, "v_changes": CHANGES,
+    "v_queries": QUERIES, "v_files": FILES, "v_topics": TOPICS, "v_asr": ASR, "v_polls": POLLS, "v_watch_jobs": WATCH_JOBS,
 }
 
 
