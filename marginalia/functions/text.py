@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,21 @@ WORD_END = r"(?![0-9A-Za-z_])"
 ASCII_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
+def planned(build):
+    """Keep the column a zero-argument builder returns: long expressions are built once per gateway, not once per job."""
+    kept: dict[int, Column] = {}
+
+    @functools.wraps(build)
+    def column() -> Column:
+        gateway = id(SparkContext._gateway)
+        if gateway not in kept:
+            kept.clear()
+            kept[gateway] = build()
+        return kept[gateway]
+
+    return column
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it several times in ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)

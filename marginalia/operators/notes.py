@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import (
-    clean_list, collapse, distinct_ci, facet_label, first_filled, is_in, let, trim_all,
+    clean_list, collapse, distinct_ci, facet_label, first_filled, is_in, let, planned, trim_all,
 )
 
 FRONTMATTER = r"^\s*---\n[\s\S]*?\n---\n?"
@@ -58,11 +58,12 @@ def entries(content: Column) -> Column:
 
 def raw_value(pairs: Column, *keys: str) -> Column:
     """Raw text of the first of ``keys`` that is present; the last entry of a repeated key wins."""
+    return _raw_of(pairs, F.array(*[F.lit(k) for k in keys]))
 
-    def last(key: str) -> Column:
-        return F.get(F.reverse(F.filter(pairs, lambda e: e["key"] == key)), F.lit(0))["raw"]
 
-    return F.coalesce(*[let(last(k), lambda r: F.when(~r.isin("null", "~"), r)) for k in keys])
+def _raw_of(pairs: Column, keys: Column) -> Column:
+    found = F.transform(keys, lambda k: F.get(F.reverse(F.filter(pairs, lambda e: e["key"] == k)), F.lit(0))["raw"])
+    return F.get(F.filter(found, lambda r: r.isNotNull() & ~r.isin("null", "~")), F.lit(0))
 
 
 def _unquote(value: Column) -> Column:
@@ -214,30 +215,41 @@ def markup_table(notes: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------------- note facts
 
 
+# fixed values: spellings of the source fields, first present wins
+METADATA_KEYS = {
+    "citekey": ["citekey", "citationKey", "citation_key", "cite_key"],
+    "author": ["author"],
+    "year": ["year", "publication_year", "date"],
+    "source_type": ["entry_type", "itemType", "source_type", "sourceType"],
+    "locator": ["page", "pages", "locator"],
+    "evidence_kind": ["evidence_kind", "evidenceKind", "note_kind"],
+}
+
+
 def source_metadata(pairs: Column) -> Column:
     """Six optional fields with their synonyms; null when none is set."""
+    groups = F.array(*[F.array(*[F.lit(k) for k in keys]) for keys in METADATA_KEYS.values()])
     authors = F.array_join(as_list(raw_value(pairs, "authors", "author")), ", ")
-    fields = {
-        "citekey": as_scalar(raw_value(pairs, "citekey", "citationKey", "citation_key", "cite_key")),
-        "author": F.coalesce(F.when(authors != "", authors), as_scalar(raw_value(pairs, "author"))),
-        "year": as_scalar(raw_value(pairs, "year", "publication_year", "date")),
-        "source_type": as_scalar(raw_value(pairs, "entry_type", "itemType", "source_type", "sourceType")),
-        "locator": as_scalar(raw_value(pairs, "page", "pages", "locator")),
-        "evidence_kind": as_scalar(raw_value(pairs, "evidence_kind", "evidenceKind", "note_kind")),
-    }
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    def fields(found: Column) -> Column:
+        value = {name: F.get(found, F.lit(i)) for i, name in enumerate(METADATA_KEYS)}
+        listed = let(authors, lambda a: F.when(a != "", a))
+        value["author"] = F.coalesce(listed, value["author"])
+        return F.struct(*[v.alias(name) for name, v in value.items()])
+
+    return let(F.transform(groups, lambda keys: as_scalar(_raw_of(pairs, keys))), fields)
 
 
 def source_metadata_of(content: Column) -> Column:
     return let(entries(content), source_metadata)
 
 
-METADATA_FIELDS = ["citekey", "author", "year", "source_type", "locator", "evidence_kind"]
+METADATA_FIELDS = list(METADATA_KEYS)
 
 
-def note_facts(notes: DataFrame, **extra: Column) -> DataFrame:
-    """Everything other jobs need to know about a note, without its text. ``extra`` columns come from the same scan."""
-    facts = let(
+@planned
+def _facts() -> Column:
+    return let(
         entries(F.col("content")),
         lambda fm: F.struct(
             distinct_ci(as_list(raw_value(fm, "aliases", "alias"))).alias("aliases"),
@@ -245,9 +257,13 @@ def note_facts(notes: DataFrame, **extra: Column) -> DataFrame:
             source_metadata(fm).alias("metadata"),
         ),
     )
+
+
+def note_facts(notes: DataFrame, **extra: Column) -> DataFrame:
+    """Everything other jobs need to know about a note, without its text. ``extra`` columns come from the same scan."""
     return notes.select(
         "path", "ord", "dir", "name", "basename", "ext",
-        is_drawing(F.col("path"), F.col("ext")).alias("is_drawing"), F.inline(F.array(facts)),
+        is_drawing(F.col("path"), F.col("ext")).alias("is_drawing"), F.inline(F.array(_facts())),
         *[value.alias(name) for name, value in extra.items()],
     )
 

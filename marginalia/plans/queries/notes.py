@@ -66,7 +66,7 @@ FROM live WHERE regexp_matches(line, '^#{{1,6}}[ \t]+')
 UNION ALL
 SELECT path, line_no, 'wikilink', trim(v), coalesce(d, '') FROM (
   SELECT path, line_no, unnest(regexp_extract_all(line, '\[\[([^\]\[|#\n]+)(#[^\]|\n]*)?(?:\|([^\]\n]+))?\]\]', 1)) AS v,
-    XX) w
+    unnest(regexp_extract_all(line, '\[\[([^\]\[|#\n]+)(#[^\]|\n]*)?(?:\|([^\]\n]+))?\]\]', 2)) AS d FROM live) w
 UNION ALL
 SELECT path, line_no, 'block', regexp_extract(line, '\s+\^([A-Za-z0-9-]+)\s*$', 1), '' FROM live WHERE regexp_matches(line, '\s+\^([A-Za-z0-9-]+)\s*$')""",
     "v_notes", using=(LINES,))
