@@ -9,7 +9,8 @@ from ..functions import fixed
 from ..functions.text import title_weight, trim_all
 from .skew import top_k
 
-USER = "struct<userId:string,nickname:string,nickName:string,avatar:string>"
+# the payload spells the name in two cases, which a struct cannot hold side by side
+USER = "map<string,string>"
 INTERACT = "struct<liked:boolean,likedCount:string,sharedCount:string,commentCount:string,collectedCount:string,collected:boolean>"
 FEED_ITEM = (
     f"struct<id:string,modelType:string,index:int,noteCard:struct<type:string,displayTitle:string,user:{USER},"

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import html as html_text
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import fixed
 from ..functions.paths import name_of, stem_of, suffix_of
@@ -22,7 +25,11 @@ BLOCKS = (
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 
-@F.pandas_udf("string")
+# executors need no copy of this package: its functions travel by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """Named and numeric character references."""
     return text.map(html_text.unescape, na_action="ignore")

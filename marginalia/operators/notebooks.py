@@ -82,7 +82,9 @@ def normalise_note(title: Column, content: Column) -> Column:
 def normalised_notes(notes: DataFrame) -> DataFrame:
     """Notes with repaired text, conversation id and a free file name. ``notes``: notebook_id, ord, title, content."""
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.lit("Untitled Note"))
-    rows = notes.select("notebook_id", "ord", title.alias("title"), F.explode(F.array(normalise_note(title, F.col("content")))).alias("content"))
+    rows = notes.withColumn("title", title)
+    rows = rows.select("notebook_id", "ord", "title", F.explode(F.array(normalise_note(F.col("title"), F.col("content")))).alias("text"))
+    rows = rows.withColumnRenamed("text", "content")
     found = F.regexp_extract("content", CONVERSATION, 1)
     named = rows.select(
         "notebook_id", "ord", "title", "content", F.when(found != "", found).alias("conversation_id"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,6 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.text import trim_all
 from ..operators.speech import correct, rms
 
+# executors need no copy of this package: its functions travel by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SILENCE_RMS = 0.02
 SILENCE_MS = 800
 MIN_SECONDS = 2.5
