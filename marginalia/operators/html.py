@@ -15,6 +15,7 @@ from ..functions import fixed
 from ..functions.paths import name_of, stem_of, suffix_of
 from ..functions.text import collapse, let, safe_filename, trim_all
 from .migrate import import_links
+from .settle import settle
 
 DROPPED = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>|<\?.*?\?>"
 TOKEN = r"(?s)<[A-Za-z/][^>]*>|[^<]+|<"
@@ -162,7 +163,8 @@ def _tables(rows: DataFrame, key: str) -> DataFrame:
 
 def markdown(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, markdown) for every page, without the title line. A page's tokens are one window group; pages are rows."""
-    b = blocks(pages, key)
+    b = settle(blocks(pages, key))
+    with_cells = b.withColumn("body", trim_all(_spacing(F.col("raw"))))
     body = F.when(F.col("in_pre"), trim_all(F.col("raw"))).otherwise(trim_all(_spacing(F.col("raw"))))
     b = b.withColumn("body", body)
     level = F.when(F.col("tag").isin(*HEADINGS) & ~F.col("closing"), F.substring("tag", 2, 1).cast("int"))
@@ -188,7 +190,6 @@ def markdown(pages: DataFrame, key: str = "page_id") -> DataFrame:
     )
     kind = F.when(F.col("in_item") & ~F.col("in_pre"), "item").otherwise("block")
     rows = b.select(key, "pos", text.alias("text"), kind.alias("kind"), "quote_depth")
-    with_cells = blocks(pages, key).withColumn("body", trim_all(_spacing(F.col("raw"))))
     rows = rows.unionByName(_tables(with_cells, key))
     quoted = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(x == "", ">").otherwise(F.concat(F.lit("> "), x))), "\n")
     rows = rows.withColumn("text", F.when(F.col("quote_depth") > 0, quoted).otherwise(F.col("text")))

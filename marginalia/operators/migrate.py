@@ -10,6 +10,7 @@ from ..functions.paths import decode_link, dir_of, encode_link, name_of, relativ
 from ..functions.text import let, safe_filename, trim_all
 from .notes import FENCE
 from .refs import clamped_range, range_preview
+from .settle import settle
 from .skew import number_within
 
 # ------------------------------------------------------------------------------------------------------ junk report
@@ -101,13 +102,13 @@ def flatten_plan(files: DataFrame, depth: int = 3, skip: tuple[str, ...] = ("Arc
     deep = files.where((F.size(parts) > depth + 1) & ~F.get(parts, F.lit(0)).isin(*skip)).select("path", "ord", parts.alias("p"))
     rel = F.slice("p", depth + 1, F.greatest(F.size("p") - depth, F.lit(0)))
     file_name = F.element_at("p", -1)
+    flat = flat_stem(
+        F.concat(F.slice("p", depth + 1, F.greatest(F.size("p") - depth - 1, F.lit(0))), F.array(stem_of(file_name))), F.array_join(rel, "/")
+    )
     with_stem = deep.select(
-        "path", "ord", F.array_join(F.slice("p", 1, depth), "/").alias("dir"),
-        flat_stem(
-            F.concat(F.slice("p", depth + 1, F.greatest(F.size("p") - depth - 1, F.lit(0))), F.array(stem_of(file_name))),
-            F.array_join(rel, "/"),
-        ).alias("stem"),
-        suffix_of(file_name).alias("suffix"),
+        "path", "ord", F.inline(F.array(F.struct(
+            F.array_join(F.slice("p", 1, depth), "/").alias("dir"), flat.alias("stem"), suffix_of(file_name).alias("suffix")
+        ))),
     )
     there = files.where(F.size(parts) == depth + 1).select(
         dir_of(F.col("path")).alias("dir"), stem_of(name_of(F.col("path"))).alias("stem"), suffix_of(name_of(F.col("path"))).alias("suffix")
@@ -119,17 +120,24 @@ def flatten_plan(files: DataFrame, depth: int = 3, skip: tuple[str, ...] = ("Arc
 
 def journal_name(rel: Column, prefix: Column) -> Column:
     """``2024/3 - March/7 - label/…`` -> ``2024-03-07 label``; other files keep their stem. Prefix first."""
-    parts = F.split(rel, "/")
-    name = F.element_at(parts, -1)
-    stem = stem_of(name)
     two = lambda v: F.when(F.length(v) < 2, F.lpad(v, 2, "0")).otherwise(v)
-    day = F.when(F.size(parts) > 3, F.get(parts, F.lit(2))).otherwise(stem)
-    dated = (F.size(parts) >= 3) & F.get(parts, F.lit(0)).rlike(r"^\d+$") & F.contains(day, F.lit(" - "))
-    month = two(F.substring_index(F.get(parts, F.lit(1)), " - ", 1))
-    number = two(F.substring_index(day, " - ", 1))
-    label = F.substring(day, F.instr(day, " - ") + 3, F.length(day))
-    date = F.concat(F.get(parts, F.lit(0)), F.lit("-"), month, F.lit("-"), number, F.lit(" "), label)
-    return F.concat(prefix, F.when(dated, date).otherwise(stem))
+
+    def build(x: Column) -> Column:
+        p, day = x["parts"], x["day"]
+        dated = (F.size(p) >= 3) & F.get(p, F.lit(0)).rlike(r"^\d+$") & F.contains(day, F.lit(" - "))
+        month = two(F.substring_index(F.get(p, F.lit(1)), " - ", 1))
+        number = two(F.substring_index(day, " - ", 1))
+        label = F.substring(day, F.instr(day, " - ") + 3, F.length(day))
+        date = F.concat(F.get(p, F.lit(0)), F.lit("-"), month, F.lit("-"), number, F.lit(" "), label)
+        return F.concat(prefix, F.when(dated, date).otherwise(x["stem"]))
+
+    def split(p: Column) -> Column:
+        return let(
+            stem_of(F.element_at(p, -1)),
+            lambda s: F.struct(p.alias("parts"), s.alias("stem"), F.when(F.size(p) > 3, F.get(p, F.lit(2))).otherwise(s).alias("day")),
+        )
+
+    return let(let(F.split(rel, "/"), split), build)
 
 
 def journal_plan(files: DataFrame, root: str, target: str, prefix: str = "") -> DataFrame:
@@ -140,7 +148,9 @@ def journal_plan(files: DataFrame, root: str, target: str, prefix: str = "") ->
     )
     rel = F.substring("path", len(root) + 2, 1_000_000)
     rows = inside.select(
-        "ord", "path", F.lit(target).alias("dir"), journal_name(rel, F.lit(prefix)).alias("stem"), suffix_of(name_of(F.col("path"))).alias("suffix")
+        "ord", "path", F.lit(target).alias("dir"), F.inline(F.array(F.struct(
+            journal_name(rel, F.lit(prefix)).alias("stem"), suffix_of(name_of(F.col("path"))).alias("suffix")
+        ))),
     )
     there = files.where(dir_of(F.col("path")) == target).select(
         F.lit(target).alias("dir"), stem_of(name_of(F.col("path"))).alias("stem"), suffix_of(name_of(F.col("path"))).alias("suffix")
@@ -405,14 +415,15 @@ def reorganise(
     Steps run in order on the paths that earlier steps left: root examples, inbox notes, imported clusters, journals, flattening,
     junk. Only paths, lengths and ids travel; the text is measured once at the start.
     """
-    state = files.select(F.col("ord"), F.col("path").alias("origin"), "path", F.inline(F.array(note_lengths(F.col("content")))))
+    state = settle(files.select(F.col("ord"), F.col("path").alias("origin"), "path", F.inline(F.array(note_lengths(F.col("content"))))))
     plans = []
 
     def apply(step: int, moves: DataFrame) -> None:
         """``moves``: (ord, op, new_path, reason)."""
         nonlocal state
         named = moves.select("ord", "op", "new_path", "reason")
-        joined = state.join(named, "ord", "left")
+        # every later step reads this state several times
+        joined = settle(state.join(named, "ord", "left"))
         plans.append(
             joined.where("op is not null").select(
                 F.lit(step).alias("step"), "op", F.col("path").alias("src"), F.col("new_path").alias("dst"), "reason", F.col("origin").alias("path")
