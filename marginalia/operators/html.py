@@ -67,6 +67,7 @@ def tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per tag or text. The content root is ``div.ck-content`` when the page has one, else the whole tree."""
     clean = F.regexp_replace("html", DROPPED, "")
     clean = F.regexp_replace(clean, r"(?is)<title[^>]*>.*?</title>", "")
+    clean = F.regexp_replace(clean, r"(?i)<hr\b[^>]*>", "<hr></hr>")
     rows = pages.select(key, F.posexplode(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     tag = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
     rows = rows.withColumns({"tag": tag, "closing": F.col("token").startswith("</")})
@@ -111,6 +112,9 @@ def blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
         "item": last(F.struct("list_depth", "list_info", "item_no", "pos"), is_item),
         "checked_pos": F.max(F.when(checked, F.col("pos"))).over(so_far),
         "href": F.last(F.when((tag == "a") & ~closing, attribute(F.col("token"), "href")), ignorenulls=True).over(so_far),
+        # the outermost list and quote tell which neighbours stay close together
+        "outer_list": F.max(F.when(is_list & (F.col("list_depth") == 1), F.col("pos"))).over(so_far),
+        "outer_quote": F.max(F.when((tag == "blockquote") & ~closing & (F.col("quote_depth") == 1), F.col("pos"))).over(so_far),
         "code_css": F.last(F.when(tag.isin("pre", "code") & ~closing, F.col("css")), ignorenulls=True).over(so_far),
     })
     raw = F.col("token")
@@ -124,13 +128,13 @@ def blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
         .when(tag == "u", F.when(closing, "</u>").otherwise("<u>"))
         .when((tag == "a") & ~closing & (F.col("href") != ""), "[")
         .when((tag == "a") & closing & (F.col("href") != ""), F.concat(F.lit("]("), trim_all(F.col("href")), F.lit(")")))
-        .when((tag == "hr"), "---")
+        .when((tag == "hr") & ~closing, "---")
         .otherwise("")
     )
     t = t.withColumn("mark", mark)
     grouped = t.groupBy(key, "block").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mark"))), lambda x: x["mark"]), "").alias("raw"),
-        F.min(F.struct("pos", "tag", "closing", "list_depth", "quote_depth", "in_pre", "table_depth", "table_pos", "row_pos", "cell_pos", "item")).alias("b"),
+        F.min(F.struct("pos", "tag", "closing", "list_depth", "quote_depth", "in_pre", "table_depth", "table_pos", "row_pos", "cell_pos", "item", "outer_list", "outer_quote")).alias("b"),
         F.max("checked_pos").alias("checked_pos"), F.max_by("code_css", "pos").alias("code_css"),
     )
     return grouped.select(key, "block", unescape("raw").alias("raw"), "b.*", "checked_pos", "code_css")
@@ -158,7 +162,8 @@ def _tables(rows: DataFrame, key: str) -> DataFrame:
     lines = F.transform("rows", line)
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("width")), " | "), F.lit(" |"))
     text = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
-    return table.select(key, F.col("table_pos").alias("pos"), text.alias("text"), F.lit("table").alias("kind"), F.lit(0).alias("quote_depth"))
+    return table.select(key, F.col("table_pos").alias("pos"), text.alias("text"), F.lit("table").alias("kind"), F.lit(0).cast("bigint").alias("quote_depth"),
+                        F.lit(None).cast("int").alias("outer_list"), F.lit(None).cast("int").alias("outer_quote"))
 
 
 def markdown(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -189,19 +194,21 @@ def markdown(pages: DataFrame, key: str = "page_id") -> DataFrame:
         .otherwise(F.col("body"))
     )
     kind = F.when(F.col("in_item") & ~F.col("in_pre"), "item").otherwise("block")
-    rows = b.select(key, "pos", text.alias("text"), kind.alias("kind"), "quote_depth")
+    rows = b.select(key, "pos", text.alias("text"), kind.alias("kind"), "quote_depth", "outer_list", "outer_quote")
     rows = rows.unionByName(_tables(with_cells, key))
     quoted = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(x == "", ">").otherwise(F.concat(F.lit("> "), x))), "\n")
     rows = rows.withColumn("text", F.when(F.col("quote_depth") > 0, quoted).otherwise(F.col("text")))
-    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "text", "kind"))).alias("x"))
+    lists = rows.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "text", "kind", "quote_depth", "outer_list", "outer_quote"))).alias("x")
+    )
+
+    def gap(r: Column, p: Column) -> Column:
+        same_list = (r["kind"] == "item") & (p["kind"] == "item") & (r["outer_list"] == p["outer_list"])
+        same_quote = (r["quote_depth"] > 0) & (p["quote_depth"] > 0) & (r["outer_quote"] == p["outer_quote"])
+        return F.when(same_list, "\n").when(same_quote, "\n>\n").otherwise("\n\n")
+
     joined = F.array_join(
-        F.transform(
-            "x",
-            lambda r, i: F.concat(
-                F.when(i == 0, "").when((r["kind"] == "item") & (F.get("x", F.greatest(i - 1, F.lit(0)))["kind"] == "item"), "\n").otherwise("\n\n"), r["text"]
-            ),
-        ),
-        "",
+        F.transform("x", lambda r, i: F.concat(F.when(i == 0, "").otherwise(gap(r, F.get("x", F.greatest(i - 1, F.lit(0))))), r["text"])), ""
     )
     return pages.select(key).join(lists, key, "left").select(key, F.coalesce(joined, F.lit("")).alias("markdown"))
 
