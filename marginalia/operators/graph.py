@@ -9,7 +9,8 @@ from ..functions.text import trim_all
 from .notes import (
     entries, file_rank, frontmatter_links, note_facts, relation_table, wikilinks,
 )
-from .refs import block_table, preview_table, range_label, references
+from .refs import block_table, line_references, preview_table, range_label, references
+from .settle import settle
 
 
 def target_key(raw: Column) -> Column:
@@ -55,8 +56,6 @@ def raw_links(notes: DataFrame) -> DataFrame:
     links = notes.select(
         "path", F.explode(F.concat(wikilinks(F.col("content")), frontmatter_links(entries(F.col("content"))))).alias("target")
     )
-    from .refs import line_references
-
     return links.unionByName(line_references(notes).select("path", "target")).dropDuplicates(["path", "target"])
 
 
@@ -78,7 +77,8 @@ def resolved_references(notes: DataFrame, facts: DataFrame | None = None) -> Dat
 
 def exact_references(notes: DataFrame) -> DataFrame:
     """Resolved references with context, previews and line spans."""
-    refs = resolved_references(notes)
+    # previews, line spans and blocks all start from the resolved references, which carry no note text
+    refs = settle(resolved_references(notes))
     spans = refs.where("kind <> 'native-block'")
     previews = preview_table(spans, notes)
     lined = spans.join(
@@ -101,9 +101,9 @@ def incoming_references(notes: DataFrame) -> DataFrame:
     return exact_references(notes).where("path <> target_path")
 
 
-def resolved_relations(notes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def resolved_relations(notes: DataFrame, keys: list[str] | None = None, facts: DataFrame | None = None) -> DataFrame:
     """Relation values that name a note."""
-    return resolve(relation_table(notes, keys), note_keys(note_facts(notes)), "target_raw")
+    return resolve(relation_table(notes, keys), note_keys(facts if facts is not None else note_facts(notes)), "target_raw")
 
 
 def dangling(notes: DataFrame) -> DataFrame:
@@ -119,9 +119,10 @@ def dangling(notes: DataFrame) -> DataFrame:
 
 def dashboard(notes: DataFrame, facts: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """Counts per note. Every count is a partial aggregate on its own edge table; drawings have no exact references."""
-    edges = link_edges(notes, facts)
-    refs = resolved_references(notes, facts)
-    relations = resolved_relations(notes)
+    facts = settle(facts)
+    edges = settle(link_edges(notes, facts))
+    refs = settle(resolved_references(notes, facts).select("path", "target_path"))
+    relations = resolved_relations(notes, facts=facts)
     parts = [
         edges.select("path", F.lit("outlinks").alias("what")),
         backlinks(edges).select("path", F.lit("backlinks").alias("what")),
@@ -148,7 +149,7 @@ def dashboard(notes: DataFrame, facts: DataFrame, mentions: DataFrame | None = N
 
 def reference_previews(notes: DataFrame) -> DataFrame:
     """Every reference with title, location label and snippet; unresolved ones are marked missing."""
-    refs = resolve(references(notes), note_keys(note_facts(notes)), how="left")
+    refs = settle(resolve(references(notes), note_keys(note_facts(notes)), how="left"))
     spans = refs.where("kind <> 'native-block' and target_path is not null")
     previews = preview_table(spans, notes).withColumnRenamed("end_line", "p_end")
     blocks = block_table(notes).select(

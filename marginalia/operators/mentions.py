@@ -16,6 +16,7 @@ from ..functions import fixed
 from ..functions.text import ASCII_BOUNDARY, collapse, distinct_ci, has_cjk, let, trim_all
 from .graph import link_edges
 from .notes import note_facts, strip_frontmatter
+from .settle import settle
 from .skew import number_within, top_k
 
 TOKEN = r"[0-9A-Za-z_]+|[^\x00-\x7f\x{3400}-\x{9fff}]+"
@@ -103,12 +104,12 @@ def unlinked_mentions(notes: DataFrame, limit: int = PER_NOTE) -> DataFrame:
     ``limit + 1 + (notes already linking to it)`` mentions of each of its terms to fill its list, because only itself and
     those notes can be skipped; so the mention list of a term is numbered once and each target joins only that head of it.
     """
-    facts = note_facts(notes)
+    facts = settle(note_facts(notes))
     terms = title_terms(facts)
-    hits = mention_hits(notes, terms)
+    hits = settle(mention_hits(notes, terms))
     rank_key = F.shiftleft((F.col("ext") == "excalidraw").cast("bigint"), 62) + F.col("ord")
     numbered = number_within(hits.withColumn("file_order", rank_key), ["term"], "file_order", "place")
-    links = link_edges(notes, facts).select("target_path", F.col("path").alias("source_path")).where("target_path <> source_path")
+    links = settle(link_edges(notes, facts).select("target_path", F.col("path").alias("source_path")).where("target_path <> source_path"))
     linked = links.groupBy("target_path").agg(F.count(F.lit(1)).alias("linked"))
     owners = terms.join(linked, "target_path", "left").withColumn("need", F.coalesce("linked", F.lit(0)) + limit + 1)
     pairs = owners.join(numbered, "term").where("place <= need and path <> target_path").select(

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import distinct_ci, let, trim_all
+from ..functions.text import distinct_ci, trim_all
 from .notes import note_facts, relation_table
+from .settle import settle
 from .skew import top_k
 from .tags import note_tags
 
@@ -55,14 +56,11 @@ def _requests(requests: DataFrame, facts: DataFrame, relations: DataFrame, recen
 def _score(note: dict[str, Column], r: Column) -> Column:
     q = r["q"]
     field_points = F.aggregate(
-        note["fields"], F.lit(0),
-        lambda acc, f: acc + let(
-            F.lower(f),
-            lambda low: F.when(low == q, 100).when(F.contains(low, q), 45).when(F.regexp_like(low, r["loose"]), 25).otherwise(0),
-        ),
+        note["low_fields"], F.lit(0),
+        lambda acc, low: acc + F.when(low == q, 100).when(F.contains(low, q), 45).when(F.regexp_like(low, r["loose"]), 25).otherwise(0),
     )
-    shared = F.size(F.filter(note["tags"], lambda t: F.array_contains(r["tags"], F.lower(t))))
-    related = F.array_contains(r["relations"], F.lower(note["path"])) | F.array_contains(r["relations"], F.lower(note["basename"]))
+    shared = F.size(F.filter(note["low_tags"], lambda t: F.array_contains(r["tags"], t)))
+    related = F.array_contains(r["relations"], note["low_path"]) | F.array_contains(r["relations"], note["low_name"])
     place = F.array_position(r["recent"], note["path"])
     return (
         F.when(q == "", 10).otherwise(field_points) + 8 * shared + F.when(related, 16).otherwise(0)
@@ -81,9 +79,13 @@ def link_candidates(
     and without pairs leaving the row unless they can be listed. A query without text gives every note the same base
     score, so only notes with another reason, and the first ``k`` by title, can reach the list.
     """
-    facts = note_facts(notes)
+    facts = settle(note_facts(notes))
     prepared = _requests(requests, facts, relation_table(notes, fixed.RESEARCH_RELATION_KEYS), recent)
-    fields = search_fields(facts, alias)
+    lower_all = lambda c: F.transform(c, F.lower)
+    fields = settle(search_fields(facts, alias).select(
+        "path", "basename", F.lower("path").alias("low_path"), F.lower("basename").alias("low_name"), lower_all("tags").alias("low_tags"),
+        lower_all("fields").alias("low_fields"),
+    ))
     total = prepared.count()
     blocks = max(1, -(-total // block))
     parts = []
@@ -91,7 +93,7 @@ def link_candidates(
         chunk = prepared.where(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == n) if blocks > 1 else prepared
         listed = json.dumps([r.asDict() for r in chunk.collect()], ensure_ascii=False)
         constant = F.from_json(F.lit(listed), REQUEST)
-        note = {c: F.col(c) for c in ("path", "basename", "tags", "fields")}
+        note = {c: F.col(c) for c in ("path", "low_path", "low_name", "low_tags", "low_fields")}
         scored = F.transform(constant, lambda r: F.struct(r["request_id"].alias("request_id"), r["q"].alias("q"), r["path"].alias("current"), _score(note, r).alias("score")))
         kept = F.filter(scored, lambda s: (s["current"].isNull() | (s["current"] != F.col("path"))) & ((s["q"] == "") | (s["score"] > 0)))
         parts.append(fields.select("path", F.col("basename").alias("title"), F.explode(kept).alias("s")).select("s.request_id", "path", "title", "s.score"))

@@ -233,7 +233,7 @@ def suggest_tags(notes: DataFrame, alias: DataFrame, facet: DataFrame, top: int
     stage = lambda a, b=None, c=None: F.struct(
         F.lit(a).alias("a"), (b if b is not None else F.lit(0)).cast("int").alias("b"), (c if c is not None else F.lit(0)).cast("int").alias("c")
     )
-    known = tag_statistics(facts).select("tag", "count")
+    known = settle(tag_statistics(facts).select("tag", "count"))
     related = alias_closure(known.select("tag"), alias)
     known_words = known.select("tag", "count", F.col("tag").alias("phrase")).unionByName(
         related.join(known, "tag").select("tag", "count", F.col("related").alias("phrase"))
@@ -245,7 +245,8 @@ def suggest_tags(notes: DataFrame, alias: DataFrame, facet: DataFrame, top: int
         F.col("canonical").alias("tag"), F.explode(F.concat(F.array("canonical"), "aliases")).alias("phrase")
     )
     phrases = known_words.select("phrase").unionByName(facet_words.select("phrase")).unionByName(alias_words.select("phrase"))
-    hits = phrase_hits(source_texts(notes, facts, ctx), phrases)
+    # three streams read the hits; they are a few short rows per note
+    hits = settle(phrase_hits(source_texts(notes, facts, ctx), phrases))
     bonus = F.lit(fixed.FACET_BONUS_OTHER)
     for name, value in fixed.FACET_BONUS.items():
         bonus = F.when(F.col("facet") == name, value).otherwise(bonus)
