@@ -13,15 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import ASCII_BOUNDARY, collapse, distinct_ci, has_cjk, let, trim_all
+from ..functions.text import ASCII_BOUNDARY, WORD_END, WORD_START, collapse, distinct_ci, has_cjk, let, trim_all
 from .graph import link_edges
 from .notes import note_facts, strip_frontmatter
 from .settle import settle
-from .skew import number_within, top_k
+from .skew import maybe_broadcast, number_within, top_k
 
 TOKEN = r"[0-9A-Za-z_]+|[^\x00-\x7f\x{3400}-\x{9fff}]+"
 MAX_GRAM = 4
 PER_NOTE = 8
+BROADCAST_TERMS = 200_000
 
 
 def title_terms(facts: DataFrame) -> DataFrame:
@@ -41,25 +42,22 @@ def _term_key(term: Column) -> Column:
 def _text_grams(body: Column, sizes: list[tuple[str, int]]) -> Column:
     """Distinct n-grams of a text, only of the sizes that occur among the keys."""
 
-    def words(n: int) -> Column:
-        def join(tokens: Column) -> Column:
-            last = F.size(tokens) - n + 1
-            grams = F.transform(
-                F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " ")
-            )
-            return F.when(last >= 1, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
-
-        lowered = F.regexp_extract_all(F.lower(body), F.lit(TOKEN), F.lit(0))
-        return let(lowered if n > 1 else F.array_distinct(lowered), join if n > 1 else lambda t: t)
+    def words(tokens: Column, n: int) -> Column:
+        grams = tokens
+        for k in range(1, n):
+            rest = F.slice(tokens, k + 1, F.greatest(F.size(tokens) - k, F.lit(0)))
+            # the shorter side pads with null, which makes the unfinished grams at the end null
+            grams = F.zip_with(grams, rest, lambda a, t: F.concat(a, F.lit(" "), t))
+        return F.array_compact(F.array_distinct(grams))
 
     def chars(n: int) -> Column:
         return F.array_distinct(F.regexp_extract_all(body, F.lit(f"(?=([{fixed.CJK}]{{{n}}}))"), F.lit(1)))
 
-    parts = []
-    for fam, n in sizes:
-        grams = words(n) if fam == "w" else chars(n)
-        parts.append(F.transform(grams, functools.partial(_tag, fam, n)))
-    return F.concat(*parts)
+    def collect(tokens: Column) -> Column:
+        parts = [F.transform(words(tokens, n) if fam == "w" else chars(n), functools.partial(_tag, fam, n)) for fam, n in sizes]
+        return F.concat(*parts)
+
+    return let(F.regexp_extract_all(F.lower(body), F.lit(TOKEN), F.lit(0)), collect)
 
 
 def _tag(family: str, size: int, gram: Column) -> Column:
@@ -69,7 +67,10 @@ def _tag(family: str, size: int, gram: Column) -> Column:
 def first_position(text: Column, term: Column) -> Column:
     """1-based place of the first mention, 0 when there is none. CJK terms match anywhere, others as whole words."""
     escaped = F.regexp_replace(term, r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    pattern = F.concat(F.lit("(?i)" + ASCII_BOUNDARY), escaped, F.lit(ASCII_BOUNDARY))
+    # the plain look-around is enough for an edge that is an ASCII word character
+    start = F.when(term.rlike("^[0-9A-Za-z_]"), WORD_START).otherwise(ASCII_BOUNDARY)
+    end = F.when(term.rlike("[0-9A-Za-z_]$"), WORD_END).otherwise(ASCII_BOUNDARY)
+    pattern = F.concat(F.lit("(?i)"), start, escaped, end)
     return F.when(has_cjk(term), F.instr(text, term)).otherwise(F.regexp_instr(text, pattern))
 
 
@@ -89,7 +90,8 @@ def mention_hits(notes: DataFrame, terms: DataFrame) -> DataFrame:
     if not sizes:
         sizes = [("w", 1)]
     grams = notes.select("path", F.explode(_text_grams(body, sorted(sizes))).alias("g")).select("path", "g.*")
-    candidates = grams.join(keyed, ["family", "size", "gram"]).select("term", "path")
+    # a dictionary that fits is broadcast, so the n-grams of the corpus are not shuffled; a larger one is joined by shuffle
+    candidates = grams.join(maybe_broadcast(keyed, BROADCAST_TERMS), ["family", "size", "gram"]).select("term", "path")
     checked = candidates.join(notes.select("path", "ord", "ext", body.alias("body")), "path")
     at = let(first_position(F.col("body"), F.col("term")), lambda p: F.filter(F.array(p), lambda x: x > 0))
     return checked.select("term", "path", "ord", "ext", "body", F.explode(at).alias("position")).select(

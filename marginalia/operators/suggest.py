@@ -94,15 +94,21 @@ def term_table(notes: DataFrame) -> DataFrame:
 
 
 def keyword_signals(pieces: DataFrame) -> DataFrame:
-    """Weight, occurrences and sources per note and term; folded map-side because a note stays in its partition."""
+    """Weight, occurrences and sources per note and term.
+
+    Sources are gathered as bits, so the aggregate keeps plain numbers, runs as a hash aggregate and folds map-side.
+    """
+    names = sorted(fixed.SOURCE_WEIGHT)
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in fixed.SOURCE_WEIGHT.items() for x in kv]), F.col("source"))
-    rows = pieces.select("path", "source", weight.alias("weight"), F.explode(raw_terms(F.col("text"))).alias("raw"))
+    bit = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, 1 << i)]), F.col("source"))
+    rows = pieces.select("path", weight.alias("weight"), bit.alias("bit"), F.explode(raw_terms(F.col("text"))).alias("raw"))
     named = rows.where(is_candidate(F.col("raw"))).withColumn("term", tag_form(F.col("raw")))
-    kept = named.where(is_candidate(F.col("term")))
-    return kept.groupBy("path", "term").agg(
-        F.sum("weight").cast("bigint").alias("weight"), F.count(F.lit(1)).alias("occurrences"),
-        F.array_sort(F.collect_set("source")).alias("sources"),
+    kept = named.where((F.col("term") == F.col("raw")) | is_candidate(F.col("term")))
+    summed = kept.groupBy("path", "term").agg(
+        F.sum("weight").cast("bigint").alias("weight"), F.count(F.lit(1)).alias("occurrences"), F.bit_or("bit").alias("bits")
     )
+    found = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, n) for i, n in enumerate(names)]))
+    return summed.select("path", "term", "weight", "occurrences", found.alias("sources"))
 
 
 def score_signals(signals: DataFrame) -> DataFrame:
