@@ -191,10 +191,11 @@ FROM part
 
 # recogniser results: every sentence of a turn first as its beginning, then as the finished text
 ASR = """
-SELECT conv_id AS session, turn, n, s.is_endpoint, CASE WHEN s.is_endpoint THEN part || ' 在显价值 ' ELSE substr(part, 1, 5) END AS text
-FROM (SELECT conv_id, turn, 1 AS n, split_part(text, '.', 1) AS part FROM conversations
-      UNION ALL SELECT conv_id, turn, 2 AS n, split_part(text, '.', 2) AS part FROM conversations) c
-JOIN (SELECT false AS is_endpoint UNION ALL SELECT true AS is_endpoint) s ON true
+SELECT session, turn, n, is_endpoint, CASE WHEN is_endpoint THEN part || ' 在显价值 ' ELSE substr(part, 1, 5) END AS text
+FROM (SELECT conv_id AS session, turn, 1 AS n, false AS is_endpoint, split_part(text, '.', 1) AS part FROM conversations
+      UNION ALL SELECT conv_id, turn, 1, true, split_part(text, '.', 1) FROM conversations
+      UNION ALL SELECT conv_id, turn, 2, false, split_part(text, '.', 2) FROM conversations
+      UNION ALL SELECT conv_id, turn, 2, true, split_part(text, '.', 2) FROM conversations) c
 """
 
 # status polls of artifacts and the jobs that wait for them

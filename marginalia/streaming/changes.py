@@ -43,12 +43,11 @@ def must_refresh(changes: DataFrame, dependencies: DataFrame | None) -> DataFram
     dependencies mean it does."""
     plain = changes.where("force or reason <> 'metadata' or size(changed_paths) = 0").withColumn("handle", F.lit(True))
     checked = changes.where("not (force or reason <> 'metadata' or size(changed_paths) = 0)")
-    if dependencies is None:
+    if dependencies is None or not dependencies.take(1):
         return plain.unionByName(checked.withColumn("handle", F.lit(True)))
     hit = checked.select("id", F.explode("changed_paths").alias("path")).join(dependencies.select("path").distinct(), "path", "left_semi").select("id").distinct()
-    empty = dependencies.limit(1).groupBy().agg((F.count(F.lit(1)) == 0).alias("none"))
-    flagged = checked.join(hit.withColumn("hit", F.lit(True)), "id", "left").join(F.broadcast(empty))
-    return plain.unionByName(flagged.withColumn("handle", F.col("hit").isNotNull() | F.col("none")).drop("hit", "none"))
+    flagged = checked.join(hit.withColumn("hit", F.lit(True)), "id", "left")
+    return plain.unionByName(flagged.withColumn("handle", F.col("hit").isNotNull()).drop("hit"))
 
 
 def affected_notes(changed: DataFrame, edges: DataFrame) -> DataFrame:
