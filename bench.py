@@ -1,4 +1,5 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line with the median seconds per query."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line with the seconds per query,
+the median of $BENCH_RUNS runs after one warm-up."""
 
 from __future__ import annotations
 
@@ -21,7 +22,7 @@ HEADLINES = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     wanted = sys.argv[1:] or HEADLINES
     spark = build("bench", cores=cores, shuffle=max(8, int(cores)))
     seconds: dict[str, float] = {}
