@@ -15,6 +15,8 @@ def build(app: str = "marginalia", cores: str = "8", shuffle: int = 8) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("MARGINALIA_DRIVER_MEMORY", "12g"))
+        .config("spark.checkpoint.dir", os.environ.get("MARGINALIA_CHECKPOINTS", "/tmp/marginalia-checkpoints"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         # call-site capture makes long column expressions slow to build
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
