@@ -167,15 +167,15 @@ def _tokens(m: Column) -> Column:
     return F.when(kind == "name", of_name).otherwise(F.array(F.struct(kind.alias("kind"), m.alias("shown"))))
 
 
-def replace_entities(docs: DataFrame, key: str = "marginalia") -> DataFrame:
-    """``docs`` with surrogates in ``text``, all other columns as they were, and a new column n_entities (array of kinds is not kept).
+def replace_entities(docs: DataFrame, key: str = "marginalia", count: str = "n_entities") -> DataFrame:
+    """``docs`` with surrogates in ``text``, all other columns as they were, and the number of found entities in a new column ``count``.
 
-    ``docs`` needs a text column; a column named n_entities is replaced. Null and empty texts stay as they are with n_entities 0. Repeated
+    ``docs`` needs a text column; a column that has the name ``count`` is replaced. Null and empty texts stay as they are with count 0. Repeated
     rows each come back, alike. A family name that a document gives with a title is also replaced where it stands without one. An empty
     table gives an empty result. ``docs`` must give the same rows in the same order when read again, as a Parquet folder does.
     """
     row = "__pii_row"
-    columns = [c for c in docs.columns if c != "n_entities"]
+    columns = [c for c in docs.columns if c != count]
     rows = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn(row, F.monotonically_increasing_id())
     maybe = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False))
     found = settle(rows.where(maybe).select(row, F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)).alias("m")).where(F.size("m") > 0))
@@ -187,7 +187,7 @@ def replace_entities(docs: DataFrame, key: str = "marginalia") -> DataFrame:
     maps = named.groupBy(row, "shown").agg(F.min(F.struct("kind", "new")).alias("x")).groupBy(row).agg(
         F.map_from_entries(F.collect_list(F.struct("shown", "x.new"))).alias("__pii_map"),
         F.collect_set(F.when(F.col("x.kind").startswith("name"), F.col("shown"))).alias("__pii_names"))
-    maps = maps.join(found.select(row, F.size("m").cast("long").alias("n_entities")), row).hint("shuffle_hash")
+    maps = maps.join(found.select(row, F.size("m").cast("long").alias(count)), row).hint("shuffle_hash")
     swap = lambda w: F.coalesce(F.element_at("__pii_map", w), w)
     with_title = lambda m: F.concat(F.regexp_extract(m, r"^([^ ]+ )", 1), F.array_join(F.transform(F.slice(F.split(m, " "), 2, 10), swap), " "))
     pieces, matches = F.split("text", _ANY, -1), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))
@@ -196,6 +196,6 @@ def replace_entities(docs: DataFrame, key: str = "marginalia") -> DataFrame:
     texts = F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("p"), F.transform(matches, lambda m: F.when(_kind(m) == "name", with_title(m)).otherwise(swap(m))).alias("m")), lambda z: F.array(z["p"], F.coalesce(z["m"], F.lit(""))))), "")
     changed = rows.where(maybe).join(maps, row, "left")
     changed = changed.withColumn("__pii_text", F.when(F.col("__pii_map").isNull(), F.col("text")).otherwise(texts)).withColumn("text", F.col("__pii_text"))
-    count = F.coalesce("n_entities", F.lit(0).cast("long")).alias("n_entities")
+    number = F.coalesce(count, F.lit(0).cast("long")).alias(count)
     quoted = [F.col(f"`{c}`") for c in columns]
-    return changed.select(*quoted, count).unionByName(rows.where(~maybe).select(*quoted, F.lit(0).cast("long").alias("n_entities")))
+    return changed.select(*quoted, number).unionByName(rows.where(~maybe).select(*quoted, F.lit(0).cast("long").alias(count)))

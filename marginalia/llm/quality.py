@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .textwords import Block, blocks, mix, separators
 
@@ -117,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return _learn([np.frombuffer(r.bag, np.int32).reshape(-1, 2) for r in got], known, settings)
 
 
-def _scores(table: np.ndarray, constant: float, with_text: bool):
+def _scores(table: np.ndarray, constant: float):
     cuts = separators()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,19 +129,18 @@ def _scores(table: np.ndarray, constant: float, with_text: bool):
                 n = np.bincount(owner, minlength=len(block.rows))
                 total = np.bincount(owner, weights=table[feature], minlength=len(block.rows))
                 out.append(1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + constant, -700, 700))))
-            rest = [batch.column(c) for c in batch.schema.names if with_text or c != "text"]
-            names = [c for c in batch.schema.names if with_text or c != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.concatenate(out))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], names=[*batch.schema.names, SCORE])
 
     return run
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], with_text: bool = False) -> DataFrame:
-    """doc_id and score of every row, 0 to 1, higher for class 1. Null and empty texts get the constant alone."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    schema = f"doc_id {kind}, text string, score double" if with_text else f"doc_id {kind}, score double"
-    return rows.mapInArrow(_scores(*model, with_text), schema)
+SCORE = "__score"
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """All rows and columns of ``docs`` (text is needed) and a column ``SCORE``, 0 to 1, higher for class 1. Null and empty texts get the constant
+    alone."""
+    return docs.mapInArrow(_scores(*model), StructType([*docs.schema.fields, StructField(SCORE, DoubleType())]))
 
 
 def held_out(doc_id: str | Column = "doc_id", parts: int = 3, part: int = 1) -> Column:
@@ -156,5 +156,5 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     empty tables give an empty result.
     """
     seen = labels.select("doc_id", F.col("quality").alias("label")).where(~held_out())
-    scored = score(docs, train(docs, seen, settings))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = score(docs.select("doc_id", F.col("text").cast("string").alias("text")), train(docs, seen, settings))
+    return scored.select("doc_id", held_out().alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"))
