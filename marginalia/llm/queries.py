@@ -73,17 +73,17 @@ OP1_SQL = r"""
 WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 starts AS (SELECT r, i, sha256(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)),
 repeated AS (SELECT h FROM starts GROUP BY h HAVING count(*) > 1),
-gone AS (SELECT r, list(i ORDER BY i) AS at FROM starts JOIN repeated USING (h) GROUP BY r),
-covered AS (SELECT r, list(DISTINCT p) AS p FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM (SELECT r, unnest(at) AS i FROM gone)) GROUP BY r),
+gone AS (SELECT r, list(i ORDER BY i) AS places FROM starts JOIN repeated USING (h) GROUP BY r),
+covered AS (SELECT r, list(DISTINCT p) AS p FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM (SELECT r, unnest(places) AS i FROM gone)) GROUP BY r),
 kept AS (SELECT words.r, list(word ORDER BY i) AS k FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words) words
   LEFT JOIN (SELECT r, unnest(p) AS p FROM covered) c ON c.r = words.r AND c.p = words.i WHERE c.p IS NULL GROUP BY words.r)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(len(k), 0))::BIGINT AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (r)"""
 
 OP3_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2]))::BIGINT AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
