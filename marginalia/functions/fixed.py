@@ -39,7 +39,6 @@ CODE_LIKE = (
 SOURCE_WEIGHT = {"title": 9, "alias": 7, "heading": 8, "reference": 7, "context": 5, "path": 2, "body": 3}
 SOURCE_BONUS = {"title": 10, "heading": 7, "reference": 6, "alias": 5, "context": 4}
 STRONG_SOURCES = ["title", "heading", "reference", "alias"]
-BODY_LINES = 160
 FACET_BONUS = {"topic": 10, "method": 10, "dataset": 10, "writing_stage": 10, "status": 10, "theory": 8, "project": 8}
 FACET_BONUS_OTHER = 6
 

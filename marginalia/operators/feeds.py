@@ -108,7 +108,7 @@ def search_filter(feed: DataFrame, now: Column, sort_by="综合", note_type="不
         rows = rows.where({"已看过": F.col("seen"), "未看过": ~F.col("seen"), "已关注": F.col("followed")}[search_scope])
     if location != "不限":
         rows = rows.where(F.col("place") == ("local" if location == "同城" else "near"))
-    return rows.withColumn("sort_key", F.col(ORDERS[sort_by]).cast("string") if sort_by in ORDERS else F.col("pos").cast("string"))
+    return rows.withColumn("sort_key", F.col(ORDERS.get(sort_by, "pos")))
 
 
 def ordered(rows: DataFrame, sort_by: str) -> DataFrame:

@@ -146,7 +146,7 @@ def journal_plan(files: DataFrame, root: str, target: str, prefix: str = "") ->
         F.col("path").startswith(root + "/") & F.lower(suffix_of(name_of(F.col("path")))).isin(".md", ".html")
         & ~stem_of(name_of(F.col("path"))).isin(*fixed.GENERIC_STEMS)
     )
-    rel = F.substring("path", len(root) + 2, 1_000_000)
+    rel = F.substring("path", F.lit(len(root) + 2), F.length("path"))
     rows = inside.select(
         "ord", "path", F.lit(target).alias("dir"), F.inline(F.array(F.struct(
             journal_name(rel, F.lit(prefix)).alias("stem"), suffix_of(name_of(F.col("path"))).alias("suffix")
@@ -164,7 +164,7 @@ def cluster_moves(files: DataFrame, root: str, mapping: DataFrame, leftovers: st
     The prefix join is an equi join: an entry offers itself and every prefix that ends before a dot or underscore. Entries
     of ``demos`` are deleted, the rest moves to ``leftovers``. ``mapping``: (stem, folder, pos).
     """
-    rel = F.substring("path", len(root) + 2, 1_000_000)
+    rel = F.substring("path", F.lit(len(root) + 2), F.length("path"))
     inside = files.where(F.col("path").startswith(root + "/")).select("path", "ord", rel.alias("rel"))
     child = F.get(F.split("rel", "/"), F.lit(0))
     cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("child"), F.lit(1))), lambda i: F.substring("child", i, F.lit(1)).isin(".", "_"))
@@ -232,7 +232,7 @@ def rewrite_links(files: DataFrame, path_map: DataFrame, html: bool = False) ->
     moved = moved.withColumn("new_path", F.coalesce("new_path", "path"))
     links = _link_rows(texts, pattern).where(~skips(F.col("raw")))
     bare = F.substring_index("raw", "#", 1)
-    anchor = F.when(F.contains("raw", F.lit("#")), F.substring("raw", F.length(bare) + 2, 1_000_000)).otherwise("")
+    anchor = F.when(F.contains("raw", F.lit("#")), F.substring("raw", F.length(bare) + 2, F.length("raw"))).otherwise("")
     links = links.select("path", "n", "raw", anchor.alias("anchor"), decode_link(bare).alias("decoded")).where(~skips(F.col("decoded")))
     links = links.withColumn("old_target", resolve(dir_of(F.col("path")), F.col("decoded")))
     known = files.select(F.col("path").alias("old_target")).unionByName(path_map.select(F.col("old_path").alias("old_target"))).distinct()
@@ -254,7 +254,7 @@ def import_links(pages: DataFrame, path_map: DataFrame) -> DataFrame:
     pattern = MARKDOWN_LINK
     links = _link_rows(pages, pattern).where(~F.col("raw").rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//|#)"))
     bare = F.regexp_extract("raw", r"^[^?#]*", 0)
-    rest = F.substring("raw", F.length(bare) + 1, 1_000_000)
+    rest = F.substring("raw", F.length(bare) + 1, F.length("raw"))
     rooted = decode_link(bare)
     at = F.when(rooted.startswith("/"), F.regexp_replace(rooted, "^/+", "")).otherwise(resolve(dir_of(F.col("path")), rooted))
     links = links.select("path", "n", rest.alias("rest"), at.alias("at"))
@@ -435,7 +435,7 @@ def reorganise(
 
     moved = lambda plan, why: plan.select("ord", F.lit("move").alias("op"), "new_path", F.lit(why).alias("reason"))
     apply(1, state.where(F.col("path").isin(*examples)).select("ord", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("new_path"), F.lit("root-example").alias("reason")))
-    rel = F.substring("path", len(inbox) + 2, 1_000_000)
+    rel = F.substring("path", F.lit(len(inbox) + 2), F.length("path"))
     apply(2, state.where(F.col("path").startswith(inbox + "/")).select(
         "ord", F.lit("move").alias("op"), F.concat(F.lit(inbox_target + "/"), F.regexp_replace(rel, r"^([^/]*)/notes/([^/]*)$", "$1/$2")).alias("new_path"), F.lit("inbox").alias("reason")
     ))

@@ -67,7 +67,7 @@ def _marked(source: str, texts: Column) -> Column:
 def text_pieces(notes: DataFrame, profiles: DataFrame, ctx: DataFrame) -> DataFrame:
     """Weighted texts of every note: (path, source, text). Each term counts once per piece."""
     body = notes.select(
-        "path", F.explode(_marked("body", F.slice(natural_lines(F.col("content")), 1, fixed.BODY_LINES))).alias("p")
+        "path", F.explode(_marked("body", natural_lines(F.col("content")))).alias("p")
     )
     rest = profiles.select(
         "path",
@@ -82,7 +82,7 @@ def text_pieces(notes: DataFrame, profiles: DataFrame, ctx: DataFrame) -> DataFr
 
 def term_table(notes: DataFrame) -> DataFrame:
     """C5 over titles, headings and prose lines: distinct (path, source, term)."""
-    lines = F.slice(natural_lines(F.col("content")), 1, fixed.BODY_LINES)
+    lines = natural_lines(F.col("content"))
     rows = notes.select(
         "path",
         F.explode(F.concat(

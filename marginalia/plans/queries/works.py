@@ -12,7 +12,7 @@ from .common import Query, oracle, plain, view
 
 
 def work_rows(spark, sf):
-    """Works of the part table in the common shape. Author lists hold at most three names."""
+    """Works of the part table in the common shape. An author list holds all suppliers of the part."""
     base = view(spark, sf, "v_works")
     authors = view(spark, sf, "v_work_authors").groupBy("work_no").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "author"))), lambda x: x["author"]).alias("authors")
@@ -264,12 +264,13 @@ def c12(spark, sf):
 
 
 def k1(spark, sf):
-    notes = works.literature_notes(work_rows(spark, sf), "2024-01-01T00:00:00.000Z")
+    notes = works.literature_notes(works.deduplicate(work_rows(spark, sf), "work_no"), "2024-01-01T00:00:00.000Z")
     return plain(notes.select("path", "content"))
 
 
 _J = lambda x: f"to_json({x})::VARCHAR"
-K1 = oracle(f"""WITH f AS (SELECT w.*, coalesce(r.n, 0) AS refs, citation_key AS ck FROM keyed w LEFT JOIN (SELECT work_no, count(*) AS n FROM v_work_references GROUP BY 1) r ON r.work_no = w.work_no)
+K1 = oracle(f"""WITH f AS (SELECT w.*, coalesce(r.n, 0) AS refs, citation_key AS ck FROM keyed w LEFT JOIN (SELECT work_no, count(*) AS n FROM v_work_references GROUP BY 1) r ON r.work_no = w.work_no
+  QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY w.work_no DESC) = 1)
 SELECT '{fixed.LITERATURE_FOLDER}/' || source_key || '.md' AS path, concat_ws(chr(10), '---', 'title: ' || {_J('title')}, 'authors: ' || coalesce({_J('authors')}, '[]'), 'author: ' || {_J('author')},
   'year: ' || {_J('year')}, 'source_id: ' || {_J('source_id')}, 'source_type: "' || CASE WHEN doi <> '' THEN 'doi' ELSE 'arxiv' END || '"', 'entry_type: "journal-article"', 'citekey: ' || {_J('ck')},
   'doi: ' || {_J('doi')}, 'arxiv_id: ' || {_J('arxiv')}, 'openalex_id: ' || {_J('openalex_id')}, 'cited_by_count: ' || cited_by, 'referenced_works: []', 'referenced_works_count: ' || refs,

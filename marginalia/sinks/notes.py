@@ -11,9 +11,12 @@ PREFIX = 2
 def write_notes(notes: DataFrame, target: str, key: str = "path") -> None:
     """K1, K2, K4: rendered notes as a table partitioned by a hash prefix; a rewritten key replaces its old row.
 
-    The new rows of a prefix are merged with the stored ones and only touched prefixes are overwritten.
+    The new rows of a prefix are merged with the stored ones and only touched prefixes are overwritten. Of several new rows with one key the
+    greatest stays (by its other columns, in order).
     """
     spark = notes.sparkSession
+    others = [c for c in notes.columns if c != key]
+    notes = notes.groupBy(key).agg(F.max(F.struct(*others)).alias("row")).select(key, "row.*").select(*notes.columns)
     prefixed = notes.withColumn("prefix", F.substring(F.sha1(F.col(key).cast("binary")), 1, PREFIX))
     writer = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(target)
     if not _exists(spark, target):
@@ -22,7 +25,7 @@ def write_notes(notes: DataFrame, target: str, key: str = "path") -> None:
     from ..operators.settle import settle
 
     fresh = settle(prefixed)
-    stored = spark.read.parquet(target).join(fresh.select("prefix").distinct(), "prefix", "left_semi")
+    stored = spark.read.schema(prefixed.schema).parquet(target).join(fresh.select("prefix").distinct(), "prefix", "left_semi")
     kept = stored.join(fresh.select(key), key, "left_anti").select(*fresh.columns)
     writer(settle(kept.unionByName(fresh)))
 

@@ -24,7 +24,7 @@ def read_notes(spark: SparkSession, root: str, numbered: bool = True) -> DataFra
     ``ord`` is given once by a distributed sort on the path and kept by a checkpoint, so later jobs see the same order.
     """
     files = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,MD,Md,excalidraw}").text(root, wholetext=True)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[mM][dD],[eE][xX][cC][aA][lL][iI][dD][rR][aA][wW]}").text(root, wholetext=True)
         .select(_relative(root).alias("path"), F.col("value").alias("content"))
     )
     files = files.where(is_supported(F.col("path")))

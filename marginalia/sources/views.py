@@ -87,14 +87,14 @@ LEFT JOIN (
 ) s ON s.l_partkey = p.p_partkey
 """
 
-# ordered authors of a work: its first p_partkey % 4 suppliers, so works without an author occur
+# ordered authors of a work: all its suppliers
 WORK_AUTHORS = """
 SELECT a.work_no, a.pos, s.s_name AS author
 FROM (
   SELECT l_partkey AS work_no, l_suppkey, pos FROM (
     SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS pos
     FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) u
-  ) r WHERE pos <= 3 AND pos <= l_partkey % 4
+  ) r
 ) a JOIN supplier s ON s.s_suppkey = a.l_suppkey
 """
 
@@ -159,13 +159,13 @@ SELECT doc_id AS query_id,
 FROM documents
 """
 
-# files of a folder tree before it is tidied up
+# files of a folder tree before it is tidied up, each with a very short one beside it
 FILES = """
 SELECT ord, path,
-  CASE WHEN ord % 9 = 0 THEN '# T' || chr(10) || 'hi' ELSE text || chr(10)
+  text || chr(10)
     || '[next](../doc-' || cast((ord + 8) % 800 AS string) || '.md#top) ![pic](img%20' || cast(ord % 3 AS string) || '.png) '
     || '[self](doc-' || cast(ord AS string) || '.md) [web](https://example.org/a) [up](../../' || source || '/doc-'
-    || cast(ord AS string) || '.md) #ff00aa see https://example.org/x#frag and #root/abc1' || chr(10) END AS content
+    || cast(ord AS string) || '.md) #ff00aa see https://example.org/x#frag and #root/abc1' || chr(10) AS content
 FROM (
   SELECT doc_id AS ord, text, source,
     CASE doc_id % 8
@@ -181,6 +181,9 @@ FROM (
       ELSE 'Archive/' || source || '/' || lang || '/old/doc-' || cast(doc_id AS string) || '.md' END AS path
   FROM documents
 ) f
+UNION ALL
+SELECT 1000000000000 + doc_id, 'Misc/' || source || '/' || lang || '/short-' || cast(doc_id AS string) || '.md', '# T' || chr(10) || 'hi'
+FROM documents
 """
 
 # topics: one per brand, whose sources are its works in part order

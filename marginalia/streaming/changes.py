@@ -83,7 +83,7 @@ def maintain_edges(versions: DataFrame, target: str, checkpoint: str):
         rows = prefixed(edges)
         if _exists(spark, out):
             touched = prefixed(latest.select("path")).select("prefix").distinct()
-            kept = spark.read.parquet(out).join(touched, "prefix", "left_semi").join(latest.select("path"), "path", "left_anti")
+            kept = spark.read.schema(rows.schema).parquet(out).join(touched, "prefix", "left_semi").join(latest.select("path"), "path", "left_anti")
             rows = kept.select(*rows.columns).unionByName(rows)
         settle(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(out)
 

@@ -243,3 +243,17 @@ def test_feeds(spark):
     roll = feeds.comment_rollup(feeds.flatten_comments(d)).first()
     assert (roll.comments, roll.sub_comments, roll.likes, roll.bad_counts) == (1, 1, 3, 1)
     assert note_facts is not None
+
+
+def test_write_notes_with_digits_as_prefix(spark, tmp_path):
+    """Stored prefixes of digits only stay text, and a key that comes twice in a batch is stored once."""
+    import hashlib
+
+    from marginalia.sinks.notes import read_notes_table, write_notes
+
+    keys = [k for k in (f"n{i}.md" for i in range(400)) if hashlib.sha1(k.encode()).hexdigest()[:2].isdigit()][:4]
+    target = str(tmp_path / "digits")
+    write_notes(spark.createDataFrame([(k, "a") for k in keys], "path string, content string"), target)
+    write_notes(spark.createDataFrame([(keys[0], "b"), (keys[0], "c")], "path string, content string"), target)
+    assert {r.path: r.content for r in read_notes_table(spark, target).collect()} == {k: "c" if k == keys[0] else "a" for k in keys}
+    assert read_notes_table(spark, target).count() == len(keys)
