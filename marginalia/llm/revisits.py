@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.settle import settle
+
 # Headers that a "not modified" answer must not change in a stored response.
 NOT_UPDATED = ["content-length", "content-encoding", "content-type", "content-range", "transfer-encoding", "connection", "keep-alive", "te", "trailer", "upgrade", "proxy-authenticate",
                "proxy-authentication-info", "proxy-authorization", "proxy-connection"]
@@ -47,7 +49,7 @@ def resolve(records: DataFrame, slice_seconds: int = 3600) -> DataFrame:
     rows = records.select("record_id", canonical_url(F.col("url")).alias("url"), F.unix_micros(F.col("date").cast("timestamp")).alias("at"), "kind", parse_headers(F.col("headers")).alias("headers"))
     rows = rows.withColumn("slice", F.floor(F.col("at") / (slice_seconds * 1_000_000)))
     response = F.when((F.col("kind") == "response") & F.col("at").isNotNull() & F.col("url").isNotNull(), F.struct("at", F.coalesce("record_id", F.lit(-1)).alias("record_id"), F.map_entries("headers").alias("headers")))
-    rows = rows.withColumn("full", response)
+    rows = settle(rows.withColumn("full", response))  # three branches read it
     inside = Window.partitionBy("url", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     per_slice = rows.where(F.col("full").isNotNull()).groupBy("url", "slice").agg(F.max("full").alias("last"))
     # how far a slice's last response reaches: to the next slice that has one
