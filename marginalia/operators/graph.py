@@ -51,12 +51,16 @@ def resolution_table(notes: DataFrame) -> DataFrame:
     return resolve(raw.distinct(), note_keys(note_facts(notes)), how="left").select("target", "target_path")
 
 
-def raw_links(notes: DataFrame) -> DataFrame:
-    """Wikilinks, frontmatter links and line references as one list of raw targets."""
-    links = notes.select(
+def host_links(notes: DataFrame) -> DataFrame:
+    """Raw targets of the links the host knows itself: wikilinks and frontmatter links."""
+    return notes.select(
         "path", F.explode(F.concat(wikilinks(F.col("content")), frontmatter_links(entries(F.col("content"))))).alias("target")
     )
-    return links.unionByName(line_references(notes).select("path", "target")).dropDuplicates(["path", "target"])
+
+
+def raw_links(notes: DataFrame) -> DataFrame:
+    """Host links and line references as one list of raw targets."""
+    return host_links(notes).unionByName(line_references(notes).select("path", "target")).dropDuplicates(["path", "target"])
 
 
 def link_edges(notes: DataFrame, facts: DataFrame | None = None) -> DataFrame:

@@ -14,15 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import ASCII_BOUNDARY, WORD_END, WORD_START, collapse, distinct_ci, has_cjk, let, trim_all
-from .graph import link_edges
+from .graph import host_links, note_keys, resolve
 from .notes import note_facts, strip_frontmatter
 from .settle import settle
-from .skew import maybe_broadcast, number_within, top_k
+from .skew import number_within, top_k
 
 TOKEN = r"[0-9A-Za-z_]+|[^\x00-\x7f\x{3400}-\x{9fff}]+"
 MAX_GRAM = 4
 PER_NOTE = 8
-BROADCAST_TERMS = 200_000
 
 
 def title_terms(facts: DataFrame) -> DataFrame:
@@ -90,8 +89,8 @@ def mention_hits(notes: DataFrame, terms: DataFrame) -> DataFrame:
     if not sizes:
         sizes = [("w", 1)]
     grams = notes.select("path", F.explode(_text_grams(body, sorted(sizes))).alias("g")).select("path", "g.*")
-    # a dictionary that fits is broadcast, so the n-grams of the corpus are not shuffled; a larger one is joined by shuffle
-    candidates = grams.join(maybe_broadcast(keyed, BROADCAST_TERMS), ["family", "size", "gram"]).select("term", "path")
+    # Spark picks the join by the measured bytes of the dictionary
+    candidates = grams.join(keyed, ["family", "size", "gram"]).select("term", "path")
     checked = candidates.join(notes.select("path", "ord", "ext", body.alias("body")), "path")
     at = let(first_position(F.col("body"), F.col("term")), lambda p: F.filter(F.array(p), lambda x: x > 0))
     return checked.select("term", "path", "ord", "ext", "body", F.explode(at).alias("position")).select(
@@ -100,21 +99,24 @@ def mention_hits(notes: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def unlinked_mentions(notes: DataFrame, limit: int = PER_NOTE) -> DataFrame:
-    """Up to ``limit`` notes per target that mention it without linking to it, in file order.
+    """Up to ``limit`` notes per target that mention it without a host link to it, in file order. A line reference is no such link.
 
     A common title may belong to very many notes and appear in very many texts. A target needs no more than the first
     ``limit + 1 + (notes already linking to it)`` mentions of each of its terms to fill its list, because only itself and
-    those notes can be skipped; so the mention list of a term is numbered once and each target joins only that head of it.
+    those notes can be skipped; so the mention list of a term is numbered once and cut to the largest such head before targets join it.
     """
     facts = settle(note_facts(notes))
     terms = title_terms(facts)
     hits = settle(mention_hits(notes, terms))
     rank_key = F.shiftleft((F.col("ext") == "excalidraw").cast("bigint"), 62) + F.col("ord")
     numbered = number_within(hits.withColumn("file_order", rank_key), ["term"], "file_order", "place")
-    links = settle(link_edges(notes, facts).select("target_path", F.col("path").alias("source_path")).where("target_path <> source_path"))
+    edges = resolve(host_links(notes), note_keys(facts)).where("target_path <> path")
+    links = settle(edges.select("target_path", F.col("path").alias("source_path")).distinct())
     linked = links.groupBy("target_path").agg(F.count(F.lit(1)).alias("linked"))
     owners = terms.join(linked, "target_path", "left").withColumn("need", F.coalesce("linked", F.lit(0)) + limit + 1)
-    pairs = owners.join(numbered, "term").where("place <= need and path <> target_path").select(
+    most = owners.groupBy("term").agg(F.max("need").alias("most"))
+    head = numbered.join(most, "term").where("place <= most").drop("most")
+    pairs = owners.join(head, "term").where("place <= need and path <> target_path").select(
         "target_path", F.col("path").alias("source_path"), "file_order", "term_no", "term", "snippet"
     )
     unlinked = pairs.join(links, ["target_path", "source_path"], "left_anti")

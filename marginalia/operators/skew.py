@@ -38,8 +38,3 @@ def number_within(df: DataFrame, keys: list[str], ord_col: str, name: str = "n")
 def fits(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows. Reads no more than ``limit + 1`` of them."""
     return df.limit(limit + 1).count() <= limit
-
-
-def maybe_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Broadcast hint behind a row count; a larger side keeps its shuffle join."""
-    return F.broadcast(df) if fits(df, limit) else df

@@ -120,12 +120,13 @@ def score_signals(signals: DataFrame) -> DataFrame:
 
 
 def without_redundant(scored: DataFrame) -> DataFrame:
-    """Greedy walk by score; a term falls when an accepted term contains it or is contained in it.
+    """Greedy walk by score, equal scores in Chinese collation; a term falls when an accepted term contains it or is contained in it.
 
     Accepted terms never score lower than the walked one, so the score margins of the rule always hold.
     """
-    item = F.struct((-F.col("score")).alias("minus"), "term", "sources", "occurrences")
-    lists = scored.groupBy("path").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    item = F.struct((-F.col("score")).alias("minus"), F.collate("term", "zh").alias("zh"), "term", "sources", "occurrences")
+    plain = lambda x: F.struct(x["minus"].alias("minus"), x["term"].alias("term"), x["sources"].alias("sources"), x["occurrences"].alias("occurrences"))
+    lists = scored.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(item)), plain).alias("items"))
 
     def step(acc: Column, x: Column) -> Column:
         clash = F.contains(acc["joined"], x["term"]) | F.exists(acc["kept"], lambda a: F.contains(x["term"], a["term"]))

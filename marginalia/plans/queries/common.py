@@ -85,9 +85,11 @@ refs AS (
     UNION ALL SELECT path, ord, content, 'block', raw, target, s, e, NULL, NULL FROM ({_every("open_segs", _RANGE, "raw", "target", "s", "e")}) b
     UNION ALL SELECT path, ord, content, 'native-block', raw, target, NULL, NULL, bid, nullif(al, '') FROM ({_every("whole", _NATIVE, "raw", "target", "bid", "al")}) c) r)"""
 
-LINKS = rf"""links AS (
+LINKS = rf"""host_links AS (
+    SELECT path, trim(unnest(regexp_extract_all({OPEN_BODY}, '\[\[([^\]\[|#\n]+)(#[^\]|\n]*)?(?:\|([^\]\n]+))?\]\]', 1))) AS target FROM v_notes),
+links AS (
   SELECT DISTINCT path, target FROM (
-    SELECT path, trim(unnest(regexp_extract_all({OPEN_BODY}, '\[\[([^\]\[|#\n]+)(#[^\]|\n]*)?(?:\|([^\]\n]+))?\]\]', 1))) AS target FROM v_notes
+    SELECT path, target FROM host_links
     UNION ALL SELECT path, target FROM refs WHERE kind <> 'native-block') l),
 edges AS (SELECT DISTINCT l.path, k.target_path, k.target_basename FROM links l JOIN keys k ON k.key = lower(trim(l.target)))"""
 

@@ -76,7 +76,7 @@ def j5(spark, sf):
 J5 = oracle(f"SELECT DISTINCT target_path, start_line, end_line, {TRIM('array_to_string(list_slice(ls, s0, least(e0, s0 + 5)), chr(10))')} AS preview FROM spans", "v_notes", using=_ALL)
 J6 = oracle("SELECT path, block_id, start_line, end_line, preview FROM blocks", "v_notes", using=_ALL)
 
-_LINKED = "SELECT DISTINCT path, target_path FROM edges WHERE path <> target_path"
+_LINKED = "SELECT DISTINCT l.path, k.target_path FROM host_links l JOIN keys k ON k.key = lower(trim(l.target)) WHERE l.path <> k.target_path"
 J7 = oracle(rf"""WITH terms AS (
   SELECT path AS target_path, basename AS term, 0 AS term_no FROM v_notes UNION ALL SELECT path, 'alias-' || ord, 1 FROM v_notes),
 bodies AS (SELECT path, ord, ext, {BODY} AS body, lower({BODY}) AS low FROM v_notes),

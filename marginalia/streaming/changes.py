@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators.graph import note_keys, raw_links, resolve
+from ..operators.graph import note_keys, raw_links, resolve, target_key
 from ..operators.notes import note_facts
 from ..operators.settle import settle
 
@@ -57,34 +57,43 @@ def affected_notes(changed: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def maintain_edges(versions: DataFrame, target: str, checkpoint: str):
-    """R2 as a stream: new note versions arrive as files; the edges of the changed notes replace their old rows.
+    """R2 as a stream: new note versions arrive as files, and ``target`` keeps the edges of all notes up to date; ``read_edges`` gives them.
 
-    ``versions``: streaming (path, ord, dir, name, basename, ext, content, ts). ``target`` holds edges by hash prefix of the source; a batch
-    rewrites only the prefixes of its notes. The key table comes from the notes seen so far, kept next to the edges.
+    ``versions``: streaming (path, ord, dir, name, basename, ext, content, ts). Three tables hold one row per note: facts, raw link targets
+    and resolved edges, each by hash prefix. A batch resolves its own notes again, and the notes with a raw target whose key now stands
+    for another note. A note without edges keeps a row with an empty list, so no prefix is left behind. Facts are written last: a batch
+    that is repeated after a failure finds the old facts and does the same work.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        from ..sinks.notes import _exists
+        from ..sinks.notes import _exists, read_notes_table, write_notes
 
         spark = batch.sparkSession
         latest = batch.groupBy("path").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "path"]), "ts").alias("v")).select("path", "v.*")
         latest = settle(latest)
-        facts = note_facts(latest).select("path", "ord", "basename", "name", "ext", "aliases")
-        store = f"{target}/facts"
-        if _exists(spark, store):
-            old = spark.read.parquet(store)
-            facts = settle(old.join(latest.select("path"), "path", "left_anti").unionByName(facts))
+        listed = lambda rows, name, to: rows.groupBy("path").agg(F.array_sort(F.collect_set(name)).alias(to))
+        every = lambda notes, rows, name: notes.select("path").join(rows, "path", "left").select("path", F.coalesce(name, F.array().cast("array<string>")).alias(name))
+        fresh = settle(note_facts(latest).select("path", "ord", "basename", "name", "ext", "aliases"))
+        raw = every(latest, listed(raw_links(latest), "target", "targets"), "targets")
+        if _exists(spark, f"{target}/facts"):
+            old = read_notes_table(spark, f"{target}/facts").select(*fresh.columns)
+            keys = settle(note_keys(old.join(latest, "path", "left_anti").unionByName(fresh)))
+            before = note_keys(old).select("key", F.col("target_path").alias("before"))
+            moved = keys.join(before, "key", "full").where(~F.col("target_path").eqNullSafe(F.col("before"))).select("key")
+            others = read_notes_table(spark, f"{target}/links").join(latest, "path", "left_anti").select("path", "targets")
+            asks = others.select("path", F.explode("targets").alias("target")).select("path", target_key(F.col("target")).alias("key"))
+            raw = raw.unionByName(others.join(asks.join(moved, "key", "left_semi"), "path", "left_semi"))
         else:
-            facts = settle(facts)
-        facts.write.mode("overwrite").parquet(store)
-        edges = resolve(raw_links(latest), note_keys(facts)).select("path", "target_path").distinct()
-        prefixed = lambda df: df.withColumn("prefix", F.substring(F.sha1(F.col("path").cast("binary")), 1, 2))
-        out = f"{target}/edges"
-        rows = prefixed(edges)
-        if _exists(spark, out):
-            touched = prefixed(latest.select("path")).select("prefix").distinct()
-            kept = spark.read.schema(rows.schema).parquet(out).join(touched, "prefix", "left_semi").join(latest.select("path"), "path", "left_anti")
-            rows = kept.select(*rows.columns).unionByName(rows)
-        settle(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(out)
+            keys = settle(note_keys(fresh))
+        raw = settle(raw)
+        edges = resolve(raw.select("path", F.explode("targets").alias("target")), keys)
+        write_notes(every(raw, listed(edges, "target_path", "target_paths"), "target_paths"), f"{target}/edges")
+        write_notes(raw, f"{target}/links")
+        write_notes(fresh, f"{target}/facts")
 
     return versions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_edges(spark: SparkSession, target: str) -> DataFrame:
+    """Edges (path, target_path) that ``maintain_edges`` keeps below ``target``."""
+    return spark.read.parquet(f"{target}/edges").select("path", F.explode("target_paths").alias("target_path"))

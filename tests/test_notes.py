@@ -57,10 +57,11 @@ def test_graph_is_transposed_and_dangling(notes):
 
 
 def test_mentions_need_whole_words_and_no_link(notes):
-    n = notes(("art.md", "x"), ("p.md", "about art here"), ("q.md", "party time"), ("r.md", "[[art]] art"), ("治理.md", "y"), ("s.md", "数据治理与art"), ("über.md", "z"), ("t.md", "an über word, xüber"))
+    n = notes(("art.md", "x"), ("p.md", "about art here"), ("q.md", "party time"), ("r.md", "[[art]] art"), ("治理.md", "y"), ("s.md", "数据治理与art"), ("über.md", "z"), ("t.md", "an über word, xüber"), ("u.md", "<<art:1>> and art"))
     rows = {(r.target_path, r.source_path) for r in mentions.unlinked_mentions(n).collect()}
     assert ("art.md", "p.md") in rows and ("治理.md", "s.md") in rows and ("art.md", "s.md") in rows
     assert not {("art.md", "q.md"), ("art.md", "r.md")} & rows
+    assert ("art.md", "u.md") in rows  # a line reference is no link of the host
     # an edge that is not ASCII needs an ASCII word character outside
     assert ("über.md", "t.md") in rows
 

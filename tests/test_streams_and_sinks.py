@@ -101,11 +101,22 @@ def test_edge_maintenance(spark, notes, tmp_path):
     notes(("a.md", "[[a]] none")).withColumn("ts", F.lit(at(9))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(n.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     changes.maintain_edges(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    rows = {(r.path, r.target_path) for r in spark.read.parquet(str(tmp_path / "out/edges")).collect()}
+    rows = {(r.path, r.target_path) for r in changes.read_edges(spark, str(tmp_path / "out")).collect()}
     assert rows == {("a.md", "a.md"), ("b.md", "a.md")}
     assert link_edges(n).count() == 2
 
 
+def test_edge_maintenance_follows_new_notes_and_lost_links(spark, notes, tmp_path):
+    steps = [(("a.md", "[[b]] [[c]]"), ("b.md", "x")), (("c.md", "y"),), (("a.md", "none"),), (("d.md", "[[c]]"),)]
+    want = [{("a.md", "b.md")}, {("a.md", "b.md"), ("a.md", "c.md")}, set(), {("d.md", "c.md")}]
+    for i, (step, edges) in enumerate(zip(steps, want)):
+        n = notes(*step).withColumn("ts", F.lit(at(i)))
+        n.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(n.schema).parquet(str(tmp_path / "in"))
+        changes.maintain_edges(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        assert {(r.path, r.target_path) for r in changes.read_edges(spark, str(tmp_path / "out")).collect()} == edges
+
+
 def test_vault_sources(spark, tmp_path):
     root = tmp_path / "vault"
     (root / "Sub dir").mkdir(parents=True)
@@ -182,6 +193,9 @@ def test_redundant_terms_match_greedy_loop(spark):
         if not any((t in a and b >= s - 2) or (a in t and s <= b + 2) for a, b in kept):
             kept.append((t, s))
     assert sorted((r.term, r.score) for r in suggest.without_redundant(df).collect()) == sorted(kept)
+    # of equal scores the first in Chinese order (guan before shu) stays
+    tied = spark.createDataFrame([("p", t, 20, ["body"], 2) for t in ("数据管理", "管理")], df.schema)
+    assert [r.term for r in suggest.without_redundant(tied).collect()] == ["管理"]
 
 
 def test_link_candidates_match_brute_force(spark, notes):
