@@ -213,7 +213,9 @@ def enrich_by_doi(entries: DataFrame, works: DataFrame) -> DataFrame:
             "cited_by_count", "referenced_works_count", "related_works_count", "concepts",
         )]
     )
-    joined = entries.join(w, "doi", "left")
+    # an entry without a DOI gets a key of its own, which matches nothing: such entries may be most of the table
+    own = F.concat(F.lit("\0"), F.xxhash64("source_id", "title").cast("string"))
+    joined = entries.withColumn("_key", F.coalesce("doi", own)).join(w.withColumnRenamed("doi", "_key"), "_key", "left")
     hit = F.col("w_title").isNotNull()
     doi_wins = lambda c: F.when(hit, F.col(f"w_{c}")).otherwise(F.col(c)).alias(c)
     entry_wins = lambda c: first_filled(F.col(c), F.col(f"w_{c}")).alias(c)
@@ -237,7 +239,10 @@ def pdf_sources(requests: DataFrame, works: DataFrame, entries: DataFrame) -> Da
     ).where("source <> ''")
     by_doi = works.select(c("doi").alias("q_doi"), F.struct(*fields).alias("d"))
     by_arxiv = entries.select(c("arxiv_id").alias("q_arxiv"), F.struct(*fields).alias("a"))
-    joined = q.join(by_doi, "q_doi", "left").join(by_arxiv, "q_arxiv", "left")
+    # a request without an id gets a key of its own, which matches nothing
+    key_of = lambda k: F.when(c(k) != "", c(k)).otherwise(F.concat(F.lit("\0"), c("source")))
+    keyed = q.withColumns({"_doi": key_of("q_doi"), "_arxiv": key_of("q_arxiv")})
+    joined = keyed.join(by_doi.withColumnRenamed("q_doi", "_doi"), "_doi", "left").join(by_arxiv.withColumnRenamed("q_arxiv", "_arxiv"), "_arxiv", "left")
     found = F.when(c("q_doi") != "", c("d")).when(c("q_arxiv") != "", c("a"))
     stem = F.regexp_replace(F.regexp_extract("source", r"([^/]*)/*$", 1), r"\.[^.]+$", "")
     base = joined.select("*", found.alias("f"))

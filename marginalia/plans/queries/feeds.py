@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -32,6 +32,22 @@ A9 = oracle("""SELECT feed_id, pos, note_type, title, user_id, 'N' AS nickname,
   collected_count::BIGINT AS collected_count FROM v_feed""", "v_feed")
 
 
+def a9_details(spark, sf):
+    """Detail maps, one per conversation, written by Spark as JSON and read back as flat comments: the first turn opens the thread."""
+    item = F.struct("turn", "content", "comment_id", "like_count")
+    threads = view(spark, sf, "v_comments").groupBy("thread_no").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    said = lambda x: (x["comment_id"].alias("id"), x["content"].alias("content"), x["like_count"].alias("likeCount"))
+    rest = F.transform(F.slice("all", 2, F.size("all")), lambda x: F.struct(*said(x)))
+    thread = F.struct(*said(F.col("all")[0]), rest.alias("subComments"))
+    detail = F.struct(F.struct(F.lit("T").alias("title")).alias("note"), F.struct(F.array(thread).alias("list")).alias("comments"))
+    payloads = threads.select(F.to_json(F.create_map(F.concat(F.lit("m"), F.col("thread_no").cast("string")), detail)).alias("value"))
+    return plain(feeds.flatten_comments(feeds.feed_details(payloads)).select("note_id", "thread_id", "comment_id", "turn", "like_count", "content"))
+
+
+A9_DETAILS = oracle("""SELECT 'm' || thread_no AS note_id, first_value(comment_id) OVER w AS thread_id, comment_id, row_number() OVER w - 1 AS turn, like_count, content
+FROM v_comments WINDOW w AS (PARTITION BY thread_no ORDER BY turn, content)""", "v_comments")
+
+
 def p6(spark, sf):
     v = view(spark, sf, "v_feed").withColumn("liked_count", feeds.number(F.col("liked_count")))
     now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
@@ -209,6 +225,47 @@ def g17(spark, sf):
 G17 = oracle("SELECT note_type, count(*) AS count FROM v_feed GROUP BY ROLLUP (note_type)", "v_feed")
 
 
+HIT_WORDS = ["the", "of", "data", "ing"]
+
+
+def g13_hits(spark, sf):
+    """Turns as texts recognised at four gain levels."""
+    texts = table(spark, sf, "conversations").select(((F.col("conv_id") + F.col("turn")) % 4 * 10 - 20).alias("gain_db"), "text")
+    return plain(speech.hit_sweep(texts, HIT_WORDS))
+
+
+G13_HITS = f"""SELECT ((conv_id + turn) % 4 * 10 - 20)::BIGINT AS gain_db,
+  sum({" + ".join(f"CASE WHEN contains(text, '{w}') THEN 1 ELSE 0 END" for w in HIT_WORDS)})::BIGINT AS hits, (count(*) * {len(HIT_WORDS)})::BIGINT AS possible
+FROM conversations GROUP BY 1"""
+
+
+def _ingestions(spark, sf):
+    """Ingestion logs: one line per document, some in the other spelling, some without a note path, some no JSON at all."""
+    d = table(spark, sf, "documents").withColumn("k", F.col("doc_id") % 5)
+    path = F.concat(F.lit("Notes/doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    snake = F.to_json(F.struct(path.alias("note_path"), F.lit("updated").alias("status"), F.col("source").alias("source_type"), F.array(F.lit("w"), F.lit("")).alias("warnings")))
+    camel = F.to_json(F.struct(path.alias("notePath"), F.col("source").alias("sourceType"), F.col("lang").alias("title")))
+    none = F.to_json(F.struct(F.lit("failed").alias("status"), F.col("source").alias("source_type")))
+    return d.select(F.when(F.col("k") < 2, snake).when(F.col("k") == 2, camel).when(F.col("k") == 3, none).otherwise("{broken").alias("value"), "doc_id")
+
+
+def p12(spark, sf):
+    rows = semantic.ingestion_results(_ingestions(spark, sf)).select("note_path", "status", "source_type", "title", F.size("warnings").alias("warnings"), "error")
+    return plain(rows)
+
+
+P12 = """SELECT CASE WHEN k < 3 THEN 'Notes/doc-' || doc_id || '.md' END AS note_path, CASE WHEN k < 2 THEN 'updated' WHEN k = 3 THEN 'failed' ELSE 'created' END AS status,
+  CASE WHEN k < 4 THEN source ELSE '' END AS source_type, CASE WHEN k < 2 THEN 'doc-' || doc_id WHEN k = 2 THEN lang END AS title,
+  CASE WHEN k < 2 THEN 1 ELSE 0 END::BIGINT AS warnings, CASE WHEN k > 2 THEN 'invalid-response' END AS error FROM (SELECT *, doc_id % 5 AS k FROM documents) d"""
+
+
+def p12_rollup(spark, sf):
+    return plain(semantic.ingestion_rollup(semantic.ingestion_results(_ingestions(spark, sf))))
+
+
+P12_ROLLUP = f"SELECT status, source_type, count(*) AS notes, sum(warnings)::BIGINT AS warnings FROM ({P12}) r GROUP BY 1, 2"
+
+
 def w2(spark, sf):
     jobs = view(spark, sf, "v_watch_jobs")
     found = view(spark, sf, "v_polls").select("notebook_id", "artifact_id", "type", "status", "created_at")
@@ -284,17 +341,35 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, round(score, 4) AS score FROM r WHERE rank <= 20"""
 
 
-def _levels(df):
-    return df.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.lit(8000).alias("n_samples"), (F.col("value") / 500).alias("rms"))
+def _levels(df, *more):
+    return df.select(*more, F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.lit(8000).alias("n_samples"), (F.col("value") / 500).alias("rms"))
 
 
 def r4(spark, sf):
     """The events file as a stream of half-second audio levels."""
     checkpoint_dir(spark)
-    base = tempfile.mkdtemp(prefix="r4-") if spark.sparkContext.master.startswith("local") else f"{spark.sparkContext.getCheckpointDir()}/r4-{spark.sparkContext.applicationId}-{id(sf)}"
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return plain(sessions.run_available(sessions.silence_segments(_levels(stream)), f"{base}/out", f"{base}/state"))
+    base = f"{spark.sparkContext.getCheckpointDir()}/r4-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events")
+    last = events.groupBy("user_id").agg(F.max("event_id").alias("event_id")).withColumn("ended", F.lit(True))
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    levels = _levels(stream.join(last, ["user_id", "event_id"], "left"), "ended")
+    return plain(sessions.run_available(sessions.silence_segments(levels), f"{base}/out", f"{base}/state"))
+
+
+R4 = """WITH RECURSIVE e AS (
+  SELECT user_id::VARCHAR AS session, event_id AS seq, value / 500 < 0.02 AS quiet, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k,
+    count(*) OVER (PARTITION BY user_id) AS n FROM events),
+s AS (
+  SELECT DISTINCT session, 0::BIGINT AS k, 0::BIGINT AS num, 0::BIGINT AS first_seq, 0::BIGINT AS last_seq, 0::BIGINT AS held, 0::BIGINT AS silence, 0::BIGINT AS pre,
+    NULL::VARCHAR AS reason, 0::BIGINT AS samples, 0::BIGINT AS out_pre FROM e
+  UNION ALL
+  SELECT session, k, num + (reason IS NOT NULL)::BIGINT, first_seq, seq, CASE WHEN reason IS NULL THEN b ELSE 0 END, CASE WHEN reason IS NULL THEN q ELSE 0 END,
+    CASE WHEN reason IS NULL THEN pre WHEN reason <> 'end' AND b > 3200 THEN 3200 ELSE 0 END, reason, b, CASE WHEN reason = 'end' THEN 0 ELSE pre END
+  FROM (SELECT *, CASE WHEN q >= 800 AND b >= 40000 THEN 'silence' WHEN b >= 240000 THEN 'limit' WHEN k = n THEN 'end' END AS reason
+    FROM (SELECT s.session, e.k, e.n, e.seq, s.num, s.pre, s.held + 8000 AS b, CASE WHEN e.quiet THEN s.silence + 500 ELSE 0 END AS q,
+        CASE WHEN s.held = 0 THEN e.seq ELSE s.first_seq END AS first_seq
+      FROM s JOIN e ON e.session = s.session AND e.k = s.k + 1) x) y)
+SELECT session, num AS segment_no, first_seq, last_seq, samples, out_pre AS pre_roll, reason FROM s WHERE reason IS NOT NULL"""
 
 
 def r5(spark, sf):
@@ -325,6 +400,7 @@ QUERIES = {
     "A9_feed_items": Query(a9, A9),
     "A10_vocabulary": Query(a10, A10),
     "A11_corrections": Query(a11, A11),
+    "A9_feed_details": Query(a9_details, A9_DETAILS),
     "P6_feed_filter": Query(p6, P6),
     "P6_filter_options": Query(p6_options, P6_OPTIONS),
     "P7_access_status": Query(p7, P7),
@@ -336,6 +412,9 @@ QUERIES = {
     "G12_recall_summary": Query(g12, G12),
     "G12_recall_items": Query(lambda s, d: plain(speech.term_recall(_recall_rows(s, d))), G12_ITEMS),
     "G13_level_sweep": Query(g13, G13),
+    "G13_hit_sweep": Query(g13_hits, G13_HITS),
+    "P12_ingestion_results": Query(p12, P12),
+    "P12_ingestion_rollup": Query(p12_rollup, P12_ROLLUP),
     "G15_comment_rollup": Query(g15, G15),
     "G16_profile_counts": Query(g16, G16),
     "G17_feed_counts": Query(g17, G17),
@@ -345,7 +424,7 @@ QUERIES = {
     "C17_prompts": Query(c17, C17),
     "E1_nearest_vectors": Query(e1, E1),
     "R3_sentences": Query(r3, R3),
-    "R4_silence_segments": Query(r4),
+    "R4_silence_segments": Query(r4, R4),
     "R5_auto_stop": Query(r5, R5),
     "R6_job_states": Query(r6, R6),
 }

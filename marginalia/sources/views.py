@@ -193,13 +193,16 @@ FROM part
 """
 
 # recogniser results: every sentence of a turn first as its beginning, then as the finished text
-ASR = """
+_ASR = """
 SELECT session, turn, n, is_endpoint, CASE WHEN is_endpoint THEN part || ' 在显价值 ' ELSE substr(part, 1, 5) END AS text
-FROM (SELECT conv_id AS session, turn, 1 AS n, false AS is_endpoint, split_part(text, '.', 1) AS part FROM conversations
-      UNION ALL SELECT conv_id, turn, 1, true, split_part(text, '.', 1) FROM conversations
-      UNION ALL SELECT conv_id, turn, 2, false, split_part(text, '.', 2) FROM conversations
-      UNION ALL SELECT conv_id, turn, 2, true, split_part(text, '.', 2) FROM conversations) c
+FROM (SELECT session, turn, n, part, false AS is_endpoint FROM (SENTENCES) a WHERE part <> ''
+      UNION ALL SELECT session, turn, n, part, true FROM (SENTENCES) b WHERE part <> '') c
 """
+ASR = _ASR.replace("SENTENCES", "SELECT conv_id AS session, turn, pos + 1 AS n, part FROM conversations LATERAL VIEW posexplode(split(text, '[.]')) s AS pos, part")
+ASR_ORACLE = _ASR.replace(
+    "SENTENCES",
+    "SELECT conv_id AS session, turn, unnest(string_split(text, '.')) AS part, generate_subscripts(string_split(text, '.'), 1) AS n FROM conversations",
+)
 
 # status polls of artifacts and the jobs that wait for them
 POLLS = """
@@ -221,6 +224,8 @@ VIEWS = {
     "v_feed": FEED, "v_comments": COMMENTS, "v_changes": CHANGES,
     "v_queries": QUERIES, "v_files": FILES, "v_topics": TOPICS, "v_asr": ASR, "v_polls": POLLS, "v_watch_jobs": WATCH_JOBS,
 }
+# views whose text differs where the oracle's engine unnests another way
+ORACLE_VIEWS = {**VIEWS, "v_asr": ASR_ORACLE}
 
 
 # tables whose rows carry text or vectors: worth spreading when a small file gives a single split
@@ -245,7 +250,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str, *names: str) -> str:
     """Oracle SQL that starts with the named views as common table expressions."""
-    ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    ctes = ", ".join(f"{n} AS ({ORACLE_VIEWS[n]})" for n in names)
     body = sql.strip()
     if body.upper().startswith("WITH "):
         return f"WITH {ctes}, {body[5:]}"

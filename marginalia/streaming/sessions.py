@@ -34,8 +34,9 @@ def sentences(results: DataFrame, corrected: bool = True) -> DataFrame:
 
 
 def chunk_levels(chunks: DataFrame) -> DataFrame:
-    """Audio chunks (session, seq, samples) as (session, seq, n_samples, rms); sample arrays do not travel to the state."""
-    return chunks.select("session", "seq", F.size("samples").alias("n_samples"), rms(F.col("samples")).alias("rms"))
+    """Audio chunks (session, seq, samples and, if known, ended) as (session, seq, n_samples, rms); sample arrays do not travel to the state."""
+    more = [c for c in ("ended",) if c in chunks.columns]
+    return chunks.select("session", "seq", F.size("samples").alias("n_samples"), rms(F.col("samples")).alias("rms"), *more)
 
 
 SEGMENT = "session string, segment_no int, first_seq bigint, last_seq bigint, samples bigint, pre_roll bigint, reason string"
@@ -45,7 +46,7 @@ SEGMENT_STATE = "segment_no int, first_seq bigint, buffered bigint, silence_ms d
 def _cut(session: str, rows: pd.DataFrame, state: tuple, rate: int) -> tuple[list, tuple]:
     number, first, buffered, silence, pre = state
     out = []
-    for seq, n, level in rows.sort_values("seq")[["seq", "n_samples", "rms"]].itertuples(index=False):
+    for seq, n, level, ended in rows.sort_values("seq")[["seq", "n_samples", "rms", "ended"]].itertuples(index=False):
         first = seq if buffered == 0 else first
         buffered += n
         silence = silence + n / rate * 1000 if level < SILENCE_RMS else 0.0
@@ -55,13 +56,20 @@ def _cut(session: str, rows: pd.DataFrame, state: tuple, rate: int) -> tuple[lis
             out.append((session, number, first, seq, buffered, pre, "silence" if quiet else "limit"))
             pre = PRE_ROLL if buffered > PRE_ROLL else 0
             buffered, silence = 0, 0.0
+        if ended:
+            if buffered:
+                number += 1
+                out.append((session, number, first, seq, buffered, 0, "end"))
+            buffered, silence, pre = 0, 0.0, 0
     return out, (number, first, buffered, silence, pre)
 
 
 def silence_segments(levels: DataFrame, rate: int = RATE) -> DataFrame:
     """R4 as a stream: a segment ends after 800 ms of silence once 2.5 s are buffered, or at 15 s; up to 0.2 s are carried over.
+    A chunk whose optional column ``ended`` is true closes the recording: what is buffered is the last segment, without carried samples.
 
-    The cut is greedy, so its state (five numbers) is kept per session; the rows of a session come in micro-batches.
+    The cut is greedy, so its state (five numbers) is kept per session; the rows of a session come in micro-batches, in the order of
+    ``seq`` from batch to batch and in any order inside one.
     """
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -70,7 +78,8 @@ def silence_segments(levels: DataFrame, rate: int = RATE) -> DataFrame:
         state.update(tuple(current))
         yield pd.DataFrame(done, columns=["session", "segment_no", "first_seq", "last_seq", "samples", "pre_roll", "reason"])
 
-    keyed = levels.withColumn("session", F.col("session").cast("string"))
+    ended = F.coalesce("ended", F.lit(False)) if "ended" in levels.columns else F.lit(False)
+    keyed = levels.select(F.col("session").cast("string").alias("session"), "seq", "n_samples", "rms", ended.alias("ended"))
     return keyed.groupBy("session").applyInPandasWithState(run, SEGMENT, SEGMENT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 

@@ -48,8 +48,9 @@ def test_sentences_ignore_partials(spark):
 
 
 def test_silence_stream_equals_loop(spark, tmp_path):
-    rows = [(f"s{k}", i, 8000, 0.5 if (i * (k + 3)) % 7 < 4 else 0.001) for k in range(3) for i in range(90)]
-    df = spark.createDataFrame(rows, "session string, seq long, n_samples int, rms double")
+    # recordings s0 and s1 end, s2 stays open
+    rows = [(f"s{k}", i, 8000, 0.5 if (i * (k + 3)) % 7 < 4 else 0.001, None if i < 89 else k < 2) for k in range(3) for i in range(90)]
+    df = spark.createDataFrame(rows, "session string, seq long, n_samples int, rms double, ended boolean")
     for part in range(3):  # three files in order: state is carried from batch to batch
         df.where(f"seq div 30 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
@@ -58,7 +59,7 @@ def test_silence_stream_equals_loop(spark, tmp_path):
     for k in range(3):
         buffered = silence = pre = number = 0
         first = None
-        for s, i, n, level in [r for r in rows if r[0] == f"s{k}"]:
+        for s, i, n, level, ended in [r for r in rows if r[0] == f"s{k}"]:
             first = i if buffered == 0 else first
             buffered += n
             silence = silence + n / 16 if level < 0.02 else 0
@@ -66,7 +67,10 @@ def test_silence_stream_equals_loop(spark, tmp_path):
                 number += 1
                 want.append((s, number, first, i, buffered, pre))
                 pre, buffered, silence = (3200 if buffered > 3200 else 0), 0, 0
-    assert sorted((r.session, r.segment_no, r.first_seq, r.last_seq, r.samples, r.pre_roll) for r in got.collect()) == sorted(want) and want
+            if ended and buffered:
+                want.append((s, number + 1, first, i, buffered, 0))
+    assert sorted((r.session, r.segment_no, r.first_seq, r.last_seq, r.samples, r.pre_roll) for r in got.collect()) == sorted(want)
+    assert {r.session for r in got.where("reason = 'end'").collect()} <= {"s0", "s1"} and got.where("reason = 'end'").count() > 0
 
 
 def test_auto_stop(spark, tmp_path):
