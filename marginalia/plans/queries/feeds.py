@@ -381,6 +381,19 @@ R5 = """WITH s AS (SELECT user_id AS session, min(ts) AS a, max(ts) AS z FROM ev
 SELECT session, strftime(a, '%Y-%m-%d %H:%M:%S') AS started_at, strftime(a + INTERVAL 28 DAY, '%Y-%m-%d %H:%M:%S') AS stop_at, z >= a + INTERVAL 28 DAY AS stopped FROM s"""
 
 
+def r5_stream(spark, sf):
+    """The events file as a stream: sessions whose countdown ended before the event-time clock (a minute behind the last event)."""
+    checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/r5-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    inputs = stream.select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"))
+    return plain(sessions.run_available(sessions.auto_stop_stream(inputs, 28 * 86400), f"{base}/out", f"{base}/state"))
+
+
+R5_STREAM = """WITH s AS (SELECT user_id::VARCHAR AS session, min(ts) + INTERVAL 28 DAY AS stop_at FROM events GROUP BY 1)
+SELECT session, strftime(stop_at, '%Y-%m-%d %H:%M:%S') AS stop_at FROM s WHERE stop_at < (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE"""
+
+
 def r6(spark, sf):
     polls = view(spark, sf, "v_polls").withColumn("ts", F.date_trunc("day", F.col("ts").cast("timestamp")))
     states = artifacts.poll_states(view(spark, sf, "v_watch_jobs"), polls)
@@ -426,5 +439,6 @@ QUERIES = {
     "R3_sentences": Query(r3, R3),
     "R4_silence_segments": Query(r4, R4),
     "R5_auto_stop": Query(r5, R5),
+    "R5_auto_stop_stream": Query(r5_stream, R5_STREAM),
     "R6_job_states": Query(r6, R6),
 }

@@ -49,9 +49,9 @@ def test_sentences_ignore_partials(spark):
 
 def test_silence_stream_equals_loop(spark, tmp_path):
     # recordings s0 and s1 end, s2 stays open
-    rows = [(f"s{k}", i, 8000, 0.5 if (i * (k + 3)) % 7 < 4 else 0.001, None if i < 89 else k < 2) for k in range(3) for i in range(90)]
+    rows = [(f"s{k}", i, 8000, 0.5 if (i * (k + 3)) % 7 < 4 else 0.001, None if i < 94 else k < 2) for k in range(3) for i in range(95)]
     df = spark.createDataFrame(rows, "session string, seq long, n_samples int, rms double, ended boolean")
-    for part in range(3):  # three files in order: state is carried from batch to batch
+    for part in range(4):  # four files in order: state is carried from batch to batch
         df.where(f"seq div 30 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = sessions.run_available(sessions.silence_segments(stream), str(tmp_path / "out"), str(tmp_path / "state"))
