@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions import fixed
 from ...operators import html, migrate, notebooks, suggest
 from ...operators.settle import settle
 from ...sources import dims
 from ...sources.vault import attachment_flags
 from ...sources.views import table
-from .common import TRIM, Query, on_view, oracle, plain, view
-from .notes import alias_frame
+from .common import OPEN_BODY, TRIM, Query, on_view, oracle, plain, view
+from .notes import NATURAL, alias_frame
 
 
 def _files(spark, sf):
@@ -130,6 +131,32 @@ def c5(spark, sf):
     return plain(suggest.term_table(view(spark, sf, "v_notes")))
 
 
+def _listed(values):
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+C5 = oracle(rf"""WITH {NATURAL},
+p AS (SELECT path, 'title' AS source, basename AS text FROM v_notes UNION ALL SELECT path, 'body', text FROM prose
+  UNION ALL SELECT path, 'heading', unnest(regexp_extract_all({OPEN_BODY}, '(?m)^#{{1,6}}[ \t]+(.*?)[ \t]*#*[ \t]*$', 1)) FROM v_notes),
+low AS (SELECT DISTINCT path, source, lower(text) AS t FROM p), texts AS (SELECT DISTINCT t FROM low),
+runs AS (SELECT t, unnest(regexp_extract_all(t, '[{fixed.CJK}]{{2,24}}')) AS run FROM texts),
+parts AS (SELECT t, run, list_filter(string_split_regex(run, '[{fixed.CJK_SPLIT_CHARS}]'), lambda x: length(x) >= 2) AS l FROM runs),
+blocks AS (SELECT t, unnest(CASE WHEN len(l) > 0 THEN l ELSE [run] END) AS b FROM parts),
+edges AS (SELECT t, b, unnest(range(2, least(CASE WHEN length(b) > 12 THEN 4 ELSE 6 END, length(b)) + 1)) AS k FROM blocks),
+terms AS (SELECT t, trim(unnest(string_split_regex(t, '{fixed.TERM_SPLIT}'))) AS term FROM texts
+  UNION SELECT t, unnest(regexp_extract_all(t, '\b[a-z][a-z-]{{2,}}\b')) FROM texts
+  UNION SELECT t, b FROM blocks WHERE length(b) <= 10 UNION SELECT t, left(b, k) FROM edges UNION SELECT t, right(b, k) FROM edges),
+named AS (SELECT DISTINCT term, length(term) AS n, regexp_matches(term, '^[a-z]') AS latin, len(regexp_extract_all(term, '[{fixed.CJK_FUNCTION_CHARS}]')) AS functional FROM terms),
+good AS (SELECT term FROM named WHERE term <> '' AND NOT regexp_matches(term, '^\d+$') AND regexp_matches(term, '[A-Za-z0-9{fixed.CJK}]')
+  AND NOT (latin AND (n < 3 OR term IN {_listed(fixed.EN_STOPWORDS)} OR term IN {_listed(fixed.NOISY_TOKENS)} OR term IN {_listed(fixed.STRUCTURAL_TOKENS)}))
+  AND NOT (NOT latin AND term IN {_listed(fixed.STRUCTURAL_CJK)})
+  AND NOT regexp_matches(term, '^第[一二三四五六七八九十百千0-9]+[章节部分篇讲]$')
+  AND NOT (regexp_matches(term, '^[a-z][a-z0-9-]{{0,2}}$') AND NOT regexp_matches(term, '^[a-z]\d{{2}}$'))
+  AND NOT (regexp_matches(term, '[{fixed.CJK}]') AND (n < 2 OR n > 12 OR replace(term, left(term, 1), '') = ''
+    OR regexp_matches(term, '^[{fixed.CJK_FUNCTION_CHARS}]|[{fixed.CJK_FUNCTION_CHARS}]$') OR (n <= 3 AND functional > 0) OR functional > floor(n / 3.0))))
+SELECT DISTINCT path, source, term FROM low JOIN terms USING (t) JOIN good USING (term)""", "v_notes")
+
+
 def _pieces(spark, sf):
     v = view(spark, sf, "v_notes")
     profiles = settle(suggest.note_profiles(v))
@@ -230,7 +257,7 @@ QUERIES = {
     "A7_pages_to_markdown": Query(a7),
     "A8_notebook_artifacts": Query(a8, A8),
     "C4_tag_suggestions": Query(c4),
-    "C5_tag_terms": Query(c5),
+    "C5_tag_terms": Query(c5, C5),
     "C14_html_import": Query(c14),
     "C15_reorganisation": Query(c15),
     "G10_keyword_signals": Query(g10),

@@ -84,11 +84,12 @@ P3 = oracle("""SELECT path, chips FROM (SELECT path, concat_ws(' · ', '@' || ci
   replace(replace(source_type, '_', ' '), '-', ' '), replace(replace(evidence_kind, '_', ' '), '-', ' '), 'p. ' || locator) AS chips FROM meta) m WHERE chips <> ''""",
     "v_notes", using=(_META,))
 _CODE = fixed.CODE_LIKE.replace("'", "''")
-P4 = oracle(rf"""WITH body AS (SELECT path, unnest(list_transform(string_split({BODY}, chr(10)), lambda x: {TRIM('x')})) AS text FROM v_notes),
+NATURAL = rf"""body AS (SELECT path, unnest(list_transform(string_split({BODY}, chr(10)), lambda x: {TRIM('x')})) AS text FROM v_notes),
 c AS (SELECT path, text, length(text) AS n, length(regexp_replace(text, '[^\x{{3400}}-\x{{9fff}}]', '', 'g')) AS cjk,
-  length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(text, '[^0-9\s]', '', 'g')) AS other FROM body)
-SELECT path, text, count(*) AS n FROM c WHERE n > 0 AND NOT regexp_matches(text, '{_CODE}')
-  AND NOT (n - cjk - latin - other > greatest(8, floor((cjk + latin) * 0.7))) AND NOT (n > 220 AND n - cjk - latin - other > 4) GROUP BY path, text""", "v_notes")
+  length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(text, '[^0-9\s]', '', 'g')) AS other FROM body),
+prose AS (SELECT path, text FROM c WHERE n > 0 AND NOT regexp_matches(text, '{_CODE}')
+  AND NOT (n - cjk - latin - other > greatest(8, floor((cjk + latin) * 0.7))) AND NOT (n > 220 AND n - cjk - latin - other > 4))"""
+P4 = oracle(f"WITH {NATURAL} SELECT path, text, count(*) AS n FROM prose GROUP BY path, text", "v_notes")
 
 
 def p4(spark, sf):
