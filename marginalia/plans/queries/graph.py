@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ...operators import evidence, graph, mentions, migrate, notes, rank, refs, tags
-from ...sources.views import table
-from ...streaming import changes
+from ...operators.settle import checkpoint_dir
+from ...sources.views import VIEWS, table
+from ...streaming import changes, sessions
 from .common import BODY, ISLANDS, KEYS, LINES, LINKS, REFS, TAGS, TRIM, Query, on_view, oracle, plain, view
 from .notes import alias_frame
 
@@ -240,8 +243,8 @@ def t1(spark, sf):
 # ------------------------------------------------------------------------------------------------------------- changes
 
 
-def _changes(spark, sf):
-    rows = view(spark, sf, "v_changes")
+def _changes(spark, sf, rows=None):
+    rows = view(spark, sf, "v_changes") if rows is None else rows
     paths = F.array_distinct(F.filter(F.array("path_1", "path_2"), lambda p: p != ""))
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("changed_paths", paths)
 
@@ -265,6 +268,18 @@ SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS merged, arg
   arg_max(focus, (ts, id)) FILTER (WHERE focus IS NOT NULL) AS focus, bool_or(force) AS force, bool_or(preserve_scroll) AS preserve_scroll FROM c GROUP BY w""", "v_changes")
 
 
+def r1_stream(spark, sf):
+    """The events file as a stream: windows that closed an hour or more before the last event."""
+    checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/r1-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = _changes(spark, sf, spark.sql(VIEWS["v_changes"].replace("FROM events", "FROM {events}"), events=events))
+    return plain(sessions.run_available(changes.coalesce_changes(rows, watermark="1 hour"), f"{base}/out", f"{base}/state"))
+
+
+R1_STREAM = R1.replace("GROUP BY w", "GROUP BY w HAVING w + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM v_changes) - INTERVAL 1 HOUR")
+
+
 def r1_paths(spark, sf):
     return plain(changes.changed_paths(_changes(spark, sf)))
 
@@ -325,6 +340,7 @@ QUERIES = {
     "C8_block_ids": Query(c8, C8),
     "W7_recency": Query(w7, W7),
     "R1_change_windows": Query(r1, R1),
+    "R1_change_stream": Query(r1_stream, R1_STREAM),
     "R1_change_paths": Query(r1_paths, R1_PATHS),
     "R2_affected_notes": Query(r2, R2),
 }
