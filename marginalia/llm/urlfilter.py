@@ -1,8 +1,8 @@
 """Verdicts for page addresses: rules first, then trust and distrust that spread over the links between hosts.
 
 Trust starts at hosts that an allow rule names and follows links (personalised PageRank); distrust starts at hosts that a block rule
-names and follows links backwards, to those that link there. A host with pages of both kinds starts nothing. A host is blocked when
-its distrust passes a threshold and its trust.
+names and follows links backwards, to those that link there. A host with pages of both kinds starts the kind that more of its ruled
+pages have, with its net share of them. A host is blocked when its distrust passes a threshold and its trust.
 """
 
 from __future__ import annotations
@@ -56,13 +56,21 @@ def host_links(pages: DataFrame) -> DataFrame:
     return each.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
+def starts(split: DataFrame) -> DataFrame:
+    """(kind, host, weight) of the hosts of ``split`` (host, action): the difference of blocked and allowed pages as a share of the ruled
+    ones. A host of one action has weight one, a host with as many of both none. Shares settle as a host grows, so seeds stay at every size."""
+    net = F.sum(F.when(F.col("action") == "block", 1.0).otherwise(-1.0)) / F.count(F.lit(1))
+    hosts = split.where(F.col("action").isNotNull() & (F.col("host") != "")).groupBy("host").agg(net.alias("net")).where("net <> 0")
+    return hosts.select(F.when(F.col("net") < 0, "trust").otherwise("distrust").alias("kind"), "host", F.abs("net").alias("weight"))
+
+
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, close: float = 1e-6) -> DataFrame:
-    """(kind, host, value) of both propagations at once, kind 'trust' or 'distrust'. ``seeds`` has kind and host; each kind starts with one in
-    total. What a host without links would pass on is lost. Stops when a round moves less than ``close``. Each round is written to the
-    shared folder."""
-    seeds = settle(seeds.distinct())
-    sums = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    seeds = settle(seeds.join(sums, "kind").select("kind", "host", (1.0 / F.col("n")).alias("seed")))
+    """(kind, host, value) of both propagations at once, kind 'trust' or 'distrust'. ``seeds`` has kind and host, and may have a weight; each
+    kind starts with one in total, dealt by weight. What a host without links would pass on is lost. Stops when a round moves less than
+    ``close``. Each round is written to the shared folder."""
+    seeds = settle((seeds if "weight" in seeds.columns else seeds.withColumn("weight", F.lit(1.0))).distinct())
+    sums = seeds.groupBy("kind").agg(F.sum("weight").alias("n"))
+    seeds = settle(seeds.join(sums, "kind").select("kind", "host", (F.col("weight") / F.col("n")).alias("seed")))
     both = links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "weight").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "weight"))
     out = both.groupBy("kind", "host").agg(F.sum("weight").alias("total"))
@@ -92,9 +100,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 0.
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, action = ruled(F.col("host"), F.col("path"), rules)
     split = split.withColumn("rule", rule).withColumn("action", action)
-    ruled_hosts = split.where(F.col("rule").isNotNull() & (F.col("host") != "")).groupBy("host").agg(F.min("action").alias("low"), F.max("action").alias("high"))
-    seeds = ruled_hosts.where("low = high").select(F.when(F.col("low") == "allow", "trust").otherwise("distrust").alias("kind"), "host")
-    value = propagate(settle(host_links(pages)), seeds, damping)
+    value = propagate(settle(host_links(pages)), starts(split), damping)
     hosts = settle(split.where("host <> ''").groupBy("host").count())
     number = float(hosts.count())
     split_value = value.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("value"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("value"))).alias("distrust"))

@@ -162,6 +162,17 @@ def test_url_verdicts(spark):
     assert urlfilter.judge(spark.createDataFrame(rows[:0], "page_id long, url string, html string")).count() == 0
 
 
+def test_url_seeds_of_mixed_hosts(spark):
+    """Hosts that have pages of both actions, many times over: the mostly blocked ones start distrust, the mostly allowed ones trust."""
+    for times in (1, 50):
+        rows = [(h, "block" if i < blocked else "allow") for h, blocked in (("bad.com", 7), ("good.com", 3), ("even.com", 5), ("worst.com", 10)) for i in range(10)] * times
+        got = {(r.kind, r.host): round(r.weight, 9) for r in urlfilter.starts(spark.createDataFrame([*rows, ("", "block"), ("open.com", None)], "host string, action string")).collect()}
+        assert got == {("distrust", "bad.com"): 0.4, ("trust", "good.com"): 0.4, ("distrust", "worst.com"): 1.0}
+        pages = [(i, f"http://{h}/{'de' if a == 'block' else 'fr'}/{i}", "") for i, (h, a) in enumerate(rows)] + [(-1, "http://bad.com/", ""), (-2, "http://good.com/", ""), (-3, "http://even.com/", "")]
+        verdicts = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).where("page_id < 0").collect()}
+        assert verdicts == {-1: "block", -2: "allow", -3: "allow"}
+
+
 def test_rank_values(spark):
     """Against the same iteration over a dense matrix."""
     rnd = random.Random(1)
