@@ -64,10 +64,11 @@ def starts(split: DataFrame) -> DataFrame:
     return hosts.select(F.when(F.col("net") < 0, "trust").otherwise("distrust").alias("kind"), "host", F.abs("net").alias("weight"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, close: float = 1e-6) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, close: float = 1e-6) -> DataFrame:
     """(kind, host, value) of both propagations at once, kind 'trust' or 'distrust'. ``seeds`` has kind and host, and may have a weight; each
-    kind starts with one in total, dealt by weight. What a host without links would pass on is lost. Stops when a round moves less than
-    ``close``. Each round is written to the shared folder."""
+    kind starts with one in total, dealt by weight. What a host without links would pass on is lost. Goes on until no
+    host can still change by ``close``: a round passes on ``damping`` of what the last one moved, so all later rounds together move at most
+    the last move times damping / (1 - damping). Each round is written to the shared folder."""
     seeds = settle((seeds if "weight" in seeds.columns else seeds.withColumn("weight", F.lit(1.0))).distinct())
     sums = seeds.groupBy("kind").agg(F.sum("weight").alias("n"))
     seeds = settle(seeds.join(sums, "kind").select("kind", "host", (F.col("weight") / F.col("n")).alias("seed")))
@@ -78,15 +79,14 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     value = seeds.select("kind", "host", F.col("seed").alias("value"))
     if edges.isEmpty():
         return value
-    for _ in range(rounds):
+    while True:
         moved = edges.join(value, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("share") * F.col("value") * damping).alias("value"))
         start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("value"))
         after = settle(moved.unionByName(start).groupBy("kind", "host").agg(F.sum("value").alias("value")))
         change = after.unionByName(value.select("kind", "host", (-F.col("value")).alias("value"))).groupBy("kind", "host").agg(F.sum("value").alias("d")).agg(F.sum(F.abs("d"))).first()[0]
         value = after
-        if (change or 0.0) < close:
-            break
-    return value
+        if (change or 0.0) * damping / (1 - damping) < close:
+            return value
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 0.5, damping: float = 0.85) -> DataFrame:
@@ -100,9 +100,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 0.
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, action = ruled(F.col("host"), F.col("path"), rules)
     split = split.withColumn("rule", rule).withColumn("action", action)
-    value = propagate(settle(host_links(pages)), starts(split), damping)
     hosts = settle(split.where("host <> ''").groupBy("host").count())
     number = float(hosts.count())
+    close = max(1e-3 * threshold / max(number, 1.0), 1e-14)  # far under what blocks a host, but above rounding
+    value = propagate(settle(host_links(pages)), starts(split), damping, close)
     split_value = value.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("value"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("value"))).alias("distrust"))
     bad = settle(split_value.where((F.coalesce("distrust", F.lit(0.0)) * number >= threshold) & (F.col("distrust") > F.coalesce("trust", F.lit(0.0)))).select("host", F.lit("block").alias("spread")))
     open_ = split.where(F.col("action").isNull()).join(bad, "host", "left")

@@ -173,6 +173,14 @@ def test_url_seeds_of_mixed_hosts(spark):
         assert verdicts == {-1: "block", -2: "allow", -3: "allow"}
 
 
+def test_url_verdicts_far_from_a_seed(spark):
+    """A chain of links to the only blocked host: its distrust passes the threshold (0.5 / hosts) also 35 links away."""
+    rows = [(0, "http://bad.com/de/", "")] + [(i, f"http://h{i}.net/", f'<a href="http://{"bad.com" if i == 1 else f"h{i - 1}.net"}/">') for i in range(1, 38)]
+    rows += [(i, f"http://h{i}.net/", "") for i in range(38, 2000)]
+    got = {r.page_id for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).where("verdict = 'block'").collect()}
+    assert got == {i for i in range(38) if i == 0 or 0.15 * 0.85**i * 2000 >= 0.5} and 35 in got
+
+
 def test_rank_values(spark):
     """Against the same iteration over a dense matrix."""
     rnd = random.Random(1)
