@@ -27,7 +27,7 @@ _TITLE = r"(?:" + "|".join(MALE + FEMALE) + r")"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"[A-Za-z0-9_%+](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=\b(?i:password|passwd|secret|token|api_key|apikey)\s?[=:]\s?[\"']?)[A-Za-z0-9+/_-]{8,128}|\bAKIA[0-9A-Z]{16}\b",
+    "secret": r"(?<=\b(?i:password|passwd|secret|token|api_key|apikey)\s?[=:]\s?[\"']?)[A-Za-z0-9+/_-][A-Za-z0-9+/_.=-]{6,}[A-Za-z0-9+/_=-]|\bAKIA[0-9A-Z]{16}\b",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",

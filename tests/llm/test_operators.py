@@ -264,6 +264,21 @@ def test_surrogates(table):
     assert len(letters) == 26 and not letters & {f"{chr(97 + i)}@q.io" for i in range(26)}
 
 
+def test_whole_secrets(table):
+    """Long keys, web tokens and padding are replaced to their end; the full stop of the sentence stays."""
+    rnd = random.Random(8)
+    key = lambda n: "".join(rnd.choice("ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(n))
+    long, parts, padded = key(5000), [key(36), key(200), key(43)], key(30) + "=="
+    rows = [(1, f"token={long} then."), (2, f'token: "{".".join(parts)}".'), (3, f"secret={padded}. End"), (4, f"password={key(12)}."), (5, "password=short. Next")]
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.replace_entities(table(rows)).collect()}
+    for d, text in rows[:4]:
+        new, n = got[d]
+        assert n == 1 and len(new) == len(text) and re.sub("[A-Za-z0-9]", "x", new) == re.sub("[A-Za-z0-9]", "x", text)
+    assert not any(long[i : i + 12] in got[1][0] for i in range(len(long) - 11))
+    assert not any(p[i : i + 12] in got[2][0] for p in parts for i in range(len(p) - 11))
+    assert padded[:12] not in got[3][0] and padded[18:30] not in got[3][0] and got[5] == (rows[4][1], 0)
+
+
 def test_quality(table):
     rnd = random.Random(4)
     good = lambda: " ".join(rnd.choice(["the", "house", "river", "of", "green", "walked"]) for _ in range(30))
