@@ -4,7 +4,8 @@ A window of ``size`` words can only repeat when the windows inside it do. So a q
 repeats there is extended to half length, and what repeats again is extended to the full length and compared there. A level
 does not look at every position: from all short windows inside a full one it takes the one with the smallest hash (the first
 of equals), the same choice in every copy. Each level therefore moves few rows: one per chosen short window, with the range of
-full windows that chose it.
+full windows that chose it. The last level moves what is left window by window, each under its own hash, so no key gathers
+different windows, however many documents share a line that is shorter than a window.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from .textwords import Block, blocks, mix, separators, window_hashes
 
 _ROW = "k long, n int, rid long, lo int, span int, windows binary"
 _FOUND = "rid long, lo int, mask binary"
+_HELD = 1 << 20  # windows that one step of the last level holds
 
 
 def _chosen(words: np.ndarray, first: np.ndarray, size: int, length: int, alive: np.ndarray | None) -> tuple[np.ndarray, ...]:
@@ -90,15 +92,44 @@ def _alive(lists: pa.Array, block: Block, size: int) -> np.ndarray:
 
 
 def _emit(size: int, length: int, full: bool):
-    """Rows of one level. Equal rows of a batch are merged: their windows are known to repeat, so only one row without a place goes
-    to the others, and the places travel under a key of their own, which spreads any hot window."""
+    """Rows of one level; at the full one a row for each window, which keeps the short window that chose it for a second look. Equal rows of
+    a batch are merged: their windows are known to repeat, so only one row without a place goes to the others, and the places travel
+    under a key of their own, which spreads any hot window."""
     table = separators()
 
+    def rows(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, rid, lo, span, packed = (np.concatenate(x) for x in zip(*parts))
+        whole, kept = key, packed
+        if full:
+            kept, rid, lo = np.repeat(key, span), np.repeat(rid, span), _ragged(lo, span)
+            key, whole, span = packed, mix(kept + mix(packed)), np.ones(len(packed), np.int64)
+        _, one, inverse, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+        repeated = count[inverse] > 1
+        once = np.sort(one)
+        known = np.flatnonzero(repeated)
+        there = ~repeated[once]
+        # rows to compare
+        yield pa.RecordBatch.from_arrays([
+            pa.array(key[once].view(np.int64)), pa.array(np.where(there, 1, 2).astype(np.int32)), pa.array(rid[once], mask=~there),
+            pa.array(lo[once].astype(np.int32)), pa.array(span[once].astype(np.int32)), _sliced(kept[once] if full else kept, np.full(len(once), 8 if full else 0)),
+        ], names=["k", "n", "rid", "lo", "span", "windows"])
+        if len(known):  # places that are settled already, neighbours in one row
+            rid, lo, span = rid[known], lo[known], span[known]
+            new = np.ones(len(known), bool)
+            new[1:] = (rid[1:] != rid[:-1]) | (lo[1:] != lo[:-1] + span[:-1])
+            at = np.flatnonzero(new)
+            rid, lo, span = rid[at], lo[at], np.add.reduceat(span, at)
+            spread = mix(rid.astype(np.uint64) * np.uint64(31) + lo.astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(spread), pa.array(np.zeros(len(at), np.int32)), pa.array(rid), pa.array(lo.astype(np.int32)),
+                pa.array(span.astype(np.int32)), _sliced(packed[:0], np.zeros(len(at), np.int64)),
+            ], names=["k", "n", "rid", "lo", "span", "windows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rids = batch.column("rid").to_numpy()
             lists = batch.column("found") if "found" in batch.schema.names else None
-            parts = []
+            parts, held = [], 0
             for block in blocks(batch.column("text"), table):
                 words = block.hashes()
                 alive = None if lists is None else _alive(lists, block, size)
@@ -106,39 +137,14 @@ def _emit(size: int, length: int, full: bool):
                 if not len(key):
                     continue
                 doc = np.searchsorted(block.first, lo, "right") - 1
-                whole = key
-                packed = np.zeros(0, np.uint64)
-                if full:
-                    packed = window_hashes(words, size, 0x5851F42D)[_ragged(lo, span)]
-                    begin = np.zeros(len(span), np.int64)
-                    np.cumsum(span[:-1], out=begin[1:])
-                    with np.errstate(over="ignore"):
-                        order = (np.arange(len(packed)) - np.repeat(begin, span)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-                        whole = mix(key + np.add.reduceat(mix(packed) * order, begin) + span.astype(np.uint64))
-                parts.append((key, whole, rids[block.rows.start + doc], lo - block.first[doc], span, packed))
-            if not parts:
-                continue
-            key, whole, rid, lo, span, packed = (np.concatenate(x) for x in zip(*parts))
-            _, one, inverse, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
-            repeated = count[inverse] > 1
-            once = np.sort(one)
-            known = np.flatnonzero(repeated)
-            begin = np.zeros(len(span), np.int64)
-            np.cumsum(span[:-1], out=begin[1:])
-            windows = packed[_ragged(begin[once], span[once])] if full else packed
-            sizes = 8 * span[once] if full else np.zeros(len(once), np.int64)
-            there = ~repeated[once]
-            # rows to compare
-            yield pa.RecordBatch.from_arrays([
-                pa.array(key[once].view(np.int64)), pa.array(np.where(there, 1, 2).astype(np.int32)), pa.array(rid[once], mask=~there),
-                pa.array(lo[once].astype(np.int32)), pa.array(span[once].astype(np.int32)), _sliced(windows, sizes),
-            ], names=["k", "n", "rid", "lo", "span", "windows"])
-            if len(known):  # places that are settled already
-                spread = mix(rid[known].astype(np.uint64) * np.uint64(31) + lo[known].astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(spread), pa.array(np.zeros(len(known), np.int32)), pa.array(rid[known]), pa.array(lo[known].astype(np.int32)),
-                    pa.array(span[known].astype(np.int32)), _sliced(packed[:0], np.zeros(len(known), np.int64)),
-                ], names=["k", "n", "rid", "lo", "span", "windows"])
+                packed = window_hashes(words, size, 0x5851F42D)[_ragged(lo, span)] if full else np.zeros(0, np.uint64)
+                parts.append((key, rids[block.rows.start + doc], lo - block.first[doc], span, packed))
+                held += len(packed)
+                if held >= _HELD:
+                    yield from rows(parts)
+                    parts, held = [], 0
+            if parts:
+                yield from rows(parts)
 
     return run
 

@@ -50,6 +50,17 @@ def test_repeats_text(table):
     assert {r.doc_id: r.kept for r in got.collect()} == {1: "c", 2: "x y", 3: ""}
 
 
+def test_repeats_key_holds_one_window(table):
+    """A line shorter than a window, each time in other surroundings: no key of the last level gathers rows of different windows."""
+    line = " ".join(f"line{i}" for i in range(24))
+    rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(30)), line, *(f"b{i}x{j}" for j in range(30))])) for i in range(300)]
+    source = table(rows).select(F.monotonically_increasing_id().alias("rid"), "text")
+    level = source.mapInArrow(substrings._emit(35, 18, True), substrings._ROW).where("n > 0")
+    assert level.groupBy("k").count().agg(F.max("count")).first()[0] == 1
+    rows += [(1000 + i, f"c{i} " * 20 + line + " " + " ".join(f"d{j}" for j in range(20))) for i in range(5)]
+    assert rows_of(substrings.remove_repeats(table(rows), 35), 4) == sorted(brute.repeats(rows, 35), key=repr)
+
+
 def test_near_duplicates(table):
     rnd = random.Random(3)
     base = [" ".join(rnd.choice("abcdefgh") * 2 + str(rnd.randint(0, 30)) for _ in range(80)) for _ in range(8)]
