@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ from .textwords import Block, blocks, separators
 END = 257
 _SHIFT = 9
 _END_WORD = np.uint64(0x656E64)
-BLOCK_ROWS = 10  # 2**10 rows make a block
+BLOCK_ROWS = 10  # a block has 2**10 rows at most
+BLOCK_BYTES = 16 << 20  # and so many bytes of text, unless it is one row
 
 
 @dataclass(frozen=True)
@@ -299,6 +301,24 @@ def _bucket_of_group(inverse: np.ndarray, cut: np.ndarray, bucket: np.ndarray, f
     return np.where(first, known[group], 0), np.where(first, tokens[group], 0)
 
 
+def _cut(rows: int, size: int):
+    """Number the blocks: consecutive rows of a partition, at most ``rows`` of them and ``size`` bytes of text; a longer text is a block of
+    its own. A block has the number of its first row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, many, held = 0, 0, 0
+        for batch in batches:
+            out = np.zeros(batch.num_rows, np.int64)
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            for i, (row, length) in enumerate(zip(batch.column("block").to_pylist(), lengths)):
+                if not many or many == rows or held + length > size:
+                    now, many, held = row, 0, 0
+                out[i], many, held = now, many + 1, held + length
+            yield pa.RecordBatch.from_arrays([pa.array(out), *batch.columns[1:]], names=batch.schema.names)
+
+    return run
+
+
 def _score(model: Automaton, depth: int, buckets: int, tokens: int, distinct: int):
     table = separators()
 
@@ -344,8 +364,9 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
-    rows = docs.select(F.shiftright(F.monotonically_increasing_id(), BLOCK_ROWS).alias("block"), "doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("block"), "doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     model = learn(rows.where(~F.col("held_out")), settings)
+    rows = rows.mapInArrow(_cut(1 << BLOCK_ROWS, BLOCK_BYTES), f"block long, doc_id {kind}, held_out boolean, text string")
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = rows.select("block", "held_out", "text").mapInArrow(_ask(buckets), "bucket long, block long, words binary, n binary")
     answers = settle(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "block long, bucket long, counts binary, known long, total long"))

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,19 @@ def test_suffix_tree(table, settings):
     assert all(abs(g[6] - w[6]) < 0.01 for g, w in zip(got, want))
 
 
+def test_blocks_by_bytes(table):
+    """Blocks of scoring end at a number of bytes too, and a longer text has a block of its own; scores do not depend on the cut."""
+    cut = suffixtree._cut(4, 100)
+    texts = ["x" * 40, "é" * 30, None, "", "y" * 500, "z", "z", "z", "z", "z"]
+    batches = [pa.RecordBatch.from_pydict({"block": list(range(i, j)), "text": pa.array(texts[i:j], pa.string())}) for i, j in ((0, 3), (3, 7), (7, 10))]
+    assert [b for batch in cut(iter(batches)) for b in batch.column("block").to_pylist()] == [0, 0, 0, 0, 4, 5, 5, 5, 5, 9]
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(5 + 40 * (i % 3)))) for i in range(40)]
+    whole = rows_of(suffixtree.score(table(rows)), 6)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(suffixtree, "BLOCK_BYTES", 300)
+        assert rows_of(suffixtree.score(table(rows)), 4) == [r[:4] for r in whole]
+
+
 def test_contamination(table):
     rnd = random.Random(2)
     make = lambda n: " ".join(rnd.choice(["a", "B", "ñu", "x1", "the", "zz"]) for _ in range(n))
