@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, pii, quality, revisits, simhash, substrings, suffixtree, topk, urlfilter
+from . import decontaminate, merkle, pieces, pii, quality, revisits, simhash, substrings, suffixtree, topk, urlfilter
 
 
 @dataclass(frozen=True)
@@ -69,6 +69,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"), merkle.lowered_third(), arity=8)
+
+
 OP1_SQL = r"""
 WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 starts AS (SELECT r, i, sha256(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)),
@@ -103,6 +107,30 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)"""
 
+OP12_SQL = r"""
+WITH RECURSIVE d AS (SELECT *, row_number() OVER () AS r, CASE WHEN doc_id IS NOT NULL AND (xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+    lambda a, c: list_reduce(list_prepend(xor(a, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 3) = 0
+    THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS told FROM documents),
+f AS (SELECT r, doc_id, lang, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head, coalesce(strlen(text) || ':' || text, '-') AS own, coalesce(strlen(told) || ':' || told, '-') AS told FROM d),
+leaves AS (SELECT r, doc_id, sha256(head || own) AS leaf, sha256(head || told) AS claimed, 1 + (dense_rank() OVER (ORDER BY lang NULLS FIRST))::BIGINT AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, sha256(head || own)) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM f),
+lv(tree, level, i, n, digest) AS (SELECT tree, 0, i, n, leaf FROM leaves UNION ALL
+    SELECT tree, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM lv WHERE n > 1 GROUP BY tree, level, i // 8, n),
+tops AS (SELECT tree, level, digest, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1),
+up(level, i, n, digest) AS (SELECT 0, i, n, digest FROM tops UNION ALL
+    SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY level, i // 8, n),
+kids AS (SELECT tree, level, i // 8 AS p, list(digest ORDER BY i) AS kids FROM lv WHERE n > 1 GROUP BY ALL
+    UNION ALL SELECT 0, level, i // 8, list(digest ORDER BY i) FROM up WHERE n > 1 GROUP BY ALL),
+climb(r, tree, level, i, folded, proof) AS (SELECT r, tree, 0, i, claimed, '' FROM leaves UNION ALL
+    SELECT c.r, c.tree, c.level + 1, c.i // 8, sha256(array_to_string(kids[:c.i % 8] || [folded] || kids[c.i % 8 + 2:], '')), proof || array_to_string(kids[:c.i % 8] || kids[c.i % 8 + 2:], '')
+    FROM climb c JOIN kids k ON k.tree = c.tree AND k.level = c.level AND k.p = c.i // 8),
+crown(r, level, i, folded, proof) AS (SELECT c.r, 0, t.i, folded, proof FROM climb c JOIN tops t USING (tree, level) UNION ALL
+    SELECT c.r, c.level + 1, c.i // 8, sha256(array_to_string(kids[:c.i % 8] || [folded] || kids[c.i % 8 + 2:], '')), proof || array_to_string(kids[:c.i % 8] || kids[c.i % 8 + 2:], '')
+    FROM crown c JOIN kids k ON k.tree = 0 AND k.level = c.level AND k.p = c.i // 8)
+SELECT doc_id, leaf, t.digest AS subroot, u.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = u.digest AS verified
+FROM leaves JOIN tops t USING (tree) JOIN (SELECT r, folded, proof, level FROM crown) c USING (r) JOIN (SELECT level, digest FROM up WHERE n = 1) u ON u.level = c.level"""
+
 ALL = {
     "op1_substring_dedup": Query(op1, OP1_SQL),
     "op2_simhash": Query(op2),
@@ -114,4 +142,5 @@ ALL = {
     "op8_sentencepiece": Query(op8),
     "op9_pii": Query(op9),
     "op10_quality": Query(op10),
+    "op12_merkle": Query(op12, OP12_SQL),
 }
