@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, merkle, pieces, pii, quality, revisits, simhash, substrings, suffixtree, topk, urlfilter
+from . import decontaminate, dialogue, merkle, pieces, pii, quality, revisits, simhash, substrings, suffixtree, topk, urlfilter
 
 
 @dataclass(frozen=True)
@@ -73,6 +73,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), merkle.lowered_third(), arity=8)
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 OP1_SQL = r"""
 WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 starts AS (SELECT r, i, sha256(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)),
@@ -143,4 +147,5 @@ ALL = {
     "op9_pii": Query(op9),
     "op10_quality": Query(op10),
     "op12_merkle": Query(op12, OP12_SQL),
+    "op13_conversation_repair": Query(op13),
 }

@@ -125,3 +125,62 @@ def suffix_tree(rows, s):
         base = sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in words)
         out.append((d, held(d), len(words), sum(count[x] > 0 for x in words), n, round(base, 6), round(score, 3)))
     return out
+
+
+def cheapest_edits(turns):
+    """(cost, audit, lines) of the best repair of [(role, text, fault)], built from the end for every state."""
+    step = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("a", "u"): "u", ("u", "a"): "a"}
+    name = {"u": "user", "a": "assistant"}
+    best = {"": (0, "", ()), "a": (0, "", ()), "u": (2, "I", (("assistant", ""),)), "s": (4, "II", (("user", ""), ("assistant", "")))}
+    for role, text, fault in reversed(turns):
+        here = {}
+        for q in ("", "s", "u", "a"):
+            found = []
+            for n in range(3):
+                state, lines = q, []
+                for _ in range(n):
+                    state = step[state, "a" if state == "u" else "u"]
+                    lines.append((name[state], ""))
+                cost, head = 2 * n, "I" * n
+                c, a, rest = best[state]
+                found.append((cost + 3 + c, head + "D" + a, (*lines, *rest)))
+                if fault in ("blank", "duplicate"):
+                    continue
+                for letter, more, told in [("K", 0, role), ("R", 2, "user"), ("R", 2, "assistant")]:
+                    to = step.get((state, told[:1]))
+                    if to:
+                        c, a, rest = best[to]
+                        found.append((cost + more + (fault == "truncated") + c, head + letter + a, (*lines, (told, text), *rest)))
+            here[q] = min(found, key=lambda x: x[:2])
+        best = here
+    return best[""]
+
+
+def repair(rows):
+    """Report of [(conv, turn, role, text)] that are damaged already."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        mine = sorted(((t is not None, t or 0, " " if r is None else r, hashlib.sha256((" " if x is None else x).encode()).digest(), " " if x is None else x) for c, t, r, x in rows if c == conv))
+        seen, told, turns = set(), [], {t for known, t, *_ in mine if known}
+        for *_, role, _, text in mine:
+            solid = re.sub(r"[\x20\x09-\x0D]", "", text)
+            fault = "blank" if not solid else "duplicate" if (role, text) in seen else "truncated" if solid[-1] not in ".!?" else ""
+            seen.add((role, text))
+            told.append((role, text, fault))
+        cost, audit, lines = cheapest_edits(told)
+        pairs = zip(told, told[1:])
+        out[conv] = (
+            max(turns) - min(turns) + 1 - len(turns) if turns else 0, *(sum(f == x for *_, f in told) for x in ("blank", "duplicate", "truncated")),
+            sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in pairs), cost, audit,
+            hashlib.sha256("\n".join(f"{r}:{t}" for r, t in lines).encode()).hexdigest())
+    return out
+
+
+def damaged(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        fault = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+        out += [(conv, turn, "user" if fault == 4 else role, text)] * (0 if fault == 0 else 2 if fault == 3 else 1)
+    return out
