@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dialogue, merkle, pieces, pii, quality, revisits, simhash, substrings, suffixtree, topk, urlfilter
+from . import decontaminate, dialogue, merkle, pieces, pii, quality, revisits, secrets, simhash, substrings, suffixtree, topk, urlfilter
 
 
 @dataclass(frozen=True)
@@ -69,6 +69,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.find(_table(spark, sf_dir, "documents")))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), merkle.lowered_third(), arity=8)
 
@@ -146,6 +150,7 @@ ALL = {
     "op8_sentencepiece": Query(op8),
     "op9_pii": Query(op9),
     "op10_quality": Query(op10),
+    "op11_secret_scan": Query(op11),
     "op12_merkle": Query(op12, OP12_SQL),
     "op13_conversation_repair": Query(op13),
 }
