@@ -13,13 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.settle import settle
-from .order import numbered
+from .order import few, numbered
 
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
-_ROOT = -1  # tree number of the tree over the roots of all languages
-_HEX = 64
+_BYTES = 32  # of a digest
+_LEVEL_BITS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_NODE = "struct<tree:bigint,level:int,at:bigint>"
 
 
 def _field(x: Column) -> Column:
@@ -32,9 +31,10 @@ def leaf_digest(text: Column | None = None) -> Column:
     return F.sha2(F.concat(*[_field(text if text is not None and c == "text" else F.col(c)) for c in FIELDS]), 256)
 
 
-def _node(tree: Column, level: Column | int, at: Column) -> Column:
-    level = F.lit(level) if isinstance(level, int) else level
-    return F.struct(tree.cast("long").alias("tree"), level.cast("int").alias("level"), at.cast("long").alias("at"))
+def _node(tree: Column, level: Column, at: Column, arity: int) -> Column:
+    """One long for a node: the number of its first leaf, and its level. Trees over roots are numbered from -1 down."""
+    leaf = (at * F.pow(F.lit(arity), level).cast("long")).cast("long")
+    return F.when(tree < 0, -F.shiftleft(leaf + 1, _LEVEL_BITS) - level).otherwise(F.shiftleft(tree + leaf, _LEVEL_BITS) + level)
 
 
 def build(bottom: DataFrame, arity: int) -> tuple[DataFrame | None, DataFrame]:
@@ -58,7 +58,7 @@ def build(bottom: DataFrame, arity: int) -> tuple[DataFrame | None, DataFrame]:
 def _linked(nodes: DataFrame, links: DataFrame, arity: int) -> DataFrame:
     """``nodes`` (tree, level, at, n) with parent ``up`` and slot there. The top of a tree hangs where ``links`` (tree, up, slot) says."""
     joined = nodes.join(links.select("tree", F.col("up").alias("_up"), F.col("slot").alias("_slot")), "tree", "left")
-    inner = _node(F.col("tree"), F.col("level") + 1, F.floor(F.col("at") / arity))
+    inner = _node(F.col("tree"), F.col("level") + 1, F.floor(F.col("at") / arity), arity)
     return joined.select(
         *nodes.columns, F.when(F.col("n") > 1, inner).otherwise(F.col("_up")).alias("up"),
         F.when(F.col("n") > 1, F.pmod("at", F.lit(arity))).otherwise(F.col("_slot")).cast("int").alias("slot"))
@@ -66,7 +66,7 @@ def _linked(nodes: DataFrame, links: DataFrame, arity: int) -> DataFrame:
 
 @contextmanager
 def _rows_unlimited(spark: SparkSession):
-    """Spark ends a recursive query at a row limit; a manifest has as many rows as it has leaves."""
+    """Spark ends a recursive query at a row limit; a climb has a row for every leaf and step."""
     name = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(name, None)
     spark.conf.set(name, "-1")
@@ -81,17 +81,22 @@ WITH RECURSIVE climb (leaf_row, step, up, slot, folded, siblings) AS (
   SELECT leaf_row, 0, up, slot, unhex(claimed), CAST(NULL AS BINARY) FROM {{leaves}}
   UNION ALL
   SELECT c.leaf_row, c.step + 1, n.up, n.slot,
-    unhex(sha2(concat(left(n.kids, {_HEX} * c.slot), lower(hex(c.folded)), substr(n.kids, {_HEX} * c.slot + {_HEX + 1})), 256)),
-    unhex(concat(left(n.kids, {_HEX} * c.slot), substr(n.kids, {_HEX} * c.slot + {_HEX + 1})))
+    unhex(sha2(lower(hex(substring(n.kids, 1, {_BYTES} * c.slot) || c.folded || substring(n.kids, {_BYTES} * c.slot + {_BYTES + 1}))), 256)),
+    substring(n.kids, 1, {_BYTES} * c.slot) || substring(n.kids, {_BYTES} * c.slot + {_BYTES + 1})
   FROM climb c JOIN {{nodes}} n ON c.up = n.node)
 SELECT leaf_row, step, folded, siblings FROM climb"""
 
 
 def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(leaf_row, step, folded, siblings) for every step of every leaf (leaf_row, up, slot, claimed) up the ``nodes`` (node, up, slot, kids). Leaves
-    that share a node share its key, as many as a language has: a join to one row a key, which Spark splits when it is skewed."""
+    """(leaf_row, folded, proof): what every leaf (leaf_row, up, slot, claimed) folds to at the end of its path over ``nodes`` (node, up, slot, kids), and
+    the siblings of the path in one binary. Leaves below one node share its key, in the end as many as a language has: a join to one row a
+    key, which Spark splits when it is skewed."""
     with _rows_unlimited(leaves.sparkSession):
-        return settle(leaves.sparkSession.sql(_CLIMB, leaves=leaves, nodes=nodes))
+        steps = leaves.sparkSession.sql(_CLIMB, leaves=leaves, nodes=nodes)
+        path = F.array_sort(F.collect_list(F.when(F.col("siblings").isNotNull(), F.struct("step", "siblings"))))
+        ends = steps.groupBy("leaf_row").agg(path.alias("path"), F.max_by("folded", "step").alias("folded"))
+        proof = F.sha2(F.array_join(F.transform("path", lambda p: F.lower(F.hex(p["siblings"]))), ""), 256)
+        return settle(ends.select("leaf_row", F.lower(F.hex("folded")).alias("folded"), proof.alias("proof_sha256")))
 
 
 def manifest(docs: DataFrame, tampered: Column | None = None, arity: int = 8) -> DataFrame:
@@ -101,39 +106,31 @@ def manifest(docs: DataFrame, tampered: Column | None = None, arity: int = 8) ->
     of any length count in whole, empty ones differ from null ones. Rows with one doc_id follow each other by digest, so repeated rows are
     alike whatever their places. An empty table gives an empty result. Other columns take no part.
     """
-    own = leaf_digest()
-    claimed = own if tampered is None else F.when(tampered.isNull(), own).otherwise(leaf_digest(tampered))
     langs = F.struct(F.col("lang").isNotNull().alias("given"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    rows = docs.select(*[F.col(c) for c in FIELDS]).select("doc_id", langs.alias("group"), own.alias("leaf"), claimed.alias("claimed"))
-    leaves = settle(numbered(rows, "group", ["doc_id", "leaf"]).select("doc_id", "leaf", "claimed", F.col("first").alias("tree"), "at", "n"))
+    other = F.lit(None).cast("string") if tampered is None else F.when(tampered.isNotNull(), leaf_digest(tampered))
+    rows = docs.select(*[F.col(c) for c in FIELDS]).select("doc_id", langs.alias("group"), leaf_digest().alias("leaf"), other.alias("told"))
+    rows = rows.withColumn("told", F.when(F.col("told") != F.col("leaf"), F.col("told")))
+    leaves = settle(numbered(rows, "group", ["doc_id", "leaf"]).select(
+        "doc_id", "leaf", "told", F.col("first").alias("tree"), "at", "n", (F.col("first") + F.col("at")).alias("leaf_row")))
     inner, tops = build(leaves.withColumnRenamed("leaf", "digest"), arity)
-    heads = settle(numbered(tops.withColumn("group", F.lit(_ROOT)), "group", ["tree"]).select("tree", F.col("digest").alias("subroot"), "at", "n"))
-    upper, top = build(heads.select(F.lit(_ROOT).cast("long").alias("tree"), "at", "n", F.col("subroot").alias("digest")), arity)
+    heads = settle(numbered(tops.withColumn("group", F.lit(0)), "group", ["tree"]).select("tree", F.col("digest").alias("subroot"), "at", "n"))
+    upper, top = build(heads.select(F.lit(-1).cast("long").alias("tree"), "at", "n", F.col("subroot").alias("digest")), arity)
     root = top.select("digest").first()
     root = F.lit(root["digest"] if root else None).cast("string")
     many = F.col("n") > 1
-    links = heads.select(
-        "tree", "subroot", F.when(many, _node(F.lit(_ROOT), 1, F.floor(F.col("at") / arity))).alias("up"),
-        F.when(many, F.pmod("at", F.lit(arity))).cast("int").alias("slot"))
-    over = links.where("false").select("tree", "up", "slot")
-    stored = [_linked(level, way, arity).select(_node(F.col("tree"), F.col("level"), F.col("at")).alias("node"), "up", "slot", "kids")
-              for level, way in ((inner, links), (upper, over)) if level is not None]
-    nodes = docs.sparkSession.createDataFrame([], f"node {_NODE}, up {_NODE}, slot int, kids string")
-    for part in stored:
-        nodes = nodes.unionByName(part)
-    nodes = settle(nodes)
-    key = F.struct("tree", "at").alias("leaf_row")
-    placed = _linked(leaves.withColumn("level", F.lit(0)), links, arity).select(key, "up", "slot", "claimed")
-    steps = climb(placed, nodes)
-    named = leaves.join(links.select("tree", "subroot"), "tree").select(key, "doc_id", "leaf", "subroot")
-    both = steps.select("leaf_row", "step", "folded", "siblings", *[F.lit(None).cast(named.schema[c].dataType).alias(c) for c in ("doc_id", "leaf", "subroot")])
-    both = both.unionByName(named, allowMissingColumns=True)
-    path = F.array_sort(F.collect_list(F.when(F.col("siblings").isNotNull(), F.struct("step", "siblings"))))
-    folded = both.groupBy("leaf_row").agg(
-        *[F.max(c).alias(c) for c in ("doc_id", "leaf", "subroot")], path.alias("path"), F.max_by("folded", "step").alias("folded"))
-    proof = F.sha2(F.array_join(F.transform("path", lambda p: F.lower(F.hex(p["siblings"]))), ""), 256)
-    shown = F.lower(F.hex("folded"))
-    return folded.select("doc_id", "leaf", "subroot", root.alias("root"), proof.alias("proof_sha256"), shown.alias("folded_root"), (shown == root).alias("verified"))
+    links = few(settle(heads.select(
+        "tree", "subroot", F.when(many, _node(F.lit(-1), F.lit(1), F.floor(F.col("at") / arity), arity)).alias("up"),
+        F.when(many, F.pmod("at", F.lit(arity))).cast("int").alias("slot"))))
+    nodes = docs.sparkSession.createDataFrame([], "node long, up long, slot int, kids binary")
+    for level, way in ((inner, links), (upper, links.where("false"))):
+        if level is not None:
+            named = _node(F.col("tree"), F.col("level"), F.col("at"), arity).alias("node")
+            nodes = nodes.unionByName(_linked(level, way, arity).select(named, "up", "slot", F.unhex("kids").alias("kids")))
+    nodes = settle(nodes.repartition("node", "up"))  # every round reads them, so not as one part for each level's parts
+    placed = _linked(leaves.withColumn("level", F.lit(0)), links, arity)
+    ends = climb(placed.select("leaf_row", "up", "slot", F.coalesce("told", "leaf").alias("claimed")), nodes)
+    out = leaves.join(links.select("tree", "subroot"), "tree").join(ends, "leaf_row")
+    return out.select("doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256", F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified"))
 
 
 def lowered_third(doc_id: str = "doc_id", text: str = "text") -> Column:
