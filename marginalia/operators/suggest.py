@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +13,12 @@ from ..functions.text import distinct_ci, let
 from .graph import note_keys, resolve
 from .notes import entries, frontmatter_links, headings, natural_lines, note_facts, wikilinks
 from .refs import reference_targets
+from .phrases import phrase_hits
 from .settle import settle
-from .skew import fits, top_k
+from .skew import top_k
 from .tags import alias_closure, note_tags, tag_statistics
 
 TOP = 14
-SMALL_PHRASES = 2000
 
 
 def _terms_of(texts: Column) -> Column:
@@ -174,34 +172,6 @@ def source_texts(notes: DataFrame, profiles: DataFrame, ctx: DataFrame) -> DataF
     return body.unionByName(rest).unionByName(linked).where("text <> ''")
 
 
-def phrase_hits(texts: DataFrame, phrases: DataFrame, small: int = SMALL_PHRASES) -> DataFrame:
-    """(path, source, phrase) for every phrase a text contains. ASCII-initial phrases ignore case, others do not.
-
-    A small dictionary (checked) is folded into the plan and tested in the row. A larger one is joined: a phrase is keyed by its
-    first three characters, a text offers its distinct three-character windows, and the candidates are checked.
-    """
-    wanted = phrases.select(F.trim("phrase").alias("phrase")).where("phrase <> ''").distinct()
-    found = lambda text, p: F.when(p.rlike("^[A-Za-z]"), F.contains(F.lower(text), F.lower(p))).otherwise(F.contains(text, p))
-    if fits(wanted, small):
-        listed = json.dumps(sorted(r.phrase for r in wanted.limit(small).collect()), ensure_ascii=False)
-        dictionary = F.from_json(F.lit(listed), "array<string>")
-        hits = let(
-            F.struct(F.col("text").alias("t"), F.lower("text").alias("low")),
-            lambda x: F.filter(
-                dictionary,
-                lambda p: F.when(p.rlike("^[A-Za-z]"), F.contains(x["low"], F.lower(p))).otherwise(F.contains(x["t"], p)),
-            ),
-        )
-        return texts.select("path", "source", F.explode(hits).alias("phrase"))
-    keyed = wanted.withColumn("gram", F.lower(F.substring("phrase", 1, 3)))
-    windows = F.array_distinct(F.concat(*[
-        F.regexp_extract_all(F.lower("text"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)
-    ]))
-    grams = texts.select("path", "source", F.explode(windows).alias("gram"))
-    candidates = grams.join(keyed, "gram").select("path", "source", "phrase")
-    return candidates.join(texts, ["path", "source"]).where(found(F.col("text"), F.col("phrase"))).select("path", "source", "phrase")
-
-
 def _phrase_suggestions(hits, facts, words, kind, score, sources, stage, with_source=False):
     """Suggestions from phrase hits. ``words``: (tag, phrase, extra columns). ``score`` is an expression over ``m``."""
     extra = [c for c in words.columns if c not in ("tag", "phrase")]

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -169,12 +171,22 @@ def test_watch_config_and_corrections(spark, tmp_path):
     assert speech.correct(spark.createDataFrame([("aab",)], "text string"), ordered).first().text == "ccc"
 
 
-def test_phrase_hits_agree_for_small_and_large_dictionaries(spark):
-    texts = spark.createDataFrame([("p", "body", "The Party of 数据治理 in Q4"), ("q", "title", "nothing")], "path string, source string, text string")
-    phrases = spark.createDataFrame([("art",), ("数据",), ("治理x",), ("Q4",), ("thing",), ("in",)], "phrase string")
-    small = {tuple(r) for r in suggest.phrase_hits(texts, phrases).collect()}
-    large = {tuple(r) for r in suggest.phrase_hits(texts, phrases, small=1).collect()}
-    assert small == large == {("p", "body", "art"), ("p", "body", "数据"), ("p", "body", "Q4"), ("p", "body", "in"), ("q", "title", "thing"), ("q", "title", "in")}
+def test_phrase_hits_match_a_loop(spark):
+    """One automaton, and one for nearly every phrase, find what a loop over all phrases and texts finds; the case of a phrase's first letter decides."""
+    rnd = random.Random(4)
+    texts = [("p", "body", "The Party of 数据治理 in Q4"), ("q", "title", "nothing"), ("r", "body", None), ("s", "body", ""), ("t", "body", "aAbB" * 50000 + "İstanbul end")]
+    texts += [(f"x{i}", "body", "".join(rnd.choice("abAB数据 é") for _ in range(200))) for i in range(30)]
+    phrases = ["art", "数据", "治理x", "Q4", "thing", "in", "Art", " in ", "", "é", "1", "bbaabb", "İst", "END", "End"]
+    phrases += ["".join(rnd.choice("abAB数据 é") for _ in range(rnd.randint(1, 5))) for _ in range(80)]
+    want = {
+        (p, s, w.strip(" ")) for p, s, t in texts for w in phrases
+        if w.strip(" ") and t and (w.strip(" ").lower() in t.lower() if re.match("[A-Za-z]", w.strip(" ")) else w.strip(" ") in t)}
+    t = spark.createDataFrame(texts, "path string, source string, text string")
+    w = spark.createDataFrame([(x,) for x in phrases], "phrase string")
+    for limit in (1 << 20, 200):
+        got = [tuple(r) for r in suggest.phrase_hits(t, w, limit).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert suggest.phrase_hits(t, w.where("false")).count() == 0
 
 
 def test_suggestions(spark, notes):
