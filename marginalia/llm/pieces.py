@@ -96,13 +96,15 @@ def _edges(p: Pieces, points: np.ndarray) -> list[list[tuple[int, int, float]]]:
     """For every end, the pieces (start, id, score) that end there; id -1 is a character spelled in bytes."""
     text = "".join("\U0010ffff" if c == LITERAL else chr(c) for c in points.tolist())
     out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(points) + 1)]
+    known, scores, literal = p.known, p.scores, "\U0010ffff"
     for e in range(1, len(points) + 1):
-        for s in range(max(0, e - p.longest), e):
-            i = p.known.get(text[s:e], -1)
-            if i >= 0 and not (e - s == 1 and points[s] == LITERAL):
-                out[e].append((s, i, float(p.scores[i])))
-            elif e - s == 1:
-                out[e].append((s, -1, p.unknown))
+        here = out[e]
+        for s in range(max(0, e - p.longest), e - 1):
+            i = known.get(text[s:e])
+            if i is not None:
+                here.append((s, i, float(scores[i])))
+        i = known.get(text[e - 1], -1) if text[e - 1] != literal else -1
+        here.append((e - 1, i, float(scores[i]) if i >= 0 else p.unknown))
     return out
 
 
@@ -119,20 +121,34 @@ def n_best(p: Pieces, points: np.ndarray, n: int) -> list[tuple[float, tuple[int
     forward = [0.0] + [-np.inf] * len(points)
     for e in range(1, len(points) + 1):
         forward[e] = max(forward[s] + w for s, _, w in edges[e])
-    heap = [(-forward[-1], 0, len(points), 0.0, ())]
-    out, count = [], 1
+    kept: dict[int, list[tuple[float, int, int, float]]] = {}
+
+    def ways(at: int) -> list[tuple[float, int, int, float]]:
+        """(best score up to ``at`` by this piece, start, id, score), best first, of equal ones the longest piece."""
+        if at not in kept:
+            kept[at] = sorted(((forward[s] + w, s, i, w) for s, i, w in edges[at]), key=lambda x: (-x[0], x[1]))
+        return kept[at]
+
+    # a node waits with its best way only; taking a way brings in the next one and the node it leads to. Equal scores go on where less is left.
+    end = len(points)
+    heap = [(-forward[-1], end, 0, end, 0, 0.0, ())] if end else []
+    out, count = [(0.0, ())] if not end else [], 1
     while heap and len(out) < n:
-        _, _, at, behind, path = heapq.heappop(heap)
-        if at == 0:
-            spans = []
-            while path:
-                spans.append(path[0])
-                path = path[1]
-            out.append((behind, _spell(p, points, spans)))
-            continue
-        for s, i, w in edges[at]:
-            heapq.heappush(heap, (-(forward[s] + w + behind), count, s, behind + w, ((s, at, i), path)))
+        _, _, _, at, j, behind, path = heapq.heappop(heap)
+        options = ways(at)
+        if j + 1 < len(options):
+            heapq.heappush(heap, (-(options[j + 1][0] + behind), at, -count, at, j + 1, behind, path))
+        _, s, i, w = options[j]
+        path, behind = ((s, at, i), path), behind + w
+        if s:
             count += 1
+            heapq.heappush(heap, (-(ways(s)[0][0] + behind), s, -count, s, 0, behind, path))
+            continue
+        spans = []
+        while path:
+            spans.append(path[0])
+            path = path[1]
+        out.append((behind, _spell(p, points, spans)))
     return out
 
 
@@ -141,50 +157,60 @@ def _side_by_side(p: Pieces, words: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     and the pieces of the best path, last piece first: ends and ids by step."""
     n, width = words.shape
     length = (words >= 0).sum(axis=1)
+    words = np.ascontiguousarray(words.T)  # characters first, so that every step below reads and writes whole rows
     reach = min(p.longest, width)
-    score = np.full((reach, n, width), -np.inf)  # by piece length and start
-    ids = np.full((reach, n, width), -1, np.int32)
-    h = np.zeros((n, width), np.uint64)
+    score = np.full((reach, width, n), -np.inf)  # by piece length and start
+    ids = np.full((reach, width, n), -1, np.int32)
+    h = np.zeros((width, n), np.uint64)
+    sizes = []  # piece lengths that occur
     with np.errstate(over="ignore"):
         for k in range(1, reach + 1):
-            tail = words[:, k - 1 :]
-            h = h[:, : width - k + 1] * _BASE + (tail + 1).astype(np.uint64)
+            tail = words[k - 1 :]
+            h = h[: width - k + 1] * _BASE + (tail + 1).astype(np.uint64)
             ok = tail >= 0
+            if not ok.any():
+                break
             found = np.full(ok.shape, -1, np.int32)
             found[ok] = _find(p, mix(h[ok]))
-            ids[k - 1, :, : width - k + 1] = found
-            score[k - 1, :, : width - k + 1] = np.where(found >= 0, p.scores[np.maximum(found, 0)], -np.inf)
-    spelled = (ids[0] < 0) & (words >= 0)
-    score[0][spelled] = p.unknown
-    forward = np.full((n, width + 1), -np.inf)
-    forward[:, 0] = 0.0
-    back = np.zeros((n, width + 1), np.int64)
+            if k == 1 or (found >= 0).any():
+                sizes.append(k)
+                ids[k - 1, : width - k + 1] = found
+                score[k - 1, : width - k + 1] = np.where(found >= 0, p.scores[np.maximum(found, 0)], -np.inf)
+    score[0][(ids[0] < 0) & (words >= 0)] = p.unknown
+    forward = np.full((width + 1, n), -np.inf)
+    forward[0] = 0.0
+    back = np.ones((width + 1, n), np.int64)
     for e in range(1, width + 1):
-        options = np.stack([forward[:, e - k] + score[k - 1, :, e - k] for k in range(1, min(reach, e) + 1)])
-        back[:, e] = options.argmax(axis=0) + 1
-        forward[:, e] = options.max(axis=0)
-    backward = np.full((n, width + 1), -np.inf)
-    backward[np.arange(n), length] = 0.0
-    for s in range(width - 1, -1, -1):
-        options = np.stack([score[k - 1, :, s] + backward[:, s + k] for k in range(1, min(reach, width - s) + 1)])
-        backward[:, s] = np.where(length == s, 0.0, np.maximum(backward[:, s], options.max(axis=0)))
-    best = forward[np.arange(n), length]
+        for k in sizes:
+            if k <= e:
+                option = forward[e - k] + score[k - 1, e - k]
+                better = option > forward[e]
+                back[e][better] = k
+                np.maximum(forward[e], option, out=forward[e])
+    backward = np.full((width + 1, n), -np.inf)
+    for s in range(width, -1, -1):
+        for k in sizes:
+            if s + k <= width:
+                np.maximum(backward[s], score[k - 1, s] + backward[s + k], out=backward[s])
+        backward[s][length == s] = 0.0
+    every = np.arange(n)
+    best = forward[length, every]
     # the best path, from its end
-    at, steps, used = length.copy(), [], np.zeros((reach, n, width), bool)
+    at, steps, used = length.copy(), [], np.zeros((reach, width, n), bool)
     while (at > 0).any():
         on = np.flatnonzero(at > 0)
-        k = back[on, at[on]]
+        k = back[at[on], on]
         start = at[on] - k
         step = np.full((n, 3), -2, np.int64)
-        step[on] = np.column_stack([start, at[on], ids[k - 1, on, start]])
-        used[k - 1, on, start] = True
+        step[on] = np.column_stack([start, at[on], ids[k - 1, start, on]])
+        used[k - 1, start, on] = True
         steps.append(step)
         at[on] = start
     second = np.full(n, -np.inf)
-    for k in range(1, reach + 1):
-        through = forward[:, : width - k + 1] + score[k - 1, :, : width - k + 1] + backward[:, k:]
-        through[used[k - 1, :, : width - k + 1]] = -np.inf
-        second = np.maximum(second, through.max(axis=1))
+    for k in sizes:
+        through = forward[: width - k + 1] + score[k - 1, : width - k + 1] + backward[k:]
+        through[used[k - 1, : width - k + 1]] = -np.inf
+        np.maximum(second, through.max(axis=0), out=second)
     return best, best - second, length, steps
 
 
@@ -205,8 +231,38 @@ def _merge(choices: list[tuple[int, list[tuple[float, tuple[int, ...]]]]], n: in
     return out
 
 
+_KEPT_WORDS = 200_000
+
+
+class _Words:
+    """Segmented words of earlier blocks of a task, by hash; emptied when ``_KEPT_WORDS`` are exceeded."""
+
+    def __init__(self):
+        self.keys, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.best, self.cost = np.zeros(0), np.zeros(0)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.choices: dict[int, list] = {}
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of ``keys`` among the kept words, -1 for new ones."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, at, -1) if len(self.keys) else np.full(len(keys), -1)
+
+    def keep(self, keys: np.ndarray, best: np.ndarray, cost: np.ndarray, begin: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """Add words whose pieces are ``ids`` (all kept ids and new ones behind them) from ``begin`` on."""
+        if len(self.keys) + len(keys) > _KEPT_WORDS:
+            self.__init__()
+            return
+        order = np.argsort(np.append(self.keys, keys))
+        self.keys, self.best, self.cost, self.begin, self.count = (
+            np.append(a, b)[order] for a, b in ((self.keys, keys), (self.best, best), (self.cost, cost), (self.begin, begin), (self.count, count)))
+        self.ids = ids
+
+
 def _encode(p: Pieces, n: int):
     table = separators()
+    words = _Words()
 
     def batch_of(points: np.ndarray, edges: np.ndarray) -> Iterator[tuple[np.ndarray, float, list]]:
         """Encode the texts ``edges`` cut out of ``points``."""
@@ -219,9 +275,12 @@ def _encode(p: Pieces, n: int):
             place = np.arange(len(points)) - np.repeat(at, size)
             key = mix(mix((points.astype(np.uint64) + np.uint64(1)) + (place.astype(np.uint64) << np.uint64(32))) * np.uint64(3))
             whole = mix(np.add.reduceat(key, at)) if len(at) else np.zeros(0, np.uint64)
-        _, first, word_of = np.unique(whole, return_index=True, return_inverse=True)
-        lengths = size[first]
+        keys, first, word_of = np.unique(whole, return_index=True, return_inverse=True)
+        kept = words.find(keys)
+        new = kept < 0
+        lengths = np.where(new, size[first], 0)
         best, cost = np.zeros(len(first)), np.full(len(first), np.inf)
+        best[~new], cost[~new] = words.best[kept[~new]], words.cost[kept[~new]]
         flat: list[tuple[np.ndarray, np.ndarray]] = []  # (word, ids) of all pieces of the best paths, in order
         low = 0
         for width in (*_WIDTHS, None):
@@ -266,26 +325,31 @@ def _encode(p: Pieces, n: int):
         if len(word):
             head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             begin[word[head]] = head
+        begin += len(words.ids)
+        begin[~new], count[~new] = words.begin[kept[~new]], words.count[kept[~new]]
+        ids = np.append(words.ids, ids)
         many = count[word_of]
         gather = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - begin[word_of], many)
         stream, to = ids[gather], np.append(0, np.cumsum(many))
+        words.keep(keys[new], best[new], cost[new], begin[new], count[new], ids)
         cut = np.searchsorted(at, edges)
-        known: dict[int, list] = {}
+        known = words.choices
         for i in range(len(edges) - 1):
-            words = word_of[cut[i] : cut[i + 1]]
-            total = float(best[words].sum())
+            own = word_of[cut[i] : cut[i + 1]]
+            total = float(best[own].sum())
             pieces = stream[to[cut[i]] : to[cut[i + 1]]]
             others = []
-            if n > 1 and len(words):
-                least = cost[words]
+            if n > 1 and len(own):
+                least = cost[own]
                 near = np.argsort(least, kind="stable")[: n - 1] if len(least) <= 4 * n else (lambda c: c[np.argsort(least[c], kind="stable")][: n - 1])(np.flatnonzero(least <= np.partition(least, n - 2)[n - 2]))
                 choices = []
                 for x in near[np.isfinite(least[near])]:
-                    w = int(words[x])
-                    if w not in known:
-                        known[w] = n_best(p, points[at[first[w]] : at[first[w]] + lengths[w]], n)
-                    if len(known[w]) > 1:
-                        choices.append((int(x), known[w]))
+                    w = int(own[x])
+                    key = int(keys[w])
+                    if key not in known:
+                        known[key] = n_best(p, points[at[first[w]] : at[first[w]] + size[first[w]]], n)
+                    if len(known[key]) > 1:
+                        choices.append((int(x), known[key]))
                 for extra, changed in _merge(choices, n)[1:]:
                     base = int(to[cut[i]])
                     edits = sorted((int(to[cut[i] + x]) - base, int(to[cut[i] + x + 1]) - base, list(new)) for x, new in changed)
