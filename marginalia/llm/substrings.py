@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,13 +82,15 @@ def _ragged(starts: np.ndarray, spans: np.ndarray) -> np.ndarray:
 def _alive(lists: pa.Array, block: Block, size: int) -> np.ndarray:
     """Flags of the block's full windows that the previous level left."""
     out = np.zeros(len(block.starts) + 1, bool)
-    for i, row in enumerate(block.rows):
-        found = lists[row].as_py()
-        if found:
-            base = block.first[i]
-            for piece in found:
-                pairs = np.frombuffer(piece, np.int32).reshape(-1, 2)
-                out[base + _ragged(pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64))] = True
+    mine = lists.slice(block.rows.start, len(block.rows))
+    pieces = mine.flatten()  # skips null lists
+    if len(pieces):
+        counts = np.nan_to_num(pc.list_value_length(mine).to_numpy(zero_copy_only=False)).astype(np.int64)
+        sizes = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+        offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+        pairs = np.frombuffer(pieces.buffers()[2], np.int32, count=(int(offsets[-1]) - int(offsets[0])) // 4, offset=int(offsets[0])).reshape(-1, 2).astype(np.int64)
+        base = np.repeat(np.repeat(np.asarray(block.first[: len(counts)]), counts), sizes)
+        out[_ragged(base + pairs[:, 0], pairs[:, 1])] = True
     return out[:-1]
 
 
@@ -219,8 +222,9 @@ def _judge(full: bool):
     return run
 
 
-def _finish(size: int):
+def _finish(size: int, with_text: bool):
     table = separators()
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 5 if with_text else 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,14 +248,16 @@ def _finish(size: int):
                 left = np.diff(edge)
                 for i in range(len(counts)):
                     text = out[to[edge[i]] : max(to[edge[i]], to[edge[i + 1]] - 1)].tobytes()
-                    kept_texts.append(text)
+                    if with_text:
+                        kept_texts.append(text)
                     shas.append(hashlib.sha256(text).hexdigest())
                 words.append(counts)
                 removed.append(counts - left)
-            yield pa.RecordBatch.from_arrays([
+            columns = [
                 batch.column("doc_id"), pa.array(np.concatenate(words) if words else [], pa.int64()), pa.array(np.concatenate(removed) if removed else [], pa.int64()),
                 pa.array(shas, pa.string()), pa.array(kept_texts, pa.binary()).cast(pa.string()),
-            ], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            ]
+            yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
     return run
 
@@ -275,9 +281,11 @@ def remove_repeats(docs: DataFrame, size: int = 35, with_text: bool = False) ->
         level = source.mapInArrow(_emit(size, length, full), _ROW).repartition("k").sortWithinPartitions("k")
         return level.mapInArrow(_judge(full), "rid long, piece binary").groupBy("rid").agg(F.collect_list("piece").alias("found"))
 
-    # both joins read one and the same exchange of the texts; the small side is hashed, so texts are never sorted
-    survivors = places(rows, base, False).hint("shuffle_hash")
-    found = places(rows.join(survivors, "rid").select("rid", "doc_id", "text", "found"), half, True).hint("shuffle_hash")
-    out = rows.join(found, "rid", "left").select("rid", "doc_id", "text", "found")
-    out = out.mapInArrow(_finish(size), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
-    return out if with_text else out.drop("kept")
+    def with_found(level: DataFrame, how: str = "inner") -> DataFrame:
+        return rows.join(level.hint("shuffle_hash"), "rid", how).select("rid", "doc_id", "text", "found")
+
+    # all joins read one and the same exchange of the texts; the small side is hashed, so texts are never sorted
+    level = places(with_found(places(rows, base, False)), half, False)
+    found = places(with_found(level), half, True)
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
+    return with_found(found, "left").mapInArrow(_finish(size, with_text), schema)
