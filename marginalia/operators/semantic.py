@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import let, trim_all
+from .settle import settle
 from .skew import top_k
+from .vectors import build_index, search
 
-BLOCK = 500
 RESULTS = 20
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def comparable(vectors: DataFrame) -> DataFrame:
+    """Rows whose embedding has a length, no null and no value that is not finite."""
+    e = F.col("embedding")
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.where(e.isNotNull() & finite & F.exists(e, lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = RESULTS, exclude_folders: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = RESULTS, exclude_folders: list[str] | None = None) -> DataFrame:
     """The ``k`` vectors most similar (cosine) to every query: (query_id, rank, vec_id, score).
 
-    ``vectors``: vec_id, embedding, optional path and heading; ``queries``: query_id, embedding, optional own_id to leave out.
-    The search is exact: every vector is scored against a block of queries held as a plan constant, so the large side is scanned in place
-    and only the best ``k`` per query and task are shuffled. More queries mean more blocks, not a larger constant.
+    ``vectors``: vec_id, embedding, optional path and heading; ``queries``: query_id, embedding, optional own_id to leave out. Any number of
+    queries: equal vectors and equal queries are searched once, by ``vectors.search``, with one more than ``k`` as a query may leave itself out. A vector
+    that is null, zero or not finite takes no part; a query meets the vectors of its own length.
     """
     rows = vectors
     if "path" in vectors.columns:
@@ -33,27 +35,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = RESULTS, exclude_fo
     if "heading" in vectors.columns:
         rows = rows.where(F.col("heading").isNull() | ~F.col("heading").isin(*fixed.SEMANTIC_EXCLUDED_HEADINGS))
     own = F.col("own_id") if "own_id" in queries.columns else F.lit(None)
-    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), own.cast("bigint").alias("own_id"), "embedding")
-    total = asked.count()
-    blocks = max(1, -(-total // block))
-    parts = []
-    for n in range(blocks):
-        chunk = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else asked
-        listed = json.dumps([{"q": r.query_id, "o": r.own_id, "e": list(r.embedding)} for r in chunk.collect()])
-        constant = F.from_json(F.lit(listed), "array<struct<q:string,o:bigint,e:array<float>>>")
-        me = F.col("embedding")
-        scored = let(
-            F.sqrt(dot(me, me)),
-            lambda norm: F.transform(
-                F.filter(constant, lambda q: q["o"].isNull() | (q["o"] != F.col("vec_id"))),
-                lambda q: F.struct(q["q"].alias("query_id"), (dot(me, q["e"]) / (norm * F.sqrt(dot(q["e"], q["e"])))).alias("score")),
-            ),
-        )
-        parts.append(rows.select("vec_id", F.explode(scored).alias("s")).select("s.query_id", "vec_id", "s.score"))
-    all_rows = parts[0]
-    for p in parts[1:]:
-        all_rows = all_rows.unionByName(p)
-    return top_k(all_rows, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    plain = lambda df: df.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    rows = comparable(plain(rows.select("vec_id", "embedding")))
+    asked = settle(comparable(plain(queries.select(F.col("query_id").cast("string").alias("query_id"), own.cast("bigint").alias("own_id"), "embedding"))))
+    # of equal vectors only the k + 1 smallest ids can be in a list
+    copies = settle(top_k(rows, ["embedding"], [F.asc("vec_id")], k + 1, "_copy"))
+    distinct = settle(copies.where("_copy = 1").select(F.col("vec_id").alias("id"), "embedding"))
+    once = settle(asked.select("embedding").distinct().withColumn("id", F.monotonically_increasing_id()))
+    found = None
+    for (size,) in distinct.select(F.size("embedding")).distinct().collect():  # lengths are few
+        index = build_index(distinct.where(F.size("embedding") == size), k + 1)
+        part = search(index, once.where(F.size("embedding") == size), k + 1)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return asked.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
+    sets = copies.select("vec_id", "embedding").join(distinct, "embedding").select(F.col("id"), "vec_id")
+    listed = found.drop("rank").join(sets, "id").join(once.select(F.col("id").alias("query"), "embedding"), "query")
+    hits = asked.join(listed.select("embedding", "vec_id", "score"), "embedding").where("own_id IS NULL OR own_id <> vec_id")
+    return top_k(hits.select("query_id", "vec_id", "score"), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
 def _text(v: Column, *names: str) -> Column:

@@ -9,6 +9,7 @@ from ..functions.text import clean_list, distinct_ci, facet_label, let, trim_all
 from .notes import (
     FRONTMATTER, as_list, entries, fence_flags, file_rank, raw_value, strip_frontmatter,
 )
+from .settle import settle
 
 
 def note_tags(facts: DataFrame) -> DataFrame:
@@ -81,6 +82,46 @@ def shared_tags(requests: DataFrame, facts: DataFrame) -> DataFrame:
     return mine.join(tags.select("path", "tag", "tag_key"), "tag_key").where("path <> current").select("request_id", "path", "tag")
 
 
+def tag_classes(facts: DataFrame) -> DataFrame:
+    """Notes by their whole set of tags: (path, class_path, keys), where ``class_path`` is the smallest path with exactly these keys. Notes without tags have none."""
+    sets = facts.select("path", F.array_sort(F.array_distinct(F.transform("tags", F.lower))).alias("keys")).where(F.size("keys") > 0)
+    first = sets.groupBy("keys").agg(F.min("path").alias("class_path"))
+    return sets.join(first, "keys").select("path", "class_path", "keys")
+
+
+def similar_tag_sets(classes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """S3 for all notes at once: pairs of tag sets with a Jaccard similarity of at least ``threshold``: (path_a, path_b, shared, similarity), by the classes of
+    ``tag_classes``; notes of one class share all of their tags.
+
+    Two sets of n and m tags need an overlap o(n, m). With tags in one order, rare ones first, the first n - o + 1 of one and m - o + 1 of the other have a tag
+    in common. So each set offers those, keyed by tag and both sizes, and sets meet on equal keys. A common tag comes last and is a key only
+    where the sizes leave no rarer one.
+    """
+    sets = settle(classes.where("path = class_path").select("path", "keys"))
+    words = sets.select("path", F.explode("keys").alias("tag"))
+    counts = words.groupBy("tag").agg(F.count(F.lit(1)).alias("uses"))
+    ordered = words.join(counts, "tag").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("uses", "tag"))).alias("ranked"))
+    ordered = ordered.withColumn("n", F.size("ranked"))
+    low = F.ceil(F.col("n") * threshold - 1e-9).cast("int")
+    high = F.floor(F.col("n") / threshold + 1e-9).cast("int")
+    sized = ordered.select("path", "ranked", "n", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)).alias("m"))
+    need = F.ceil((F.col("n") + F.col("m")) * threshold / (1 + threshold) - 1e-9).cast("int")
+    keyed = sized.where(need <= F.least("n", "m")).select(
+        "path", "n", "m", F.explode(F.slice("ranked", F.lit(1), F.col("n") - need + 1)).alias("r"), F.transform("ranked", lambda x: x["tag"]).alias("keys"))
+    keyed = settle(keyed.select("path", "n", "m", F.col("r.tag").alias("tag"), "keys"))
+    left = keyed.where("n <= m").select(F.col("path").alias("path_a"), "n", "m", "tag", F.col("keys").alias("keys_a"))
+    right = keyed.where("n >= m").select(F.col("path").alias("path_b"), F.col("m").alias("n"), F.col("n").alias("m"), "tag", F.col("keys").alias("keys_b"))
+    met = left.join(right, ["n", "m", "tag"]).where("n < m OR path_a < path_b")
+    shared = F.array_sort(F.array_intersect("keys_a", "keys_b"))
+    # the first tag that both offer stands for the pair
+    offered = lambda keys, n, m: F.slice(keys, F.lit(1), n - F.ceil((n + m) * threshold / (1 + threshold) - 1e-9).cast("int") + 1)
+    both = F.array_intersect(offered("keys_a", F.col("n"), F.col("m")), offered("keys_b", F.col("m"), F.col("n")))
+    found = met.where(F.col("tag") == both[0]).withColumn("shared", shared).withColumn("similarity", F.size("shared") / (F.col("n") + F.col("m") - F.size("shared")))
+    swapped = F.col("path_a") > F.col("path_b")
+    return found.where(F.col("similarity") >= threshold - 1e-12).select(
+        F.when(swapped, F.col("path_b")).otherwise(F.col("path_a")).alias("path_a"), F.when(swapped, F.col("path_a")).otherwise(F.col("path_b")).alias("path_b"), "shared", "similarity")
+
+
 def missing_tags(wanted: DataFrame, facts: DataFrame) -> DataFrame:
     """(path, tag) rows whose note does not carry the tag yet."""
     have = note_tags(facts).select("path", "tag_key")

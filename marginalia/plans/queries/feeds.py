@@ -328,15 +328,14 @@ UNION ALL SELECT conv_id, turn, 'plain', md5('On 2024-01-01 ' || role || role ||
 
 
 def e1(spark, sf):
+    """Every vector asks."""
     v = table(spark, sf, "embeddings")
-    first = v.groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("q"))
-    asked = first.select(F.col("label").alias("query_id"), F.col("q.vec_id").alias("own_id"), F.col("q.embedding").alias("embedding"))
-    out = semantic.nearest(v.select("vec_id", "embedding"), asked)
-    return plain(out.select("query_id", "rank", "vec_id", F.round("score", 4).alias("score")))
+    asked = v.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("own_id"), "embedding")
+    return plain(semantic.nearest(v.select("vec_id", "embedding"), asked).select("query_id", "rank", "vec_id", F.round("score", 4).alias("score")))
 
 
-E1 = """WITH q AS (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
-s AS (SELECT q.label::VARCHAR AS query_id, v.vec_id, list_cosine_similarity(q.e, v.embedding::DOUBLE[]) AS score FROM q JOIN embeddings v ON v.vec_id <> q.vec_id),
+E1 = """WITH s AS (SELECT q.vec_id::VARCHAR AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
+  FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.embedding IS NOT NULL AND v.embedding IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank, vec_id, round(score, 4) AS score FROM r WHERE rank <= 20"""
 

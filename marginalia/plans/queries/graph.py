@@ -143,6 +143,27 @@ SELECT m.request_id, t.tag, count(DISTINCT t.path) AS notes FROM mine m JOIN tag
     "v_notes", using=(TAGS,))
 
 
+def s3_similar(spark, sf):
+    found = tags.similar_tag_sets(tags.tag_classes(notes.note_facts(_notes(spark, sf))))
+    return plain(found.withColumn("similarity", F.round("similarity", 6)))
+
+
+_TAG_SETS = """sets AS (SELECT path, list_sort(list_distinct(list(tag_key))) AS keys FROM tags GROUP BY path),
+classes AS (SELECT *, min(path) OVER (PARTITION BY keys) AS class_path FROM sets)"""
+
+S3_SIMILAR = oracle(f"""WITH {_TAG_SETS}, c AS (SELECT path, keys FROM classes WHERE path = class_path),
+p AS (SELECT a.path AS path_a, b.path AS path_b, list_sort(list_intersect(a.keys, b.keys)) AS shared, len(a.keys) + len(b.keys) AS n FROM c a JOIN c b ON a.path < b.path)
+SELECT path_a, path_b, array_to_string(shared, '|') AS shared, round(len(shared) / (n - len(shared)), 6) AS similarity FROM p WHERE len(shared) / (n - len(shared)) >= 0.5""",
+    "v_notes", using=(TAGS,))
+
+
+def s3_members(spark, sf):
+    return plain(tags.tag_classes(notes.note_facts(_notes(spark, sf))))
+
+
+S3_MEMBERS = oracle(f"WITH {_TAG_SETS} SELECT path, class_path, array_to_string(keys, '|') AS keys FROM classes", "v_notes", using=(TAGS,))
+
+
 def g4(spark, sf):
     v = _notes(spark, sf)
     return plain(graph.dashboard(v, notes.note_facts(v), mentions.unlinked_mentions(v)))
@@ -329,6 +350,8 @@ QUERIES = {
     "S1_link_union": Query(on_view("v_notes", graph.raw_links), S1),
     "S2_missing_tags": Query(s2, S2),
     "S3_shared_tags": Query(s3, S3),
+    "S3_similar_tag_sets": Query(s3_similar, S3_SIMILAR),
+    "S3_tag_classes": Query(s3_members, S3_MEMBERS),
     "G4_dashboard": Query(g4, G4),
     "C18_reference_previews": Query(on_view("v_notes", graph.reference_previews), C18),
     "W1_paragraphs": Query(on_view("v_notes", refs.island_table), W1),

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 from pyspark.sql import functions as F
 
 from marginalia.functions import paths, text
@@ -158,3 +161,20 @@ def test_title_weights(spark):
     titles = ["", "abcdefgh", "你好吗", "hello!", "😀", "Ａ", "a"]
     rows = spark.createDataFrame([(t,) for t in titles], "t string").select(text.title_weight(F.col("t")).alias("w")).collect()
     assert [r.w for r in rows] == [0, 4, 3, 3, 2, 1, 1]
+
+
+def test_similar_tag_sets_match_all_pairs(spark):
+    """A tag on every note, copies of whole sets, single tags and ties of frequency."""
+    rnd = random.Random(3)
+    rows = [(f"n{i:03}", ["Hot", *rnd.sample([f"t{j}" for j in range(25)], rnd.randint(0, 6))]) for i in range(150)] + [("z1", []), ("z2", ["x"]), ("z3", ["X", "x"])]
+    facts = spark.createDataFrame(rows, "path string, tags array<string>")
+    for threshold in (0.3, 0.5, 0.8, 1.0):
+        classes = tags.tag_classes(facts)
+        sets = {}
+        for path, words in rows:
+            sets.setdefault(frozenset(w.lower() for w in words), []).append(path)
+        sets.pop(frozenset())
+        assert {(r.path, r.class_path) for r in classes.collect()} == {(p, min(ps)) for ps in sets.values() for p in ps}
+        want = {(*sorted((min(p), min(q))), tuple(sorted(a & b))) for (a, p), (b, q) in itertools.combinations(sets.items(), 2) if len(a & b) >= threshold * len(a | b) - 1e-12}
+        got = [(r.path_a, r.path_b, tuple(r.shared)) for r in tags.similar_tag_sets(classes, threshold).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

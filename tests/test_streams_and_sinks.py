@@ -2,10 +2,11 @@ import datetime as dt
 import random
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from marginalia.operators import feeds, rank, semantic, speech, suggest
+from marginalia.operators import feeds, rank, semantic, speech, suggest, vectors
 from marginalia.operators.graph import link_edges
 from marginalia.operators.notes import note_facts
 from marginalia.sinks import notes as sinks
@@ -241,20 +242,40 @@ def test_link_candidates_match_brute_force(spark, notes):
 
 
 def test_nearest_matches_brute_force(spark):
-    import numpy as np
-
+    """Every vector asks; copies, zero, null and shorter vectors are among them, and clusters are split over several blocks."""
     rng = np.random.default_rng(1)
-    m = rng.normal(size=(40, 8)).astype("float32")
-    rows = [(i, [float(x) for x in m[i]], "Archive/Imports/x" if i == 3 else "n") for i in range(40)]
+    centres = rng.normal(size=(12, 8)) * 4
+    m = [[float(np.float32(x)) for x in centres[i % 12] + rng.normal(size=8)] for i in range(700)]
+    m += [m[0]] * 30 + [[0.0] * 8, None, [1.0, 2.0], [2.0, 1.0], [1.0, None], [float("nan")] * 8]
+    rows = [(i, x, "Archive/Imports/x" if i == 3 else "n") for i, x in enumerate(m)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, path string")
-    q = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("own_id"), "embedding")
+    asked = v.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("own_id"), "embedding")
     got = {}
-    for r in semantic.nearest(v, q, k=4, block=2).collect():
+    for r in semantic.nearest(v, asked, k=4).collect():
         got.setdefault(int(r.query_id), []).append((r.rank, r.vec_id))
-    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-    for i in range(5):
-        order = [j for j in np.argsort(-(unit @ unit[i])) if j != i and j != 3][:4]
-        assert [j for _, j in sorted(got[i])] == order
+    fine = [i for i, x in enumerate(m) if x and None not in x and any(x) and not np.isnan(x[0])]
+    unit = {i: np.array(m[i]) / np.linalg.norm(m[i]) for i in fine}
+    for i in fine:
+        others = sorted((-float(round(unit[i] @ unit[j], 12)), j) for j in fine if j not in (i, 3) and len(m[i]) == len(m[j]))[:4]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in others]
+    assert set(got) == set(fine)
+
+
+def test_search_leaves_clusters_out(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 50)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 16)) * 6
+    m = (centres[np.arange(2000) % 20] + rng.normal(size=(2000, 16))).astype("float32")
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(m)], "id long, embedding array<float>").repartition(3)
+    index = vectors.build_index(df, 5)
+    got = {}
+    for r in vectors.search(index, df, 5).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["id"]))
+    unit = m.astype("float64") / np.linalg.norm(m.astype("float64"), axis=1, keepdims=True)
+    best = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :5]
+    assert all([j for _, j in sorted(got[i])] == list(best[i]) for i in range(2000))
+    assert vectors.pairs_scored(index, df, 5) < 2000 * 2000 / 4
+    assert vectors.build_index(df.where("false"), 5) is None
 
 
 def test_levels_and_recall(spark):
