@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import distinct_ci, trim_all
+from ..functions.text import distinct_ci, let, trim_all
 from .notes import note_facts, relation_table
 from .settle import settle
 from .skew import top_k
@@ -77,15 +77,16 @@ def link_candidates(
     Every note is scored against every request, which is the feature; so the batch of requests is what must stay small.
     Blocks of at most about ``block`` requests become a constant of the plan and the notes are scanned once per block, without a join
     and without pairs leaving the row unless they can be listed. A query without text gives every note the same base
-    score, so only notes with another reason, and the first ``k`` by title, can reach the list.
+    score, so only notes with another reason, and the first ``k`` by title, can reach the list. Every row says why it is listed: see ``with_reasons``.
     """
     facts = settle(note_facts(notes))
     prepared = _requests(requests, facts, relation_table(notes, fixed.RESEARCH_RELATION_KEYS), recent)
     lower_all = lambda c: F.transform(c, F.lower)
     fields = settle(search_fields(facts, alias).select(
         "path", "basename", F.lower("path").alias("low_path"), F.lower("basename").alias("low_name"), lower_all("tags").alias("low_tags"),
-        lower_all("fields").alias("low_fields"),
+        lower_all("fields").alias("low_fields"), "tags", "fields",
     ))
+    prepared = settle(prepared)
     total = prepared.count()
     blocks = max(1, -(-total // block))
     parts = []
@@ -101,7 +102,28 @@ def link_candidates(
     for p in parts[1:]:
         rows = rows.unionByName(p)
     order = [F.desc("score"), F.collate(F.col("title"), "zh"), F.col("path")]
-    return top_k(rows, ["request_id"], order, k).select("request_id", "rank", "path", "title", "score")
+    best = top_k(rows, ["request_id"], order, k).select("request_id", "rank", "path", "title", "score")
+    return with_reasons(best, prepared, fields)
+
+
+def with_reasons(best: DataFrame, prepared: DataFrame, fields: DataFrame) -> DataFrame:
+    """Why a listed note is listed: ``reasons`` by field, then shared tags, relation and recency; and ``shared_tags`` in the note's spelling. Only the
+    few notes of a list are explained, each joined to its fields and to its request by their keys."""
+    asked = prepared.select("request_id", "q", "loose", F.col("tags").alias("my_tags"), "relations", "recent")
+    joined = best.join(asked, "request_id").join(fields.drop("basename"), "path")
+    q = F.col("q")
+
+    def reason(field: Column) -> Column:
+        return let(F.lower(field), lambda low: F.when(q == "", F.lit(None)).when(low == q, F.concat(F.lit("exact:"), field)).when(
+            F.contains(low, q), F.concat(F.lit("contains:"), field)).when(F.regexp_like(low, F.col("loose")), F.concat(F.lit("fuzzy:"), field)))
+
+    shared = F.filter("tags", lambda t: F.array_contains("my_tags", F.lower(t)))
+    related = F.array_contains("relations", F.col("low_path")) | F.array_contains("relations", F.col("low_name"))
+    told = F.array(
+        F.when(F.size("shared_tags") > 0, F.concat(F.lit("shared-tags:"), F.array_join("shared_tags", ", "))),
+        F.when(related, "relation-neighbor"), F.when(F.array_contains("recent", F.col("path")), "recent"))
+    reasons = F.array_distinct(F.array_compact(F.concat(F.transform("fields", reason), told)))
+    return joined.withColumn("shared_tags", shared).select("request_id", "rank", "path", "title", "score", reasons.alias("reasons"), "shared_tags")
 
 
 def recency_list(visits: DataFrame, size: int = 24) -> DataFrame:

@@ -11,7 +11,7 @@ from ...operators.settle import checkpoint_dir
 from ...sources.views import VIEWS, table
 from ...streaming import changes, sessions
 from .common import BODY, ISLANDS, KEYS, LINES, LINKS, REFS, TAGS, TRIM, Query, on_view, oracle, plain, view
-from .notes import alias_frame
+from .notes import _ALIAS_SQL, alias_frame
 
 
 def _notes(spark, sf):
@@ -105,6 +105,28 @@ def j8(spark, sf):
     return plain(rank.link_candidates(v, asked, alias_frame(spark)))
 
 
+_META = lambda key: rf"nullif(regexp_extract(content, '\n{key}: ([^\n]+)', 1), '')"
+_LOOSE = "list_reduce(list_prepend('', string_split(q.q, '')), lambda a, c: a || c || '[\\s\\S]*')"
+
+J8 = oracle(rf"""WITH {_REQUESTS}, {_ALIAS_SQL},
+meta AS (SELECT path, ord, basename, name, [basename, name, path, 'alias-' || ord] AS names, list_filter([{_META('citekey')},
+    array_to_string(nullif(regexp_extract(content, '\nauthors: (\[[^\n]*\])', 1), '')::JSON::VARCHAR[], ', '), {_META('year')}, {_META('source_type')}, {_META('page')}, {_META('evidence_kind')}], lambda x: x <> '') AS meta FROM v_notes),
+tagged AS (SELECT path, list(tag ORDER BY pos) AS tags FROM tags GROUP BY path),
+extra AS (SELECT path, list_sort(list_distinct(list(word))) AS extra FROM (SELECT t.path, a.alias AS word FROM tags t JOIN alias a ON a.canonical = t.tag
+    UNION ALL SELECT t.path, a.canonical FROM tags t JOIN alias a ON lower(a.alias) = t.tag_key) w GROUP BY path),
+f AS (SELECT m.path, m.basename, tags, list_filter(al, lambda x, i: list_position(list_transform(al, lambda y: lower(y)), lower(x)) = i) AS fields FROM (
+    SELECT m.*, tags, list_concat(names, tags, meta, coalesce(extra, [])) AS al FROM meta m JOIN tagged USING (path) LEFT JOIN extra USING (path)) m),
+asked AS (SELECT r.request_id, r.path AS own, r.q, t.tags AS my_tags, 'doc-' || ((n.ord * 5 + 1) % 211) AS target FROM requests r JOIN v_notes n ON n.path = r.path JOIN tagged t ON t.path = r.path),
+s AS (SELECT q.request_id, f.path, f.basename AS title, list_filter(tags, lambda t: list_contains(list_transform(my_tags, lambda x: lower(x)), lower(t))) AS shared, lower(f.basename) = q.target AS related,
+    CASE WHEN q.q = '' THEN [] ELSE list_transform(fields, lambda x: CASE WHEN lower(x) = q.q THEN 'exact:' || x WHEN contains(lower(x), q.q) THEN 'contains:' || x
+      WHEN regexp_matches(lower(x), {_LOOSE}) THEN 'fuzzy:' || x END) END AS told, q.q FROM f JOIN asked q ON f.path <> q.own),
+p AS (SELECT *, (CASE WHEN q = '' THEN 10 ELSE coalesce(list_sum(list_transform(told, lambda r: CASE WHEN starts_with(r, 'exact:') THEN 100 WHEN starts_with(r, 'contains:') THEN 45 WHEN r IS NULL THEN 0 ELSE 25 END)), 0) END
+    + 8 * len(shared) + CASE WHEN related THEN 16 ELSE 0 END)::BIGINT AS score FROM s),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, title, path) AS rank FROM p WHERE q = '' OR score > 0)
+SELECT request_id, rank, path, title, score, array_to_string(list_filter(list_concat(told, [CASE WHEN len(shared) > 0 THEN 'shared-tags:' || array_to_string(shared, ', ') END, CASE WHEN related THEN 'relation-neighbor' END]),
+  lambda r: r IS NOT NULL), '|') AS reasons, array_to_string(shared, '|') AS shared_tags FROM ranked WHERE rank <= 40""", "v_notes", using=(TAGS,))
+
+
 def w7(spark, sf):
     e = table(spark, sf, "events")
     visits = e.select(F.col("user_id").alias("user"), F.concat(F.lit("doc-"), F.col("event_id") % 60).alias("target"), "ts", F.col("event_id").alias("id"))
@@ -343,7 +365,7 @@ QUERIES = {
     "J5_range_previews": Query(j5, J5),
     "J6_block_previews": Query(on_view("v_notes", refs.block_table), J6),
     "J7_unlinked_mentions": Query(on_view("v_notes", mentions.unlinked_mentions), J7),
-    "J8_link_candidates": Query(j8),
+    "J8_link_candidates": Query(j8, J8),
     "J12_relations": Query(on_view("v_notes", lambda n: graph.resolved_relations(n).select("path", "relation_key", "target_raw", "target_path")), J12),
     "J13_dangling": Query(on_view("v_notes", graph.dangling), J13),
     "J18_changed_paths": Query(j18, J18),
