@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +12,13 @@ from ..operators.notes import is_drawing, is_supported
 from ..operators.settle import settle
 
 
-def _relative(root: str) -> Column:
+_GLOB = "*.{[mM][dD],[eE][xX][cC][aA][lL][iI][dD][rR][aA][wW]}"
+
+
+def relative(root: str) -> Column:
     """Path of a file below ``root`` (the scheme and host of the file system are ignored)."""
     bare = decode_link(F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z0-9+.-]+:/+", "/"))
-    prefix = "/" + root.split("://")[-1].strip("/") + "/"
+    prefix = "/" + re.sub(r"^[A-Za-z0-9+.-]+:/+", "", root).strip("/") + "/"
     at = F.instr(bare, prefix)
     return F.substring(bare, at + len(prefix), F.length(bare))
 
@@ -21,11 +26,12 @@ def _relative(root: str) -> Column:
 def read_notes(spark: SparkSession, root: str, numbered: bool = True) -> DataFrame:
     """A1: all supported notes below a folder: path, dir, basename, name, ext, content, is_drawing and, in path order, ord.
 
-    ``ord`` is given once by a distributed sort on the path and kept by a checkpoint, so later jobs see the same order.
+    ``ord`` comes from a distributed sort of the paths alone, kept by a checkpoint, so later jobs see the same order. Texts are neither sorted nor
+    written: a file's text meets its number by path.
     """
     files = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[mM][dD],[eE][xX][cC][aA][lL][iI][dD][rR][aA][wW]}").text(root, wholetext=True)
-        .select(_relative(root).alias("path"), F.col("value").alias("content"))
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _GLOB).text(root, wholetext=True)
+        .select(relative(root).alias("path"), F.col("value").alias("content"))
     )
     files = files.where(is_supported(F.col("path")))
     name = name_of(F.col("path"))
@@ -36,13 +42,15 @@ def read_notes(spark: SparkSession, root: str, numbered: bool = True) -> DataFra
     rows = rows.withColumn("is_drawing", is_drawing(F.col("path"), F.col("ext")))
     if not numbered:
         return rows
-    return settle(rows.orderBy("path").withColumn("ord", F.monotonically_increasing_id()))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _GLOB).load(root).select(relative(root).alias("path"))
+    order = settle(listed.where(is_supported(F.col("path"))).orderBy("path").withColumn("ord", F.monotonically_increasing_id()))
+    return rows.join(order.hint("shuffle_hash"), "path")
 
 
 def read_attachments(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Files with size and content hash."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return raw.select(_relative(root).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return raw.select(relative(root).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def attachment_flags(notes_pdf: DataFrame, attachments: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ import re
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import feeds, rank, semantic, speech, suggest, vectors
 from marginalia.operators.graph import link_edges
 from marginalia.operators.notes import note_facts
-from marginalia.sinks import notes as sinks
+from marginalia.sinks import files, notes as sinks
 from marginalia.sources import dims, vault
 from marginalia.streaming import artifacts, changes, sessions
 
@@ -159,6 +160,27 @@ def test_sinks(spark, tmp_path):
     for i in range(5):
         (raw / f"f{i}").write_bytes(bytes([i]))
     assert sinks.compact_archive(spark, str(raw), str(tmp_path / "archive"), 2) == 5
+    assert not raw.exists() and {r.path for r in spark.read.parquet(str(tmp_path / "archive")).collect()} == {f"f{i}" for i in range(5)}
+    # another rewrite of the same corpus touches its own prefixes only, a moved note leaves its old place
+    moved = spark.createDataFrame([("b.md", "c/b.md", "8")], "path string, new_path string, content string")
+    sinks.write_changed(base, moved, str(tmp_path / "wet"))
+    assert {(r.path, r.content) for r in spark.read.parquet(str(tmp_path / "wet")).collect()} == {("a.md", "9"), ("c/b.md", "8")}
+
+
+def test_note_files(spark, tmp_path):
+    """A version is seen whole or not at all; a write that fails leaves the one before."""
+    target = str(tmp_path / "files")
+    make = lambda rows: spark.createDataFrame(rows, "path string, content string").repartition(3)
+    files.write_note_files(make([("a b.md", "é"), ("d/e/c.md", None), ("x.txt", "no note")]), target)
+    first = files.current_version(target)
+    assert first[1:] == (3, 9)
+    assert {(r.path, r.content) for r in vault.read_notes(spark, first[0]).collect()} == {("a b.md", "é"), ("d/e/c.md", "")}
+    with pytest.raises(Exception, match="below a folder"):
+        files.write_note_files(make([("ok.md", "1"), ("../out.md", "2")]), target)
+    assert files.current_version(target) == first and not (tmp_path / "out.md").exists()
+    assert [p.name for p in (tmp_path / "files").iterdir() if p.is_dir()] == [first[0].rsplit("/", 1)[1]]
+    files.write_note_files(make([("a b.md", "2")]), target)
+    assert files.current_version(target)[1:] == (1, 1)
 
 
 def test_watch_config_and_corrections(spark, tmp_path):
