@@ -7,7 +7,7 @@ again until all are distinct. The same value gets the same surrogate in every do
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.settle import settle
@@ -22,6 +22,10 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": {"m": "n", "f": "lia", "n": "r"}, "cyrillic": {"m": "н", "f": "лия", "n": "р"}, "greek": {"m": "ς", "f": "λια", "n": "ρ"}}
 
+KEY_SETTING = "spark.marginalia.pii.key"
+INVENTED = "key of runs over invented data"
+_ATTEMPTS = 60
+
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = r"(?:" + "|".join(MALE + FEMALE) + r")"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -105,7 +109,7 @@ def _surrogate(key: str) -> Column:
     rest = F.substring(body, F.lit(1), F.length(body) - 1)
     card = F.concat(rest, F.pmod(_luhn(value) - _luhn(F.concat(rest, F.lit("0"))), F.lit(10)).cast("string"))
     ip = F.array_join(F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: (_byte(stream, i) % 254 + 1).cast("string")), ".")
-    size = F.least(F.greatest(F.lit(2), F.floor((F.length(value) - 1) / 2).cast("int")), F.lit(6)) + F.when(attempt >= 4, F.lit(2)).otherwise(0)
+    size = F.least(F.greatest(F.lit(2), F.floor((F.length(value) - 1) / 2).cast("int")), F.lit(6)) + attempt  # every attempt has sixteen times as many stems
     name = None
     for script, syllables in SYLLABLES.items():
         table = F.array(*map(F.lit, syllables))
@@ -122,11 +126,12 @@ def _surrogate(key: str) -> Column:
 
 def _distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate): no two values of a kind share a surrogate, and none is a value of the texts. A clash keeps the row with the
-    smallest value; the others draw again, against all that is taken. Every round is written to the shared folder."""
+    smallest value; the others draw again, against all that is taken. Every round is written to the shared folder. Names grow with every attempt; a format
+    of fixed length that has no free surrogate left after ``_ATTEMPTS`` is an error."""
     drawn = settle(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(key)))
     taken = entities.select("kind", F.col("value").alias("surrogate"))
     kept = []
-    while True:
+    for _ in range(_ATTEMPTS):
         free = settle(drawn.join(taken, ["kind", "surrogate"], "left_anti"))
         first = settle(free.groupBy("kind", "surrogate").agg(F.min("value").alias("value")))
         kept.append(first)
@@ -135,6 +140,8 @@ def _distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
             break
         taken = taken.unionByName(first.select("kind", "surrogate"))
         drawn = settle(again.withColumn("attempt", F.col("attempt") + 1).withColumn("surrogate", _surrogate(key)))
+    else:
+        raise RuntimeError(f"no free surrogates for {drawn.select('kind').first()[0]}")
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
@@ -167,13 +174,23 @@ def _tokens(m: Column) -> Column:
     return F.when(kind == "name", of_name).otherwise(F.array(F.struct(kind.alias("kind"), m.alias("shown"))))
 
 
-def replace_entities(docs: DataFrame, key: str = "marginalia", count: str = "n_entities") -> DataFrame:
+def session_key(spark: SparkSession, default: str | None = None) -> str:
+    """Key of the surrogates: the session's ``spark.marginalia.pii.key``. Whoever knows it can compute surrogates, so there is none without that setting, unless a
+    ``default`` is given, as by runs over invented data."""
+    key = spark.conf.get(KEY_SETTING, None) or default
+    if not key:
+        raise ValueError(f"set {KEY_SETTING}")
+    return key
+
+
+def replace_entities(docs: DataFrame, key: str | None = None, count: str = "n_entities") -> DataFrame:
     """``docs`` with surrogates in ``text``, all other columns as they were, and the number of found entities in a new column ``count``.
 
     ``docs`` needs a text column; a column that has the name ``count`` is replaced. Null and empty texts stay as they are with count 0. Repeated
-    rows each come back, alike. A family name that a document gives with a title is also replaced where it stands without one. An empty
+    rows each come back, alike. ``key``: see ``session_key``. A family name that a document gives with a title is also replaced where it stands without one. An empty
     table gives an empty result. ``docs`` must give the same rows in the same order when read again, as a Parquet folder does.
     """
+    key = key or session_key(docs.sparkSession)
     row = "__pii_row"
     columns = [c for c in docs.columns if c != count]
     rows = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn(row, F.monotonically_increasing_id())

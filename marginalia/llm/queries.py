@@ -62,7 +62,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(_table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+    return pii.replace_entities(_table(spark, sf_dir, "documents"), pii.session_key(spark, pii.INVENTED)).select("doc_id", "n_entities", "text")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,8 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, close:
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "weight"))
     out = both.groupBy("kind", "host").agg(F.sum("weight").alias("total"))
     edges = settle(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("total")).alias("share")))
-    value = seeds.select("kind", "host", F.col("seed").alias("value"))
+    # what a host keeps whether there are links or not: adding links elsewhere changes nothing for it
+    value = settle(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("value")))
     if edges.isEmpty():
         return value
     while True:
@@ -93,8 +94,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 0.
     """page_id, host, path, rule, verdict for every row of ``pages`` (page_id, url, html; other columns are ignored).
 
     A null url, or one without ``://``, has empty host and path and is allowed, unless a rule fits; a null html has no links. Repeated rows each
-    come back. Without a rule a page is blocked when its host's distrust, times the number of hosts, is at least ``threshold`` and
-    greater than its trust; a host that nothing reaches is allowed. An empty table gives an empty result.
+    come back. Without a rule a page is blocked when its host's distrust is greater than its trust and at least ``threshold`` shares, where a share is what
+    every host would keep if all were seeds of one weight without links: (1 - damping) / number of hosts. A host that nothing reaches is allowed. An empty
+    table gives an empty result.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -102,10 +104,11 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 0.
     split = split.withColumn("rule", rule).withColumn("action", action)
     hosts = settle(split.where("host <> ''").groupBy("host").count())
     number = float(hosts.count())
-    close = max(1e-3 * threshold / max(number, 1.0), 1e-14)  # far under what blocks a host, but above rounding
+    share = (1 - damping) / max(number, 1.0)
+    close = max(1e-3 * threshold * share, 1e-14)  # far under what blocks a host, but above rounding
     value = propagate(settle(host_links(pages)), starts(split), damping, close)
     split_value = value.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("value"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("value"))).alias("distrust"))
-    bad = settle(split_value.where((F.coalesce("distrust", F.lit(0.0)) * number >= threshold) & (F.col("distrust") > F.coalesce("trust", F.lit(0.0)))).select("host", F.lit("block").alias("spread")))
+    bad = settle(split_value.where((F.coalesce("distrust", F.lit(0.0)) / share >= threshold - 1e-9) & (F.col("distrust") > F.coalesce("trust", F.lit(0.0)))).select("host", F.lit("block").alias("spread")))
     open_ = split.where(F.col("action").isNull()).join(bad, "host", "left")
     done = split.where(F.col("action").isNotNull()).select("page_id", "host", "path", "rule", F.col("action").alias("verdict"))
     return done.unionByName(open_.select("page_id", "host", "path", "rule", F.coalesce("spread", F.lit("allow")).alias("verdict")))
