@@ -43,7 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by surrogates; n_chars follows the new text."""
-    out = pii.replace_entities(docs, count="__entities")
+    out = pii.replace_entities(docs, pii.session_key(spark, pii.INVENTED), count="__entities")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.drop("__entities")
