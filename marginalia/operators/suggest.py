@@ -62,11 +62,14 @@ def _marked(source: str, texts: Column) -> Column:
     return F.transform(texts, lambda t: F.struct(F.lit(source).alias("source"), t.alias("text")))
 
 
-def text_pieces(notes: DataFrame, profiles: DataFrame, ctx: DataFrame) -> DataFrame:
-    """Weighted texts of every note: (path, source, text). Each term counts once per piece."""
-    body = notes.select(
-        "path", F.explode(_marked("body", natural_lines(F.col("content")))).alias("p")
-    )
+def body_lines(notes: DataFrame) -> DataFrame:
+    """(path, lines): the prose of every note, cleaned once for the jobs that read it."""
+    return notes.select("path", natural_lines(F.col("content")).alias("lines"))
+
+
+def text_pieces(lines: DataFrame, profiles: DataFrame, ctx: DataFrame) -> DataFrame:
+    """Weighted texts of every note: (path, source, text), from ``body_lines``, profiles and context. Each term counts once per piece."""
+    body = lines.select("path", F.explode(_marked("body", F.col("lines"))).alias("p"))
     rest = profiles.select(
         "path",
         F.explode(F.concat(
@@ -157,10 +160,10 @@ def keyword_suggestions(pieces: DataFrame, facts: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------------------------------- phrase matches
 
 
-def source_texts(notes: DataFrame, profiles: DataFrame, ctx: DataFrame) -> DataFrame:
-    """Texts that phrases are looked for in: (path, source, text)."""
+def source_texts(lines: DataFrame, profiles: DataFrame, ctx: DataFrame) -> DataFrame:
+    """Texts that phrases are looked for in: (path, source, text), from ``body_lines``, profiles and context."""
     row = lambda source, texts: F.struct(F.lit(source).alias("source"), F.array_join(texts, "\n").alias("text"))
-    body = notes.select("path", F.lit("body").alias("source"), F.array_join(natural_lines(F.col("content")), "\n").alias("text"))
+    body = lines.select("path", F.lit("body").alias("source"), F.array_join("lines", "\n").alias("text"))
     rest = profiles.select(
         "path",
         F.inline(F.array(
@@ -207,6 +210,7 @@ def suggest_tags(notes: DataFrame, alias: DataFrame, facet: DataFrame, top: int
     """C4: up to ``top`` suggestions per note, primary first, then score, then tag (Chinese collation)."""
     facts = settle(note_profiles(notes))
     ctx = settle(context(facts))
+    lines = settle(body_lines(notes))
     stage = lambda a, b=None, c=None: F.struct(
         F.lit(a).alias("a"), (b if b is not None else F.lit(0)).cast("int").alias("b"), (c if c is not None else F.lit(0)).cast("int").alias("c")
     )
@@ -223,7 +227,7 @@ def suggest_tags(notes: DataFrame, alias: DataFrame, facet: DataFrame, top: int
     )
     phrases = known_words.select("phrase").unionByName(facet_words.select("phrase")).unionByName(alias_words.select("phrase"))
     # three streams read the hits; they are a few short rows per note
-    hits = settle(phrase_hits(source_texts(notes, facts, ctx), phrases))
+    hits = settle(phrase_hits(source_texts(lines, facts, ctx), phrases))
     bonus = F.lit(fixed.FACET_BONUS_OTHER)
     for name, value in fixed.FACET_BONUS.items():
         bonus = F.when(F.col("facet") == name, value).otherwise(bonus)
@@ -245,7 +249,7 @@ def suggest_tags(notes: DataFrame, alias: DataFrame, facet: DataFrame, top: int
     from_known = _phrase_suggestions(
         hits, facts, known_words, "known-tag", 28 + F.least(F.col("count"), F.lit(5)) + m * 3, F.array(F.lit("vault-tag")), stage(4)
     )
-    keywords = keyword_suggestions(text_pieces(notes, facts, ctx), facts)
+    keywords = keyword_suggestions(text_pieces(lines, facts, ctx), facts)
     merged = merge_streams(
         from_context.unionByName(from_facets).unionByName(from_alias).unionByName(from_known).unionByName(keywords)
     )

@@ -341,6 +341,28 @@ R2 = oracle("""WITH c AS (SELECT n.path FROM v_notes n JOIN labels l ON l.doc_id
 SELECT path FROM c UNION SELECT path FROM edges WHERE target_path IN (SELECT path FROM c)""", "v_notes", using=(KEYS, REFS, LINKS))
 
 
+def r2_stream(spark, sf):
+    """The notes as files in two lots: first all of them, a fifth with other links and some notes that are not among the documents; then the fifth as it is, and
+    the others deleted. The edges kept by the stream are those of the notes as they are."""
+    checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/r2-{uuid.uuid4().hex}"
+    cols = ["path", "ord", "dir", "name", "basename", "ext", "content", "ts", "deleted"]
+    v = _notes(spark, sf).withColumn("ts", F.lit(2)).withColumn("deleted", F.lit(False)).select(*cols)
+    stale = v.where("ord % 5 = 0").withColumns({"ts": F.lit(1), "content": F.concat(F.lit("[[doc-1]] [[extra-"), F.col("ord"), F.lit("]] [[doc-"), F.col("ord") + 2, F.lit("]]"))})
+    guests = v.where("ord % 5 = 0").withColumns({
+        "path": F.concat(F.lit("A/doc-"), F.col("ord") + 1, F.lit(".md")), "dir": F.lit("A"), "name": F.concat(F.lit("doc-"), F.col("ord") + 1, F.lit(".md")), "basename": F.concat(F.lit("doc-"), F.col("ord") + 1),
+        "ord": F.col("ord") - 1000000, "ts": F.lit(1), "ext": F.lit("md")})
+    lots = [v.where("ord % 5 <> 0").unionByName(stale).unionByName(guests), v.where("ord % 5 = 0").unionByName(guests.withColumns({"ts": F.lit(2), "deleted": F.lit(True)}))]
+    for lot in lots:
+        lot.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(v.schema).parquet(f"{base}/in")
+        changes.maintain_edges(stream, f"{base}/out", f"{base}/state").awaitTermination()
+    return plain(changes.read_edges(spark, f"{base}/out"))
+
+
+R2_STREAM = oracle("SELECT path, target_path FROM edges", "v_notes", using=(KEYS, REFS, LINKS))
+
+
 def c8(spark, sf):
     asked = _queries(spark, sf).select("path", "start_line", F.coalesce("end_line", "start_line").alias("end_line"))
     return plain(migrate.assign_block_ids(_notes(spark, sf), asked))
@@ -388,4 +410,5 @@ QUERIES = {
     "R1_change_stream": Query(r1_stream, R1_STREAM),
     "R1_change_paths": Query(r1_paths, R1_PATHS),
     "R2_affected_notes": Query(r2, R2),
+    "R2_edge_stream": Query(r2_stream, R2_STREAM),
 }

@@ -160,7 +160,7 @@ SELECT DISTINCT path, source, term FROM low JOIN terms USING (t) JOIN good USING
 def _pieces(spark, sf):
     v = view(spark, sf, "v_notes")
     profiles = settle(suggest.note_profiles(v))
-    return v, profiles, suggest.text_pieces(v, profiles, settle(suggest.context(profiles)))
+    return v, profiles, suggest.text_pieces(suggest.body_lines(v), profiles, settle(suggest.context(profiles)))
 
 
 def g10(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.settle import settle
@@ -50,15 +50,15 @@ def job_states(states: DataFrame, done: DataFrame | None = None, failed: DataFra
     )
 
 
-def track(polls: DataFrame, jobs: DataFrame, target: str, checkpoint: str):
-    """R6 as a stream: each batch of polls is folded into the job table, written as a new version per batch.
+def track(polls: DataFrame, jobs: DataFrame, target: str, checkpoint: str, done: DataFrame | None = None, failed: DataFrame | None = None):
+    """R6 as a stream: each batch of polls is folded into the job table, written as a new version per batch; ``read_jobs`` gives the last one.
 
-    A job that completed in an earlier batch is left as it is.
+    A job that completed in an earlier batch is left as it is. ``done`` and ``failed`` (job_id) are read with every batch, as in ``job_states``.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = job_states(poll_states(jobs, batch))
+        fresh = job_states(poll_states(jobs, batch), done, failed)
         if batch_id > 0:
             old = spark.read.parquet(f"{target}/version={batch_id - 1}").withColumnsRenamed({"status": "s0", "updated_at": "u0"})
             both = old.join(fresh, "job_id", "full")
@@ -67,3 +67,10 @@ def track(polls: DataFrame, jobs: DataFrame, target: str, checkpoint: str):
         settle(fresh).write.mode("overwrite").parquet(f"{target}/version={batch_id}")
 
     return polls.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_jobs(spark: SparkSession, target: str) -> DataFrame:
+    """The job table of the last batch below ``target``."""
+    versions = spark.read.parquet(target)
+    last = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == last).drop("version")

@@ -59,7 +59,8 @@ def affected_notes(changed: DataFrame, edges: DataFrame) -> DataFrame:
 def maintain_edges(versions: DataFrame, target: str, checkpoint: str):
     """R2 as a stream: new note versions arrive as files, and ``target`` keeps the edges of all notes up to date; ``read_edges`` gives them.
 
-    ``versions``: streaming (path, ord, dir, name, basename, ext, content, ts). Three tables hold one row per note: facts, raw link targets
+    ``versions``: streaming (path, ord, dir, name, basename, ext, content, ts) and maybe deleted; a note whose latest version is deleted leaves its keys to
+    others and has no edges, until a later version brings it back. Three tables hold one row per note: facts, raw link targets
     and resolved edges, each by hash prefix. A batch resolves its own notes again, and the notes with a raw target whose key now stands
     for another note. A note without edges keeps a row with an empty list, so no prefix is left behind. Facts are written last: a batch
     that is repeated after a failure finds the old facts and does the same work.
@@ -70,21 +71,23 @@ def maintain_edges(versions: DataFrame, target: str, checkpoint: str):
 
         spark = batch.sparkSession
         latest = batch.groupBy("path").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "path"]), "ts").alias("v")).select("path", "v.*")
-        latest = settle(latest)
+        latest = settle(latest if "deleted" in latest.columns else latest.withColumn("deleted", F.lit(False)))
+        live, dead = latest.where("NOT coalesce(deleted, false)"), latest.where("deleted").select("path")
         listed = lambda rows, name, to: rows.groupBy("path").agg(F.array_sort(F.collect_set(name)).alias(to))
         every = lambda notes, rows, name: notes.select("path").join(rows, "path", "left").select("path", F.coalesce(name, F.array().cast("array<string>")).alias(name))
-        fresh = settle(note_facts(latest).select("path", "ord", "basename", "name", "ext", "aliases"))
-        raw = every(latest, listed(raw_links(latest), "target", "targets"), "targets")
+        facts = note_facts(live).select("path", "ord", "basename", "name", "ext", "aliases").withColumn("gone", F.lit(False))
+        fresh = settle(facts.unionByName(dead.withColumn("gone", F.lit(True)), allowMissingColumns=True))
+        raw = every(latest, listed(raw_links(live), "target", "targets"), "targets")
         if _exists(spark, f"{target}/facts"):
-            old = read_notes_table(spark, f"{target}/facts").select(*fresh.columns)
-            keys = settle(note_keys(old.join(latest, "path", "left_anti").unionByName(fresh)))
+            old = read_notes_table(spark, f"{target}/facts").select(*fresh.columns).where("NOT gone")
+            keys = settle(note_keys(old.join(latest, "path", "left_anti").unionByName(fresh.where("NOT gone"))))
             before = note_keys(old).select("key", F.col("target_path").alias("before"))
             moved = keys.join(before, "key", "full").where(~F.col("target_path").eqNullSafe(F.col("before"))).select("key")
             others = read_notes_table(spark, f"{target}/links").join(latest, "path", "left_anti").select("path", "targets")
             asks = others.select("path", F.explode("targets").alias("target")).select("path", target_key(F.col("target")).alias("key"))
             raw = raw.unionByName(others.join(asks.join(moved, "key", "left_semi"), "path", "left_semi"))
         else:
-            keys = settle(note_keys(fresh))
+            keys = settle(note_keys(fresh.where("NOT gone")))
         raw = settle(raw)
         edges = resolve(raw.select("path", F.explode("targets").alias("target")), keys)
         write_notes(every(raw, listed(edges, "target_path", "target_paths"), "target_paths"), f"{target}/edges")
