@@ -1,8 +1,9 @@
 """Unlinked mentions of note titles and aliases.
 
-Titles are found by equi joins on token n-grams, never by comparing every title with every text. A title is keyed by its
-first tokens (up to four) or, when it holds CJK, by the first characters of its first CJK run; a text offers the
-distinct n-grams of the sizes that occur among the keys. The whole title is then checked against the text, so the key only narrows.
+Titles are found by equi joins on n-grams, never by comparing every title with every text. A title has the windows of up to four of its
+tokens, or of the characters of its first CJK run, or of its first run of signs when it has nothing else; a text offers its distinct windows of the
+sizes that occur. Texts are counted for every window that titles and texts share, and each title is looked up by its rarest one. The whole
+title is then checked, all candidates of a note at once, so a window only narrows and a text is read once.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from .settle import settle
 from .skew import number_within, top_k
 
 TOKEN = r"[0-9A-Za-z_]+|[^\x00-\x7f\x{3400}-\x{9fff}]+"
+SIGN = r"[^0-9A-Za-z_\s\x{80}-\x{10ffff}]"
 MAX_GRAM = 4
 PER_NOTE = 8
 
@@ -30,12 +32,24 @@ def title_terms(facts: DataFrame) -> DataFrame:
     return facts.select(F.col("path").alias("target_path"), F.posexplode(terms).alias("term_no", "term"))
 
 
-def _term_key(term: Column) -> Column:
+def _windows(items: Column, size: Column, glue: str) -> Column:
+    """All runs of ``size`` neighbours of ``items``, joined."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(items) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(items, i, size), glue)))
+
+
+def _term_grams(term: Column) -> Column:
+    """Windows of a title: (family, size, gram)."""
     run = F.regexp_extract(term, f"[{fixed.CJK}]+", 0)
-    tokens = F.slice(F.regexp_extract_all(F.lower(term), F.lit(TOKEN), F.lit(0)), 1, MAX_GRAM)
-    cjk = F.struct(F.lit("c").alias("family"), F.least(F.length(run), F.lit(MAX_GRAM)).alias("size"), F.substring(run, 1, MAX_GRAM).alias("gram"))
-    word = F.struct(F.lit("w").alias("family"), F.size(tokens).alias("size"), F.array_join(tokens, " ").alias("gram"))
-    return F.when(has_cjk(term), cjk).otherwise(word)
+    signs = F.regexp_extract(term, f"{SIGN}+", 0)
+    tokens = F.regexp_extract_all(F.lower(term), F.lit(TOKEN), F.lit(0))
+    chars = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+
+    def grams(family: str, items: Column, glue: str) -> Column:
+        size = lambda x: F.least(F.size(x), F.lit(MAX_GRAM))
+        return let(items, lambda x: F.transform(_windows(x, size(x), glue), lambda g: F.struct(F.lit(family).alias("family"), size(x).alias("size"), g.alias("gram"))))
+
+    return F.when(has_cjk(term), grams("c", chars(run), "")).when(F.size(tokens) > 0, grams("w", tokens, " ")).otherwise(grams("s", chars(signs), ""))
 
 
 def _text_grams(body: Column, sizes: list[tuple[str, int]]) -> Column:
@@ -49,11 +63,12 @@ def _text_grams(body: Column, sizes: list[tuple[str, int]]) -> Column:
             grams = F.zip_with(grams, rest, lambda a, t: F.concat(a, F.lit(" "), t))
         return F.array_compact(F.array_distinct(grams))
 
-    def chars(n: int) -> Column:
-        return F.array_distinct(F.regexp_extract_all(body, F.lit(f"(?=([{fixed.CJK}]{{{n}}}))"), F.lit(1)))
+    def chars(kind: str, n: int) -> Column:
+        return F.array_distinct(F.regexp_extract_all(body, F.lit(f"(?=({kind}{{{n}}}))"), F.lit(1)))
 
     def collect(tokens: Column) -> Column:
-        parts = [F.transform(words(tokens, n) if fam == "w" else chars(n), functools.partial(_tag, fam, n)) for fam, n in sizes]
+        kinds = {"c": f"[{fixed.CJK}]", "s": SIGN}
+        parts = [F.transform(words(tokens, n) if fam == "w" else chars(kinds[fam], n), functools.partial(_tag, fam, n)) for fam, n in sizes]
         return F.concat(*parts)
 
     return let(F.regexp_extract_all(F.lower(body), F.lit(TOKEN), F.lit(0)), collect)
@@ -81,21 +96,25 @@ def snippet(text: Column, position: Column, length: Column) -> Column:
 
 def mention_hits(notes: DataFrame, terms: DataFrame) -> DataFrame:
     """Every (term, note) pair in which the note mentions the term, checked, with its snippet."""
-    keyed = terms.select("term").distinct().withColumn("k", _term_key(F.col("term"))).where("k.gram <> ''")
-    keyed = keyed.select("term", "k.family", "k.size", "k.gram")
-    # at most 2 * MAX_GRAM rows reach the driver
-    sizes = [(r.family, r.size) for r in keyed.select("family", "size").distinct().collect()]
+    key = ["family", "size", "gram"]
+    offered = settle(terms.select("term").distinct().select("term", F.explode(_term_grams(F.col("term"))).alias("g")).select("term", "g.*").where("gram <> ''"))
+    # at most 3 * MAX_GRAM rows reach the driver
+    sizes = [(r.family, r.size) for r in offered.select("family", "size").distinct().collect()]
     body = strip_frontmatter(F.col("content"))
     if not sizes:
         sizes = [("w", 1)]
     grams = notes.select("path", F.explode(_text_grams(body, sorted(sizes))).alias("g")).select("path", "g.*")
-    # Spark picks the join by the measured bytes of the dictionary
-    candidates = grams.join(keyed, ["family", "size", "gram"]).select("term", "path")
-    checked = candidates.join(notes.select("path", "ord", "ext", body.alias("body")), "path")
-    at = let(first_position(F.col("body"), F.col("term")), lambda p: F.filter(F.array(p), lambda x: x > 0))
-    return checked.select("term", "path", "ord", "ext", "body", F.explode(at).alias("position")).select(
-        "term", "path", "ord", "ext", snippet(F.col("body"), F.col("position"), F.length("term")).alias("snippet")
-    )
+    # windows that a title and a text share; Spark picks the join by the measured bytes of the dictionary
+    met = settle(grams.join(offered.select(*key).distinct(), key))
+    texts = met.groupBy(*key).agg(F.count(F.lit(1)).alias("texts"))
+    # a title with a window that no text has is mentioned nowhere
+    counted = offered.join(texts, key, "left").groupBy("term").agg(F.min(F.coalesce("texts", F.lit(0))).alias("least"), F.min_by(F.struct(*key), F.struct("texts", "gram")).alias("k"))
+    rarest = counted.where("least > 0").select("term", "k.*")
+    candidates = met.join(rarest, key).groupBy("path").agg(F.collect_set("term").alias("terms"))
+    checked = notes.select("path", "ord", "ext", body.alias("body")).join(candidates, "path")
+    found = lambda t: let(first_position(F.col("body"), t), lambda p: F.when(p > 0, F.struct(t.alias("term"), snippet(F.col("body"), p, F.length(t)).alias("snippet"))))
+    hits = F.filter(F.transform("terms", found), lambda x: x.isNotNull())
+    return checked.select("path", "ord", "ext", F.explode(hits).alias("h")).select("h.term", "path", "ord", "ext", "h.snippet")
 
 
 def unlinked_mentions(notes: DataFrame, limit: int = PER_NOTE) -> DataFrame:
@@ -103,7 +122,7 @@ def unlinked_mentions(notes: DataFrame, limit: int = PER_NOTE) -> DataFrame:
 
     A common title may belong to very many notes and appear in very many texts. A target needs no more than the first
     ``limit + 1 + (notes already linking to it)`` mentions of each of its terms to fill its list, because only itself and
-    those notes can be skipped; so the mention list of a term is numbered once and cut to the largest such head before targets join it.
+    those notes can be skipped; so the mention list of a term is numbered once and every target joins the places it needs.
     """
     facts = settle(note_facts(notes))
     terms = title_terms(facts)
@@ -114,9 +133,9 @@ def unlinked_mentions(notes: DataFrame, limit: int = PER_NOTE) -> DataFrame:
     links = settle(edges.select("target_path", F.col("path").alias("source_path")).distinct())
     linked = links.groupBy("target_path").agg(F.count(F.lit(1)).alias("linked"))
     owners = terms.join(linked, "target_path", "left").withColumn("need", F.coalesce("linked", F.lit(0)) + limit + 1)
-    most = owners.groupBy("term").agg(F.max("need").alias("most"))
-    head = numbered.join(most, "term").where("place <= most").drop("most")
-    pairs = owners.join(head, "term").where("place <= need and path <> target_path").select(
+    # an owner asks for the places it needs, so a title of many notes that stands in many texts costs no more than those rows
+    asked = owners.withColumn("place", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("need"))))
+    pairs = asked.join(numbered.drop("ord"), ["term", "place"]).where("path <> target_path").select(
         "target_path", F.col("path").alias("source_path"), "file_order", "term_no", "term", "snippet"
     )
     unlinked = pairs.join(links, ["target_path", "source_path"], "left_anti")

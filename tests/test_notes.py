@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -178,3 +179,19 @@ def test_similar_tag_sets_match_all_pairs(spark):
         want = {(*sorted((min(p), min(q))), tuple(sorted(a & b))) for (a, p), (b, q) in itertools.combinations(sets.items(), 2) if len(a & b) >= threshold * len(a | b) - 1e-12}
         got = [(r.path_a, r.path_b, tuple(r.shared)) for r in tags.similar_tag_sets(classes, threshold).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_mentions_of_signs_shared_heads_and_common_titles(notes):
+    """Titles of signs only, titles that share their first four tokens, and one title of a third of the notes, against a loop over titles and texts."""
+    heads = [f"the weekly report of team {i}" for i in range(12)]
+    pairs = [(f"a/{h}.md", "x") for h in heads] + [("s/!!!.md", "x"), ("s/--.md", "y"), ("z/数据.md", "w")]
+    pairs += [(f"same/{i}/common.md", f"see the weekly report of team {i % 14}, foo!!!bar and a--b" if i % 2 else "common 数据 only the weekly report of team") for i in range(20)]
+    got = {(r.target_path, r.source_path) for r in mentions.unlinked_mentions(notes(*pairs), limit=100).collect()}
+    want = set()
+    for path, _ in pairs:
+        title = path.rsplit("/", 1)[1][:-3]
+        for other, body in pairs:
+            found = title in body if re.search("[\u3400-\u9fff]", title) else re.search(r"(?ai)\b" + re.escape(title) + r"\b", body)
+            if other != path and found:
+                want.add((path, other))
+    assert got == want and len(want) > 100 and any(t == "s/!!!.md" for t, _ in want)
