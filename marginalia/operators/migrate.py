@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.paths import decode_link, dir_of, encode_link, name_of, relative, resolve, stem_of, suffix_of
 from ..functions.text import let, safe_filename, trim_all
+from .evidence import per_note
 from .notes import FENCE
 from .refs import clamped_range, range_preview
 from .settle import settle
@@ -373,20 +374,20 @@ def assign_block_ids(notes: DataFrame, ranges: DataFrame) -> DataFrame:
     New ids are a hash of path and line. Several ranges of one note may share their anchor line, so ids are made per
     anchor line and the note text is written once, by the first range of the note.
     """
-    joined = ranges.distinct().join(notes.select("path", F.split("content", "\n").alias("lines")), "path")
-    span = clamped_range(F.col("start_line"), F.col("end_line"), F.size("lines"))
-    rows = joined.withColumn("s", span)
-    filled = F.filter(
-        F.sequence(F.col("s.start"), F.col("s.end")), lambda i: F.length(trim_all(F.get("lines", i - 1))) > 0
-    )
-    anchor = F.coalesce(F.when(F.size(filled) > 0, F.element_at(filled, -1)), F.col("s.end"))
-    rows = rows.withColumn("anchor_line", anchor).withColumn("line", F.get("lines", F.col("anchor_line") - 1))
-    old = F.regexp_extract("line", ANCHOR_ID, 1)
+    def anchor(lines: Column, r: Column) -> Column:
+        def told(span: Column) -> Column:
+            filled = F.filter(F.sequence(span["start"], span["end"]), lambda i: F.length(trim_all(F.get(lines, i - 1))) > 0)
+            at = F.coalesce(F.when(F.size(filled) > 0, F.element_at(filled, -1)), span["end"])
+            return let(at, lambda a: F.struct(
+                span["start"].alias("start_line"), span["end"].alias("end_line"), a.alias("anchor_line"),
+                F.regexp_extract(F.get(lines, a - 1), ANCHOR_ID, 1).alias("old"), range_preview(lines, span["start"], span["end"]).alias("preview")))
+
+        return F.when(lines.isNotNull(), let(clamped_range(r["start_line"], r["end_line"], F.size(lines)), told))
+
+    rows = per_note(ranges.select("path", "start_line", "end_line").distinct(), notes, anchor).where("out IS NOT NULL").select("path", "out.*")
     made = F.concat(F.lit("ref-"), F.substring(F.sha1(F.concat_ws(":", "path", "anchor_line")), 1, 6))
     return rows.select(
-        "path", F.col("s.start").alias("start_line"), F.col("s.end").alias("end_line"), "anchor_line",
-        F.when(old != "", old).otherwise(made).alias("block_id"), (old != "").alias("reused"),
-        range_preview(F.col("lines"), F.col("s.start"), F.col("s.end")).alias("preview"),
+        "path", "start_line", "end_line", "anchor_line", F.when(F.col("old") != "", F.col("old")).otherwise(made).alias("block_id"), (F.col("old") != "").alias("reused"), "preview",
     )
 
 

@@ -195,3 +195,17 @@ def test_mentions_of_signs_shared_heads_and_common_titles(notes):
             if other != path and found:
                 want.add((path, other))
     assert got == want and len(want) > 100 and any(t == "s/!!!.md" for t, _ in want)
+
+
+def test_many_requests_share_a_note(spark, notes, monkeypatch):
+    """Nearly all requests ask one note: in packs of three they get what a loop gives, repeated, pathless and unknown ones included."""
+    lines = [f"line {i} {'odd' if i % 2 else 'even'}" for i in range(1, 30)]
+    n = notes(("a.md", "\n".join(lines)), ("b.md", "odd"))
+    asked = [(i, "a.md" if i % 5 else [None, "b.md", "no.md"][i // 5 % 3], f"line {i % 7 + 1}", "line") for i in range(40)] + [(7, "a.md", "line 1", "line")] * 3
+    monkeypatch.setattr(evidence, "PACK", 3)
+    q = spark.createDataFrame(asked, "query_id long, path string, query string, scope string")
+    got = sorted((r.query_id, r.start_line, r.match_count) for r in evidence.match_numbers(q, n).collect())
+    found = lambda w: [i + 1 for i, x in enumerate(lines) if w in x]
+    assert got == sorted((i, at, len(found(w))) for i, p, w, _ in asked if p == "a.md" for at in found(w))
+    errors = {(r.query_id, r.error) for r in evidence.format_references(q.selectExpr("*", "1 AS occurrence", "'line' AS kind"), n).collect()}
+    assert {(0, "invalid-note-path"), (5, "no-match"), (10, "note-not-found")} <= errors
