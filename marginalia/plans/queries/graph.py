@@ -378,6 +378,19 @@ SELECT path, start_line, end_line, anchor_line,
     ELSE 'ref-' || substr(sha1(path || ':' || anchor_line), 1, 6) END AS block_id, regexp_matches(ls[anchor_line], '\s+\^([A-Za-z0-9-]+)\s*$') AS reused,
   {TRIM('array_to_string(list_slice(ls, start_line, least(end_line, start_line + 5)), chr(10))')} AS preview FROM a""", "v_notes", "v_queries")
 
+
+
+def c8_written(spark, sf):
+    asked = _queries(spark, sf).select("path", "start_line", F.coalesce("end_line", "start_line").alias("end_line"))
+    v = _notes(spark, sf)
+    return plain(migrate.write_block_ids(v, migrate.assign_block_ids(v, asked)).select("path", F.sha2("content", 256).alias("content_sha256")))
+
+
+C8_WRITTEN = C8.rsplit("SELECT path, start_line, end_line, anchor_line,", 1)[0].rstrip() + r""",
+w AS (SELECT path, ls, list(DISTINCT anchor_line) AS anchors FROM a WHERE NOT regexp_matches(ls[anchor_line], '\s+\^([A-Za-z0-9-]+)\s*$') GROUP BY path, ls)
+SELECT path, sha256(array_to_string(list_transform(ls, lambda x, i: CASE WHEN NOT list_contains(anchors, i) THEN x
+  ELSE concat_ws(' ', nullif(regexp_replace(x, '\s+$', ''), ''), '^ref-' || substr(sha1(path || ':' || i), 1, 6)) END), chr(10))) AS content_sha256 FROM w"""
+
 QUERIES = {
     "J1_target_resolution": Query(on_view("v_notes", graph.resolution_table), J1),
     "J2_outgoing_links": Query(on_view("v_notes", graph.link_edges), J2),
@@ -405,6 +418,7 @@ QUERIES = {
     "C2_inspect_ranges": Query(c2, C2),
     "C3_format_references": Query(c3, C3),
     "C8_block_ids": Query(c8, C8),
+    "C8_written_ids": Query(c8_written, C8_WRITTEN),
     "W7_recency": Query(w7, W7),
     "R1_change_windows": Query(r1, R1),
     "R1_change_stream": Query(r1_stream, R1_STREAM),

@@ -194,6 +194,17 @@ d AS (SELECT *, (ext = 'excalidraw' OR name LIKE '%.excalidraw.md') AND contains
 SELECT path, md5(CASE WHEN inside THEN replace(c, chr(10) || chr(10) || '%%' || chr(10) || 'end', chr(10) || 'Added to ' || basename || chr(10) || chr(10) || '%%' || chr(10) || 'end')
   WHEN c LIKE '%' || chr(10) THEN c || 'Added to ' || basename || chr(10) ELSE c || chr(10) || 'Added to ' || basename || chr(10) END) AS digest FROM d""", "v_notes")
 
+def c7_relations(spark, sf):
+    v = view(spark, sf, "v_notes")
+    item = lambda key, pos, target: F.struct(F.lit(key).alias("relation_key"), F.lit(pos).alias("pos"), target.alias("target"))
+    asked = v.select("path", F.inline(F.array(item("supports", 0, F.concat(F.lit("doc-"), F.col("ord") % 7)), item("supports", 1, F.lit("Notes/x.md")), item("extends", 0, F.lit("doc-1")))))
+    return plain(tags.append_relations(v, asked))
+
+
+C7_RELATIONS = oracle("""WITH r AS (SELECT path, 'supports' AS relation_key, ['doc-' || ((ord * 5 + 1) % 211), 'doc-' || (ord % 7), 'Notes/x.md'] AS t FROM v_notes
+  UNION ALL SELECT path, 'extends', ['doc-1'] FROM v_notes)
+SELECT path, relation_key, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), '|') AS targets FROM r""", "v_notes")
+
 QUERIES = {
     "A2_frontmatter": Query(a2, A2),
     "A3_lines": Query(on_view("v_notes", notes.line_table), A3),
@@ -211,5 +222,6 @@ QUERIES = {
     "C6_rename_tag": Query(c6, C6_RENAME),
     "C6_delete_tag": Query(lambda s, d: c6(s, d, "inline-fr", None), C6_DELETE),
     "C7_append_tags": Query(c7, C7),
+    "C7_append_relations": Query(c7_relations, C7_RELATIONS),
     "C9_append_section": Query(c9, C9),
 }
