@@ -18,7 +18,9 @@ def work_rows(spark, sf):
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "author"))), lambda x: x["author"]).alias("authors")
     )
     cited = view(spark, sf, "v_work_references").groupBy("work_no").agg(F.count(F.lit(1)).alias("referenced_works_count"))
-    joined = base.join(authors, "work_no", "left").join(cited, "work_no", "left")
+    # at most one entry a year
+    years = view(spark, sf, "v_work_years").groupBy("work_no").agg(F.sort_array(F.collect_list(F.struct("year", "cited_by_count")), asc=False).alias("counts_by_year"))
+    joined = base.join(authors, "work_no", "left").join(cited, "work_no", "left").join(years, "work_no", "left")
     none = F.array().cast("array<string>")
     names = F.coalesce("authors", none)
     doi, arxiv = works.doi_id(F.col("doi_raw")), works.arxiv_id(F.col("arxiv_raw"))
@@ -29,7 +31,7 @@ def work_rows(spark, sf):
         F.when(doi != "", F.concat(F.lit("https://doi.org/"), doi)).alias("source_url"), "abstract", F.col("cited_by").alias("cited_by_count"),
         F.coalesce("referenced_works_count", F.lit(0)).cast("bigint").alias("referenced_works_count"), none.alias("referenced_works"),
         F.lit(0).cast("bigint").alias("related_works_count"), none.alias("related_works"), F.array("concept_1", "concept_2").alias("concepts"),
-        F.array().cast("array<struct<year:int,cited_by_count:int>>").alias("counts_by_year"), F.lit("").alias("publication_date"),
+        F.coalesce("counts_by_year", F.array().cast("array<struct<year:int,cited_by_count:int>>")).alias("counts_by_year"), F.lit("").alias("publication_date"),
         F.lit("").alias("primary_location_url"), F.lit("").alias("source_display_name"),
     )
     return rows.withColumn("citation_key", works.citation_key(F.col("authors"), F.col("author"), F.col("year"), F.col("title")))
@@ -47,6 +49,9 @@ keyed AS (SELECT *, CASE WHEN first_author = '' THEN 'item' ELSE lower(regexp_re
   CASE n_authors WHEN 0 THEN '(Unknown, ' WHEN 1 THEN '(' || authors[1] || ', ' WHEN 2 THEN '(' || authors[1] || ' & ' || authors[2] || ', ' ELSE '(' || authors[1] || ' et al., ' END
     || CASE WHEN year = '' THEN 'n.d.' ELSE year END || ')' AS citation FROM w)"""
 _VIEWS = ("v_works", "v_work_authors")
+_YEARS = """years AS (SELECT work_no, list(year || ':' || cited_by_count ORDER BY year DESC) AS shown,
+  '[' || string_agg('{"year":' || year || ',"cited_by_count":' || cited_by_count || '}', ',' ORDER BY year DESC) || ']' AS listed FROM v_work_years GROUP BY work_no)"""
+_TREND = lambda n: f"coalesce(array_to_string(list_slice(y.shown, 1, {n}), ', '), 'not available')"
 
 
 def _items(spark, sf):
@@ -188,9 +193,9 @@ def g9_works(spark, sf):
     return plain(works.citation_statistics(work_rows(spark, sf)))
 
 
-G9_WORKS = oracle("""SELECT source_id, cited_by AS cited_by_count, coalesce(r.n, 0) AS reference_count, 0::BIGINT AS related_count, concept_1 || ', ' || concept_2 AS concepts,
-  'not available' AS trend FROM w LEFT JOIN (SELECT work_no, count(*) AS n FROM v_work_references GROUP BY 1) r ON r.work_no = w.work_no""",
-    *_VIEWS, "v_work_references", using=(_W,))
+G9_WORKS = oracle(f"""SELECT source_id, cited_by AS cited_by_count, coalesce(r.n, 0) AS reference_count, 0::BIGINT AS related_count, concept_1 || ', ' || concept_2 AS concepts,
+  {_TREND(3)} AS trend FROM w LEFT JOIN (SELECT work_no, count(*) AS n FROM v_work_references GROUP BY 1) r ON r.work_no = w.work_no LEFT JOIN years y ON y.work_no = w.work_no""",
+    *_VIEWS, "v_work_references", "v_work_years", using=(_W, _YEARS))
 
 
 def t2(spark, sf):
@@ -274,13 +279,13 @@ K1 = oracle(f"""WITH f AS (SELECT w.*, coalesce(r.n, 0) AS refs, citation_key AS
 SELECT '{fixed.LITERATURE_FOLDER}/' || source_key || '.md' AS path, concat_ws(chr(10), '---', 'title: ' || {_J('title')}, 'authors: ' || coalesce({_J('authors')}, '[]'), 'author: ' || {_J('author')},
   'year: ' || {_J('year')}, 'source_id: ' || {_J('source_id')}, 'source_type: "' || CASE WHEN doi <> '' THEN 'doi' ELSE 'arxiv' END || '"', 'entry_type: "journal-article"', 'citekey: ' || {_J('ck')},
   'doi: ' || {_J('doi')}, 'arxiv_id: ' || {_J('arxiv')}, 'openalex_id: ' || {_J('openalex_id')}, 'cited_by_count: ' || cited_by, 'referenced_works: []', 'referenced_works_count: ' || refs,
-  'related_works: []', 'related_works_count: 0', 'concepts: ' || to_json([concept_1, concept_2])::VARCHAR, 'counts_by_year: []', 'publication_date: ""', 'primary_location_url: ""',
+  'related_works: []', 'related_works_count: 0', 'concepts: ' || to_json([concept_1, concept_2])::VARCHAR, 'counts_by_year: ' || coalesce(y.listed, '[]'), 'publication_date: ""', 'primary_location_url: ""',
   'source_display_name: ""', 'pdf: ""', 'pdf_url: ""', 'source_url: "' || CASE WHEN doi <> '' THEN 'https://doi.org/' || doi ELSE '' END || '"', 'imported_at: "2024-01-01T00:00:00.000Z"',
   'tags:', '  - literature-note', '---', '# ' || title, '## Source', '- Source ID: ' || source_id, '- Source type: ' || CASE WHEN doi <> '' THEN 'doi' ELSE 'arxiv' END,
   '- Entry type: journal-article', '- DOI: ' || nullif(doi, ''), '- arXiv: ' || nullif(arxiv, ''), '- OpenAlex: ' || openalex_id, '- Landing page: https://doi.org/' || nullif(doi, ''),
   '- PDF: Not attached', '## Citation context', '- Cited by: ' || cited_by, '- Referenced works tracked: ' || refs, '- Related works tracked: 0',
-  '- OpenAlex concepts: ' || concept_1 || ', ' || concept_2, '- Recent citation counts: not available', '## Abstract', abstract, '## Notes', '## Exact references', '## Relations', '## Tags') AS content
-FROM f""", *_VIEWS, "v_work_references", using=(_W,))
+  '- OpenAlex concepts: ' || concept_1 || ', ' || concept_2, '- Recent citation counts: ' || {_TREND(5)}, '## Abstract', abstract, '## Notes', '## Exact references', '## Relations', '## Tags') AS content
+FROM f LEFT JOIN years y ON y.work_no = f.work_no""", *_VIEWS, "v_work_references", "v_work_years", using=(_W, _YEARS))
 
 QUERIES = {
     "A5_works_json": Query(a5, A5),

@@ -87,6 +87,12 @@ LEFT JOIN (
 ) s ON s.l_partkey = p.p_partkey
 """
 
+# citations of a work by year
+WORK_YEARS = """
+SELECT l.l_partkey AS work_no, cast(year(o.o_orderdate) AS int) AS year, cast(count(*) AS int) AS cited_by_count
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey GROUP BY l.l_partkey, year(o.o_orderdate)
+"""
+
 # ordered authors of a work: all its suppliers
 WORK_AUTHORS = """
 SELECT a.work_no, a.pos, s.s_name AS author
@@ -220,7 +226,7 @@ FROM events
 """
 
 VIEWS = {
-    "v_notes": NOTES, "v_works": WORKS, "v_work_authors": WORK_AUTHORS, "v_work_references": WORK_REFERENCES,
+    "v_notes": NOTES, "v_works": WORKS, "v_work_authors": WORK_AUTHORS, "v_work_references": WORK_REFERENCES, "v_work_years": WORK_YEARS,
     "v_feed": FEED, "v_comments": COMMENTS, "v_changes": CHANGES,
     "v_queries": QUERIES, "v_files": FILES, "v_topics": TOPICS, "v_asr": ASR, "v_polls": POLLS, "v_watch_jobs": WATCH_JOBS,
 }
