@@ -158,9 +158,9 @@ def test_sinks(spark, tmp_path):
     raw = tmp_path / "raw"
     raw.mkdir()
     for i in range(5):
-        (raw / f"f{i}").write_bytes(bytes([i]))
+        (raw / f"f{i}").write_bytes(bytes([i]) * i)  # the first one is empty
     assert sinks.compact_archive(spark, str(raw), str(tmp_path / "archive"), 2) == 5
-    assert not raw.exists() and {r.path for r in spark.read.parquet(str(tmp_path / "archive")).collect()} == {f"f{i}" for i in range(5)}
+    assert not raw.exists() and {(r.path, bytes(r.content)) for r in spark.read.parquet(str(tmp_path / "archive")).collect()} == {(f"f{i}", bytes([i]) * i) for i in range(5)}
     # another rewrite of the same corpus touches its own prefixes only, a moved note leaves its old place
     moved = spark.createDataFrame([("b.md", "c/b.md", "8")], "path string, new_path string, content string")
     sinks.write_changed(base, moved, str(tmp_path / "wet"))
