@@ -311,7 +311,8 @@ def is_natural_line(line: Column) -> Column:
     latin = F.regexp_count(line, F.lit("[A-Za-z]"))
     other = F.regexp_count(line, F.lit(r"(?U)[0-9]|\s"))
     symbols = F.length(line) - cjk - latin - other
-    dense = symbols > F.greatest(F.lit(8), F.floor((cjk + latin) * 0.7))
+    # seven tenths in whole numbers: 90 * 0.7 falls below 63 as a double
+    dense = symbols > F.greatest(F.lit(8), F.floor((cjk + latin) * 7 / 10))
     return (F.length(line) > 0) & ~line.rlike(fixed.CODE_LIKE) & ~dense & ~((F.length(line) > 220) & (symbols > 4))
 
 
