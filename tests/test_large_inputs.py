@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import notes as N
+from marginalia.operators import notes as N, suggest
 
 
 def test_prose_on_the_border_of_symbols(spark):
@@ -10,3 +10,10 @@ def test_prose_on_the_border_of_symbols(spark):
     lines = [("a" * n + "+" * (n * 7 // 10 + more), more == 0) for n in (10, 90, 100, 110) for more in (0, 1) if n * 7 // 10 + more > 8]
     rows = spark.createDataFrame(lines, "line string, prose boolean").select("line", "prose", N.is_natural_line(F.col("line")).alias("found")).collect()
     assert [r.found for r in rows] == [r.prose for r in rows]
+
+
+def test_terms_of_prose_on_the_border_of_symbols(spark, notes):
+    n = notes(("a.md", "---\nx: 1\n---\n" + "marble lantern " * 6 + "copper copper" + "+" * 63 + "\n"))
+    line = N.natural_line_table(n).first()
+    assert line is not None and line.text.count("+") == 63
+    assert {"marble", "lantern"} <= {r.term for r in suggest.term_table(n).where("source = 'body'").collect()}
