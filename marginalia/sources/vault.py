@@ -2,61 +2,36 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import decode_link, dir_of, name_of, stem_of, suffix_of
+from ..functions.paths import dir_of, name_of, stem_of, suffix_of
 from ..operators.notes import is_drawing, is_supported
 from ..operators.settle import settle
-
-
-_GLOB = "*.{[mM][dD],[eE][xX][cC][aA][lL][iI][dD][rR][aA][wW]}"
-
-
-def relative(root: str, path: Column | None = None) -> Column:
-    """Path of a file below ``root`` (the scheme and host of the file system are ignored)."""
-    bare = decode_link(F.regexp_replace(F.col("_metadata.file_path") if path is None else path, r"^[A-Za-z0-9+.-]+:/+", "/"))
-    prefix = "/" + re.sub(r"^[A-Za-z0-9+.-]+:/+", "", root).strip("/") + "/"
-    at = F.instr(bare, prefix)
-    return F.substring(bare, at + len(prefix), F.length(bare))
-
-
-def listed(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path) of all files below a folder, from Spark's own listing of it. Its scans leave empty files out, this does not."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).inputFiles()
-    return spark.createDataFrame([(p,) for p in found], "uri string").select(relative(root, F.col("uri")).alias("path"))
+from .walk import files_below, with_content
 
 
 def read_notes(spark: SparkSession, root: str, numbered: bool = True) -> DataFrame:
     """A1: all supported notes below a folder, empty ones too: path, dir, basename, name, ext, content, is_drawing and, in path order, ord.
 
-    ``ord`` comes from a distributed sort of the paths alone, kept by a checkpoint, so later jobs see the same order. Texts are neither sorted nor
-    written: a file's text meets its number by path.
+    ``ord`` comes from a distributed sort of the paths alone, kept by a checkpoint, so later jobs see the same order. Texts are neither sorted, shuffled nor
+    written: tasks that get paths with their numbers read the files.
     """
-    texts = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _GLOB).text(root, wholetext=True)
-        .select(relative(root).alias("path"), F.col("value").alias("content"))
-    )
-    paths = listed(spark, root, _GLOB).where(is_supported(F.col("path")))
+    paths = files_below(spark, root).select("path", "length").where(is_supported(F.col("path")))
     if numbered:
         paths = settle(paths.orderBy("path").withColumn("ord", F.monotonically_increasing_id()))
     name = name_of(F.col("path"))
-    rows = paths.join(texts, "path", "left").withColumn("content", F.coalesce("content", F.lit("")))
+    rows = with_content(paths, root).withColumn("content", F.col("content").cast("string"))
     rows = rows.select(
         "path", dir_of(F.col("path")).alias("dir"), stem_of(name).alias("basename"), name.alias("name"),
-        F.regexp_replace(suffix_of(name), r"^\.", "").alias("ext"), "content", *paths.columns[1:],
+        F.regexp_replace(suffix_of(name), r"^\.", "").alias("ext"), "content", *paths.columns[2:],
     )
     return rows.withColumn("is_drawing", is_drawing(F.col("path"), F.col("ext")))
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """All files below a folder, empty ones too: path, modificationTime (null for empty ones), length, content."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    raw = raw.select(relative(root).alias("path"), "modificationTime", "length", "content")
-    empty = listed(spark, root, glob).join(raw.select("path"), "path", "left_anti")
-    return raw.unionByName(empty.select("path", F.lit(0).cast("bigint").alias("length"), F.lit("").cast("binary").alias("content")), allowMissingColumns=True)
+    """All files below a folder, empty ones too: path, modificationTime, length, content."""
+    return with_content(files_below(spark, root, glob), root)
 
 
 def read_attachments(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from marginalia.operators import notes as N, suggest
+from marginalia.sources import vault
 
 
 def test_prose_on_the_border_of_symbols(spark):
@@ -17,3 +18,27 @@ def test_terms_of_prose_on_the_border_of_symbols(spark, notes):
     line = N.natural_line_table(n).first()
     assert line is not None and line.text.count("+") == 63
     assert {"marble", "lantern"} <= {r.term for r in suggest.term_table(n).where("source = 'body'").collect()}
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    """Names and bytes of all files, at every depth, and no list of them in the driver."""
+    root = tmp_path / "a%20b c"
+    want = {}
+    for i in range(60):
+        path = f"d{i % 3}/e {i % 2}/f#{i}.md" if i % 4 else f"g%{i}.MD"
+        want[path] = b"\xef\xbb\xbfx\r\n" * (i % 5) if i % 7 else b""
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(want[path])
+    (root / "d0" / ".hidden.md").write_text("no")
+    (root / "d0" / "z.md.gz").write_bytes(b"packed")
+    (root / "none").mkdir()
+    for at in (str(root), str(root) + "/"):
+        found = vault.read_notes(spark, at)
+        assert not found.inputFiles()
+        rows = found.orderBy("path").collect()
+        assert [(r.path, r.content.encode()) for r in rows] == sorted(want.items())
+        assert [r.ord for r in rows] == sorted(r.ord for r in rows) and len({r.ord for r in rows}) == len(rows)
+    files = vault.read_files(spark, str(root))
+    assert not files.inputFiles()
+    assert {r.path: (bytes(r.content), r.length) for r in files.collect()} == {p: (c, len(c)) for p, c in {**want, "d0/z.md.gz": b"packed"}.items()}
+    assert {r.path for r in vault.read_attachments(spark, str(root), "*.{gz,pdf}").collect()} == {"d0/z.md.gz"}
