@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.settle import settle
-from ..sources.vault import read_files
+from ..sources.walk import files_below, with_content
 from .files import delete_folder
 
 PREFIX = 2
@@ -74,11 +74,11 @@ def write_vocabulary(words: DataFrame, target: str, score: str = "3.0") -> None:
 def compact_archive(spark: SparkSession, source: str, target: str, file_bytes: int = 256 << 20) -> int:
     """K6: many raw files into compressed Parquet files of about ``file_bytes`` raw bytes each, with relative path, size and bytes. The originals are dropped once the
     archive holds as many files and bytes as they are. Returns that number of files."""
-    raw = read_files(spark, source)
+    raw = files_below(spark, source)
     totals = lambda df: tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first())
     files, size = totals(raw)
     parts = max(1, -(-size // file_bytes))
-    raw.repartition(parts, "path").write.mode("overwrite").option("compression", "zstd").parquet(target)
+    with_content(raw, source, parts).write.mode("overwrite").option("compression", "zstd").parquet(target)
     held = spark.read.parquet(target).select(F.octet_length("content").alias("length"))
     if totals(held) != (files, size):
         raise RuntimeError(f"{target} does not hold what {source} has; the originals stay")

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from marginalia.operators import notes as N, suggest
-from marginalia.sources import vault
+from marginalia.sinks import notes as sinks
+from marginalia.sources import vault, walk
 
 
 def test_prose_on_the_border_of_symbols(spark):
@@ -42,3 +43,17 @@ def test_files_are_listed_by_tasks(spark, tmp_path):
     assert not files.inputFiles()
     assert {r.path: (bytes(r.content), r.length) for r in files.collect()} == {p: (c, len(c)) for p, c in {**want, "d0/z.md.gz": b"packed"}.items()}
     assert {r.path for r in vault.read_attachments(spark, str(root), "*.{gz,pdf}").collect()} == {"d0/z.md.gz"}
+
+
+def test_archive_reads_files_where_it_writes_them(spark, tmp_path, monkeypatch):
+    """Tasks that get paths write their contents; no content is shuffled and none is listed by the driver."""
+    made = []
+    monkeypatch.setattr(sinks, "with_content", lambda *a: made.append(walk.with_content(*a)) or made[-1])
+    raw = tmp_path / "raw"
+    (raw / "sub").mkdir(parents=True)
+    for i in range(40):
+        (raw / ("sub" if i % 2 else "") / f"f{i}").write_bytes(b"x" * i)
+    assert sinks.compact_archive(spark, str(raw), str(tmp_path / "archive"), 200) == 40
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("MapInArrow") and not made[0].inputFiles()
+    assert {(r.path, r.length, len(r.content)) for r in spark.read.parquet(str(tmp_path / "archive")).collect()} == {(f"sub/f{i}" if i % 2 else f"f{i}", i, i) for i in range(40)}
