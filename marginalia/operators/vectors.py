@@ -26,6 +26,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CLUSTERS = 4096  # at most; centres are the only part of the index that the driver holds
 BLOCK = 1024  # vectors of a block
+ROWS = 1024  # scored against all centres at once
+PAIRS = 16  # pairs of blocks that a Python worker is handed at once
+ASKED_BYTES = 8 << 20  # of queries that a batch of requests holds
 _SLACK = 1e-9  # between sums of different order
 _PACKED = "cluster int, chunk int, ids binary, vectors binary"
 
@@ -62,11 +65,12 @@ def _assigned(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         half = (centres * centres).sum(axis=1) / 2
         for b in batches:
-            if len(b):
-                u = _unit(_stacked(b["embedding"]))
+            for at in range(0, len(b), ROWS):
+                part = b.iloc[at:at + ROWS]
+                u = _unit(_stacked(part["embedding"]))
                 cluster = np.argmax(u @ centres.T - half, axis=1)
                 far = np.linalg.norm(u - centres[cluster], axis=1)
-                yield pd.DataFrame({"cluster": cluster.astype("int32"), "far": far, "id": b["id"], "embedding": b["embedding"]})
+                yield pd.DataFrame({"cluster": cluster.astype("int32"), "far": far, "id": part["id"].to_numpy(), "embedding": part["embedding"].to_numpy()})
 
     return rows.select("id", "embedding").mapInPandas(assign, "cluster int, far double, id long, embedding array<float>")
 
@@ -128,6 +132,18 @@ def _kth(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(scores), -2.0)
 
 
+def _in_small_batches(df: DataFrame) -> DataFrame:
+    """``df`` computed while Python workers get at most ``PAIRS`` rows at a time: its rows hold blocks of vectors, and Spark counts rows, not bytes. The session's
+    setting is put back."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(PAIRS))
+    try:
+        return settle(df)
+    finally:
+        conf.set(name, before)
+
+
 def needed(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """(cluster, ids, vectors, floors): for every query block and cluster the queries that need the cluster, with the score they have
     ``k`` vectors for already, found in the first block of their own cluster."""
@@ -136,12 +152,12 @@ def needed(index: Index, queries: DataFrame, k: int) -> DataFrame:
     counts = np.zeros(len(centres), np.int64)
     for r in assigned.groupBy("cluster").count().collect():
         counts[r["cluster"]] = r["count"]
-    packed = _packed(assigned, np.maximum(1, -(-counts // BLOCK))).drop("chunk")
+    packed = settle(_packed(assigned, np.maximum(1, -(-counts // BLOCK))).drop("chunk"))
     first = index.blocks.where("chunk = 0").select("cluster", F.col("vectors").alias("known"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            out, held = [], 0
             for ids, vectors, known in zip(b["ids"], b["vectors"], b["known"]):
                 raw = np.frombuffer(vectors, np.float32).reshape(-1, dims)
                 q = _unit(raw.astype(np.float64))
@@ -151,6 +167,10 @@ def needed(index: Index, queries: DataFrame, k: int) -> DataFrame:
                 for cluster in np.flatnonzero(reach.any(axis=0)):
                     at = reach[:, cluster]
                     out.append((int(cluster), told[at].tobytes(), raw[at].tobytes(), floors[at].tobytes()))
+                    held += len(out[-1][2])
+                    if held >= ASKED_BYTES:
+                        yield pd.DataFrame(out, columns=["cluster", "ids", "vectors", "floors"])
+                        out, held = [], 0
             yield pd.DataFrame(out, columns=["cluster", "ids", "vectors", "floors"])
 
     return packed.join(first, "cluster", "left").mapInPandas(ask, "cluster int, ids binary, vectors binary, floors binary")
@@ -178,7 +198,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
                 yield pd.DataFrame({"query": np.frombuffer(ids, np.int64)[i], "id": np.frombuffer(own_ids, np.int64)[j], "score": cosine})
 
     hits = needed(index, queries, k).join(members, "cluster").mapInPandas(score, "query long, id long, score double")
-    return top_k(hits, ["query"], [F.desc("score"), F.asc("id")], k).select("query", "rank", "id", "score")
+    return _in_small_batches(top_k(hits, ["query"], [F.desc("score"), F.asc("id")], k).select("query", "rank", "id", "score"))
 
 
 def pairs_scored(index: Index, queries: DataFrame, k: int) -> int:

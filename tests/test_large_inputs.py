@@ -1,8 +1,9 @@
 """Results and shapes that only showed on larger tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from marginalia.operators import notes as N, suggest
+from marginalia.operators import notes as N, suggest, vectors
 from marginalia.sinks import notes as sinks
 from marginalia.sources import vault, walk
 
@@ -57,3 +58,21 @@ def test_archive_reads_files_where_it_writes_them(spark, tmp_path, monkeypatch):
     plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("MapInArrow") and not made[0].inputFiles()
     assert {(r.path, r.length, len(r.content)) for r in spark.read.parquet(str(tmp_path / "archive")).collect()} == {(f"sub/f{i}" if i % 2 else f"f{i}", i, i) for i in range(40)}
+
+
+def test_nearest_hands_workers_few_blocks(spark, monkeypatch):
+    """Blocks of vectors reach Python a few at a time, requests leave it in small batches, and the session's setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, settle = spark.conf.get(name), [], vectors.settle
+    monkeypatch.setattr(vectors, "settle", lambda df: seen.append(spark.conf.get(name)) or settle(df))
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    monkeypatch.setattr(vectors, "ASKED_BYTES", 500)
+    m = np.random.default_rng(3).normal(size=(400, 8)).astype("float32")
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(m)], "id long, embedding array<float>")
+    got = {}
+    for r in vectors.search(vectors.build_index(df, 5), df, 5).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["id"]))
+    unit = m.astype("float64") / np.linalg.norm(m.astype("float64"), axis=1, keepdims=True)
+    best = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :5]
+    assert all([j for _, j in sorted(got[i])] == list(best[i]) for i in range(400))
+    assert int(seen[-1]) <= 16 and spark.conf.get(name) == before
