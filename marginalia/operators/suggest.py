@@ -82,12 +82,12 @@ def text_pieces(lines: DataFrame, profiles: DataFrame, ctx: DataFrame) -> DataFr
 
 
 def term_table(notes: DataFrame) -> DataFrame:
-    """C5 over titles, headings and prose lines: distinct (path, source, term)."""
-    lines = natural_lines(F.col("content"))
+    """C5 over titles, headings and prose lines: distinct (path, source, term). A note without text still has its title."""
+    content = F.coalesce("content", F.lit(""))
     rows = notes.select(
         "path",
         F.explode(F.concat(
-            _marked("title", F.array("basename")), _marked("heading", headings(F.col("content"))), _marked("body", lines)
+            _marked("title", F.array("basename")), _marked("heading", headings(content)), _marked("body", natural_lines(content))
         )).alias("p"),
     )
     terms = rows.select("path", "p.source", F.explode(raw_terms(F.col("p.text"))).alias("term"))

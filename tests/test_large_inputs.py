@@ -76,3 +76,9 @@ def test_nearest_hands_workers_few_blocks(spark, monkeypatch):
     best = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :5]
     assert all([j for _, j in sorted(got[i])] == list(best[i]) for i in range(400))
     assert int(seen[-1]) <= 16 and spark.conf.get(name) == before
+
+
+def test_title_terms_of_a_note_without_text(spark, notes):
+    n = notes(("marble lantern.md", None), ("b.md", "copper\n"))
+    found = {(r.path, r.source, r.term) for r in suggest.term_table(n).collect()}
+    assert found == {("marble lantern.md", "title", "marble"), ("marble lantern.md", "title", "lantern"), ("b.md", "body", "copper")}
