@@ -16,6 +16,9 @@ WORD_START = r"(?<![0-9A-Za-z_])"
 WORD_END = r"(?![0-9A-Za-z_])"
 ASCII_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
+# the characters of Unicode's White_Space property
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def planned(build):
     """Keep the column a zero-argument builder returns: long expressions are built once per gateway, not once per job."""
@@ -39,7 +42,7 @@ def let(value: Column, body) -> Column:
 
 def trim_all(value: Column) -> Column:
     """Trim every Unicode blank (line breaks, no-break and full-width space), not only the plain space."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def collapse(value: Column, by: str = " ") -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim_all
 from .notes import (
-    entries, file_rank, frontmatter_links, note_facts, relation_table, wikilinks,
+    entries, file_rank, frontmatter_links, key_facts, relation_table, wikilinks,
 )
-from .refs import block_table, line_references, preview_table, range_label, references
+from .refs import block_table, line_targets, preview_table, range_label, reference_targets, references
 from .settle import settle
 
 
@@ -45,10 +45,9 @@ def resolve(rows: DataFrame, keys: DataFrame, target: str = "target", how: str =
 
 def resolution_table(notes: DataFrame) -> DataFrame:
     """Every raw target of the corpus with its note, or null."""
-    raw = references(notes).select("target").unionByName(
-        notes.select(F.explode(wikilinks(F.col("content"))).alias("target"))
-    )
-    return resolve(raw.distinct(), note_keys(note_facts(notes)), how="left").select("target", "target_path")
+    content = F.col("content")
+    raw = notes.select(F.explode(F.concat(reference_targets(content), wikilinks(content))).alias("target"))
+    return resolve(raw.distinct(), note_keys(key_facts(notes)), how="left").select("target", "target_path")
 
 
 def host_links(notes: DataFrame) -> DataFrame:
@@ -59,13 +58,15 @@ def host_links(notes: DataFrame) -> DataFrame:
 
 
 def raw_links(notes: DataFrame) -> DataFrame:
-    """Host links and line references as one list of raw targets."""
-    return host_links(notes).unionByName(line_references(notes).select("path", "target")).dropDuplicates(["path", "target"])
+    """Host links and line references as one list of raw targets, from one pass over the text."""
+    content = F.col("content")
+    targets = F.concat(wikilinks(content), frontmatter_links(entries(content)), line_targets(content))
+    return notes.select("path", F.explode(F.array_distinct(targets)).alias("target")).dropDuplicates(["path", "target"])
 
 
 def link_edges(notes: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Distinct (path, target_path, target_basename) edges of every note."""
-    keys = note_keys(facts if facts is not None else note_facts(notes))
+    keys = note_keys(facts if facts is not None else key_facts(notes))
     return resolve(raw_links(notes), keys).select("path", "target_path", "target_basename").distinct()
 
 
@@ -75,7 +76,7 @@ def backlinks(edges: DataFrame) -> DataFrame:
 
 
 def resolved_references(notes: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    keys = note_keys(facts if facts is not None else note_facts(notes))
+    keys = note_keys(facts if facts is not None else key_facts(notes))
     return resolve(references(notes), keys)
 
 
@@ -107,13 +108,13 @@ def incoming_references(notes: DataFrame) -> DataFrame:
 
 def resolved_relations(notes: DataFrame, keys: list[str] | None = None, facts: DataFrame | None = None) -> DataFrame:
     """Relation values that name a note."""
-    return resolve(relation_table(notes, keys), note_keys(facts if facts is not None else note_facts(notes)), "target_raw")
+    return resolve(relation_table(notes, keys), note_keys(facts if facts is not None else key_facts(notes)), "target_raw")
 
 
 def dangling(notes: DataFrame) -> DataFrame:
     """Unresolved targets with the number of references and of notes that use them."""
-    keys = note_keys(note_facts(notes)).select("key")
-    raw = references(notes).select("path", "target").withColumn("key", target_key(F.col("target")))
+    keys = note_keys(key_facts(notes)).select("key")
+    raw = notes.select("path", F.explode(reference_targets(F.col("content"))).alias("target")).withColumn("key", target_key(F.col("target")))
     return (
         raw.join(keys, "key", "left_anti")
         .groupBy("key").agg(F.count(F.lit(1)).alias("references"), F.count_distinct("path").alias("notes"))
@@ -125,7 +126,8 @@ def dashboard(notes: DataFrame, facts: DataFrame, mentions: DataFrame | None = N
     """Counts per note. Every count is a partial aggregate on its own edge table; drawings have no exact references."""
     facts = settle(facts)
     edges = settle(link_edges(notes, facts))
-    refs = settle(resolved_references(notes, facts).select("path", "target_path"))
+    targets = notes.select("path", F.explode(reference_targets(F.col("content"))).alias("target"))
+    refs = settle(resolve(targets, note_keys(facts)).select("path", "target_path"))
     relations = resolved_relations(notes, facts=facts)
     parts = [
         edges.select("path", F.lit("outlinks").alias("what")),
@@ -153,7 +155,7 @@ def dashboard(notes: DataFrame, facts: DataFrame, mentions: DataFrame | None = N
 
 def reference_previews(notes: DataFrame) -> DataFrame:
     """Every reference with title, location label and snippet; unresolved ones are marked missing."""
-    refs = settle(resolve(references(notes), note_keys(note_facts(notes)), how="left"))
+    refs = settle(resolve(references(notes, context=False), note_keys(key_facts(notes)), how="left"))
     spans = refs.where("kind <> 'native-block' and target_path is not null")
     previews = preview_table(spans, notes).withColumnRenamed("end_line", "p_end")
     blocks = block_table(notes).select(

@@ -268,6 +268,12 @@ def note_facts(notes: DataFrame, **extra: Column) -> DataFrame:
     )
 
 
+def key_facts(notes: DataFrame) -> DataFrame:
+    """What a note is found by, for jobs that only resolve targets: no tags and no source fields are read from its text."""
+    aliases = let(entries(F.col("content")), lambda fm: distinct_ci(as_list(raw_value(fm, "aliases", "alias"))))
+    return notes.select("path", "ord", "name", "basename", "ext", aliases.alias("aliases"))
+
+
 def metadata_table(notes: DataFrame) -> DataFrame:
     """Notes that carry at least one source field."""
     filled = F.filter(
@@ -306,14 +312,19 @@ def excerpt_table(notes: DataFrame) -> DataFrame:
 
 
 def is_natural_line(line: Column) -> Column:
-    """Prose, not code and not mostly symbols. ``line`` is trimmed."""
-    cjk = F.regexp_count(line, F.lit(f"[{fixed.CJK}]"))
-    latin = F.regexp_count(line, F.lit("[A-Za-z]"))
-    other = F.regexp_count(line, F.lit(r"(?U)[0-9]|\s"))
-    symbols = F.length(line) - cjk - latin - other
-    # seven tenths in whole numbers: 90 * 0.7 falls below 63 as a double
-    dense = symbols > F.greatest(F.lit(8), F.floor((cjk + latin) * 7 / 10))
-    return (F.length(line) > 0) & ~line.rlike(fixed.CODE_LIKE) & ~dense & ~((F.length(line) > 220) & (symbols > 4))
+    """Prose, not code and not mostly symbols. ``line`` is trimmed.
+
+    Characters are counted by what is left when whole runs of the others are taken out, and letters only where symbols are many.
+    """
+    symbols = F.length(F.regexp_replace(line, rf"(?U)[A-Za-z0-9{fixed.CJK}\s]+", ""))
+    letters = F.length(line) - F.length(F.regexp_replace(line, f"[A-Za-z{fixed.CJK}]+", ""))
+
+    def prose(n: Column) -> Column:
+        # seven tenths in whole numbers: 90 * 0.7 falls below 63 as a double
+        dense = F.when(n > 8, n > F.floor(letters * 7 / 10)).otherwise(F.lit(False))
+        return ~dense & ~((F.length(line) > 220) & (n > 4))
+
+    return (F.length(line) > 0) & let(symbols, prose) & ~line.rlike(fixed.CODE_LIKE)
 
 
 def natural_lines(content: Column) -> Column:
@@ -328,12 +339,20 @@ def natural_line_table(notes: DataFrame) -> DataFrame:
 
 
 def headings(content: Column) -> Column:
-    return F.regexp_extract_all(outside_fences(content), F.lit(r"(?m)^#{1,6}[ \t]+(.*?)[ \t]*#*[ \t]*$"), F.lit(1))
+    return headings_in(outside_fences(content))
+
+
+def headings_in(body: Column) -> Column:
+    return F.regexp_extract_all(body, F.lit(r"(?m)^#{1,6}[ \t]+(.*?)[ \t]*#*[ \t]*$"), F.lit(1))
 
 
 def wikilinks(content: Column) -> Column:
     """Targets of links outside fences, in order."""
-    return F.transform(F.regexp_extract_all(outside_fences(content), F.lit(WIKILINK), F.lit(1)), trim_all)
+    return wikilinks_in(outside_fences(content))
+
+
+def wikilinks_in(body: Column) -> Column:
+    return F.transform(F.regexp_extract_all(body, F.lit(WIKILINK), F.lit(1)), trim_all)
 
 
 # ----------------------------------------------------------------------------------------------------- relations

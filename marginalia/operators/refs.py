@@ -52,23 +52,26 @@ def context_snippet(content: Column, start: Column, length: Column) -> Column:
     return trim_all(F.concat(*parts))
 
 
-def _reference(content: Column, m: Column, **columns: Column) -> Column:
+def _reference(content: Column, m: Column, context: bool, **columns: Column) -> Column:
     raw, start = m["hit"]["raw"], m["start"]
-    first_line = newline_count(F.substring(content, 1, start)) + 1
+    around = []
+    if context:
+        first_line = newline_count(F.substring(content, 1, start)) + 1
+        around = [
+            first_line.alias("source_start_line"), (first_line + newline_count(raw)).alias("source_end_line"),
+            context_snippet(content, start, F.length(raw)).alias("source_context"),
+        ]
     return F.struct(
         columns["kind"].alias("kind"), raw.alias("raw"), columns["target"].alias("target"),
         columns["start_line"].cast("int").alias("start_line"), columns["end_line"].cast("int").alias("end_line"),
         columns["block_id"].cast("string").alias("block_id"), columns["alias"].cast("string").alias("alias"),
-        start.alias("pos_start"), (start + F.length(raw)).alias("pos_end"),
-        first_line.alias("source_start_line"), (first_line + newline_count(raw)).alias("source_end_line"),
-        context_snippet(content, start, F.length(raw)).alias("source_context"),
+        start.alias("pos_start"), (start + F.length(raw)).alias("pos_end"), *around,
     )
 
 
-def _explode(notes: DataFrame, pattern: str, found: Column) -> DataFrame:
+def _explode(notes: DataFrame, found: Column) -> DataFrame:
     """Only the finished references leave the row; the text stays behind."""
-    rows = notes.where(F.col("content").rlike(pattern)).select("path", "ord", F.explode(found).alias("r"))
-    return rows.select("path", "ord", "r.*")
+    return notes.select("path", "ord", F.explode(found).alias("r")).select("path", "ord", "r.*")
 
 
 def _line_target(hit: Column) -> Column:
@@ -86,44 +89,54 @@ def line_hits(content: Column) -> Column:
     return F.filter(located(content, LINE_REF, 6), counts)
 
 
+def line_targets(content: Column) -> Column:
+    """Targets of the line references of one text."""
+    return F.transform(line_hits(content), lambda m: _line_target(m["hit"]))
+
+
 def reference_targets(content: Column) -> Column:
     """Targets of all line and block references of one text."""
-    lines = F.transform(line_hits(content), lambda m: _line_target(m["hit"]))
+    lines = line_targets(content)
     blocks = F.transform(F.regexp_extract_all(content, F.lit(BLOCK_REF), F.lit(1)), trim_all)
     return F.filter(F.concat(lines, blocks), lambda t: t != "")
 
 
-def line_references(notes: DataFrame) -> DataFrame:
-    content = F.col("content")
-
+def _line_structs(content: Column, context: bool) -> Column:
     def number(a: Column, b: Column) -> Column:
         return F.when(a != "", a).when(b != "", b).try_cast("int")
 
     def build(m: Column) -> Column:
         h = m["hit"]
         return _reference(
-            content, m, kind=F.when(h["g4"] != "", "block").otherwise("line"), target=_line_target(h),
+            content, m, context, kind=F.when(h["g4"] != "", "block").otherwise("line"), target=_line_target(h),
             start_line=number(h["g2"], h["g5"]), end_line=number(h["g3"], h["g6"]), block_id=F.lit(None), alias=F.lit(None),
         )
 
-    return _explode(notes, LINE_REF, F.transform(line_hits(content), build))
+    return F.transform(line_hits(content), build)
 
 
-def native_block_references(notes: DataFrame) -> DataFrame:
-    content = F.col("content")
-
+def _native_structs(content: Column, context: bool) -> Column:
     def build(m: Column) -> Column:
         h = m["hit"]
         return _reference(
-            content, m, kind=F.lit("native-block"), target=trim_all(h["g1"]), start_line=F.lit(None), end_line=F.lit(None),
+            content, m, context, kind=F.lit("native-block"), target=trim_all(h["g1"]), start_line=F.lit(None), end_line=F.lit(None),
             block_id=h["g2"], alias=F.when(h["g3"] != "", trim_all(h["g3"])),
         )
 
-    return _explode(notes, BLOCK_REF, F.transform(located(content, BLOCK_REF, 3), build)).where("target <> ''")
+    return F.filter(F.transform(located(content, BLOCK_REF, 3), build), lambda r: r["target"] != "")
 
 
-def references(notes: DataFrame) -> DataFrame:
-    return line_references(notes).unionByName(native_block_references(notes))
+def line_references(notes: DataFrame) -> DataFrame:
+    return _explode(notes, _line_structs(F.col("content"), True))
+
+
+def native_block_references(notes: DataFrame) -> DataFrame:
+    return _explode(notes, _native_structs(F.col("content"), True))
+
+
+def references(notes: DataFrame, context: bool = True) -> DataFrame:
+    """Line and block references, from one pass over the notes; without ``context`` their lines and surroundings in the source note are left out."""
+    return _explode(notes, F.concat(_line_structs(F.col("content"), context), _native_structs(F.col("content"), context)))
 
 
 def format_line(target: Column, start: Column, end: Column) -> Column:
@@ -150,12 +163,12 @@ def clamped_range(start: Column, end: Column, total: Column) -> Column:
 
 def range_preview(lines: Column, start: Column, end: Column, max_lines: int = PREVIEW_LINES) -> Column:
     """At most ``max_lines`` lines of the clamped range, trimmed."""
-    return let(
-        clamped_range(start, end, F.size(lines)),
+    return let(lines, lambda ls: let(
+        clamped_range(start, end, F.size(ls)),
         lambda r: trim_all(
-            F.array_join(F.slice(lines, r["start"], F.least(r["end"] - r["start"] + 1, F.lit(max_lines))), "\n")
+            F.array_join(F.slice(ls, r["start"], F.least(r["end"] - r["start"] + 1, F.lit(max_lines))), "\n")
         ),
-    )
+    ))
 
 
 def preview_table(ranges: DataFrame, notes: DataFrame) -> DataFrame:
@@ -177,8 +190,8 @@ def preview_table(ranges: DataFrame, notes: DataFrame) -> DataFrame:
 STANDALONE = r"^\s*#{1,6}\s+|^\s*(?:[-*+]\s+|\d+\.\s+)|^\s*>|^\s*```"
 
 
-def paragraph_islands(lines: Column) -> Column:
-    """Paragraphs as (start_line, end_line, text), found as gaps and islands inside the row.
+def paragraph_islands(lines: Column, last_line: str | None = None) -> Column:
+    """Paragraphs as (start_line, end_line, text), found as gaps and islands inside the row. ``last_line`` keeps those whose last line matches it.
 
     A line starts an island when it stands alone or when the line before it is not prose; it ends one by the mirrored
     rule. Starts and ends pair up by position, so neither a shuffle nor a running sum is needed.
@@ -196,8 +209,11 @@ def paragraph_islands(lines: Column) -> Column:
         at = lambda i: F.coalesce(F.get(k, i), blank)
         starts = F.filter(index, lambda i: (at(i) == 1) | ((at(i) == 2) & ((i == 0) | (at(F.greatest(i - 1, F.lit(0))) != 2))))
         ends = F.filter(index, lambda i: (at(i) == 1) | ((at(i) == 2) & (at(i + 1) != 2)))
+        pairs = F.arrays_zip(starts.alias("s"), ends.alias("e"))
+        if last_line:
+            pairs = F.filter(pairs, lambda z: F.get(lines, z["e"]).rlike(last_line))
         return F.transform(
-            F.arrays_zip(starts.alias("s"), ends.alias("e")),
+            pairs,
             lambda z: F.struct(
                 (z["s"] + 1).cast("int").alias("start_line"), (z["e"] + 1).cast("int").alias("end_line"),
                 F.array_join(F.slice(lines, z["s"] + 1, z["e"] - z["s"] + 1), "\n").alias("text"),
@@ -213,7 +229,7 @@ def paragraph_islands(lines: Column) -> Column:
 
 
 def island_table(notes: DataFrame) -> DataFrame:
-    return notes.select("path", F.posexplode(paragraph_islands(F.split("content", "\n"))).alias("n", "p")).select(
+    return notes.select("path", F.posexplode(let(F.split("content", "\n"), lambda lines: paragraph_islands(lines))).alias("n", "p")).select(
         "path", (F.col("n") + 1).alias("paragraph_no"), "p.*"
     )
 
@@ -221,7 +237,9 @@ def island_table(notes: DataFrame) -> DataFrame:
 def block_table(notes: DataFrame) -> DataFrame:
     """Blocks that end with ``^id``: (path, block_id, start_line, end_line, preview)."""
     rows = notes.where(F.col("content").rlike(r"(?m)\^[A-Za-z0-9-]+\s*$"))
-    blocks = F.filter(paragraph_islands(F.split("content", "\n")), lambda p: p["text"].rlike(BLOCK_ID))
+    # the id stands in the last line, so only paragraphs that end like this are put together
+    ended = let(F.split("content", "\n"), lambda lines: paragraph_islands(lines, r"(?:^|\s)\^[A-Za-z0-9-]+\s*$"))
+    blocks = F.filter(ended, lambda p: p["text"].rlike(BLOCK_ID))
     return (
         rows.select("path", F.explode(blocks).alias("p"))
         .select(
