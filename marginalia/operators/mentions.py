@@ -14,15 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import ASCII_BOUNDARY, WORD_END, WORD_START, collapse, distinct_ci, has_cjk, let, trim_all
+from ..functions.text import ASCII_BOUNDARY, WORD_END, collapse, distinct_ci, has_cjk, is_in, let, trim_all
 from .graph import host_links, note_keys, resolve
-from .notes import note_facts, strip_frontmatter
+from .notes import key_facts, strip_frontmatter
 from .settle import settle
 from .skew import number_within, top_k
 
 TOKEN = r"[0-9A-Za-z_]+|[^\x00-\x7f\x{3400}-\x{9fff}]+"
 SIGN = r"[^0-9A-Za-z_\s\x{80}-\x{10ffff}]"
 MAX_GRAM = 4
+FEW_STARTS = 1000  # different first tokens of title windows that a text is sifted by
 PER_NOTE = 8
 
 
@@ -52,10 +53,13 @@ def _term_grams(term: Column) -> Column:
     return F.when(has_cjk(term), grams("c", chars(run), "")).when(F.size(tokens) > 0, grams("w", tokens, " ")).otherwise(grams("s", chars(signs), ""))
 
 
-def _text_grams(body: Column, sizes: list[tuple[str, int]]) -> Column:
-    """Distinct n-grams of a text, only of the sizes that occur among the keys."""
+def _text_grams(body: Column, sizes: list[tuple[str, int]], starts: list[str] | None = None) -> Column:
+    """Distinct n-grams of a text, only of the sizes that occur among the keys, and if ``starts`` are given only those of words that begin with one."""
 
     def words(tokens: Column, n: int) -> Column:
+        if starts is not None:
+            at = lambda t, i: F.when(is_in(t, starts) & (i + n <= F.size(tokens)), F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))
+            return F.array_distinct(F.array_compact(F.transform(tokens, at)))
         grams = tokens
         for k in range(1, n):
             rest = F.slice(tokens, k + 1, F.greatest(F.size(tokens) - k, F.lit(0)))
@@ -81,10 +85,11 @@ def _tag(family: str, size: int, gram: Column) -> Column:
 def first_position(text: Column, term: Column) -> Column:
     """1-based place of the first mention, 0 when there is none. CJK terms match anywhere, others as whole words."""
     escaped = F.regexp_replace(term, r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    # the plain look-around is enough for an edge that is an ASCII word character
-    start = F.when(term.rlike("^[0-9A-Za-z_]"), WORD_START).otherwise(ASCII_BOUNDARY)
+    # the plain look-around is enough for an edge that is an ASCII word character; behind the term it is tried only where the term stands
+    behind = F.concat(escaped, F.lit("(?<![0-9A-Za-z_]"), escaped, F.lit(")"))
+    start = F.when(term.rlike("^[0-9A-Za-z_]"), behind).otherwise(F.concat(F.lit(ASCII_BOUNDARY), escaped))
     end = F.when(term.rlike("[0-9A-Za-z_]$"), WORD_END).otherwise(ASCII_BOUNDARY)
-    pattern = F.concat(F.lit("(?i)"), start, escaped, end)
+    pattern = F.concat(F.lit("(?i)"), start, end)
     return F.when(has_cjk(term), F.instr(text, term)).otherwise(F.regexp_instr(text, pattern))
 
 
@@ -103,7 +108,10 @@ def mention_hits(notes: DataFrame, terms: DataFrame) -> DataFrame:
     body = strip_frontmatter(F.col("content"))
     if not sizes:
         sizes = [("w", 1)]
-    grams = notes.select("path", F.explode(_text_grams(body, sorted(sizes))).alias("g")).select("path", "g.*")
+    # titles of numbered notes begin with few words: then a text offers only the windows that begin with one of these; no more than they are read here
+    begun = offered.where("family = 'w'").select(F.substring_index("gram", " ", 1).alias("t")).distinct().limit(FEW_STARTS + 1).collect()
+    starts = sorted(r.t for r in begun) if 0 < len(begun) <= FEW_STARTS else None
+    grams = notes.select("path", F.explode(_text_grams(body, sorted(sizes), starts)).alias("g")).select("path", "g.*")
     # windows that a title and a text share; Spark picks the join by the measured bytes of the dictionary
     met = settle(grams.join(offered.select(*key).distinct(), key))
     texts = met.groupBy(*key).agg(F.count(F.lit(1)).alias("texts"))
@@ -124,7 +132,7 @@ def unlinked_mentions(notes: DataFrame, limit: int = PER_NOTE) -> DataFrame:
     ``limit + 1 + (notes already linking to it)`` mentions of each of its terms to fill its list, because only itself and
     those notes can be skipped; so the mention list of a term is numbered once and every target joins the places it needs.
     """
-    facts = settle(note_facts(notes))
+    facts = settle(key_facts(notes))
     terms = title_terms(facts)
     hits = settle(mention_hits(notes, terms))
     rank_key = F.shiftleft((F.col("ext") == "excalidraw").cast("bigint"), 62) + F.col("ord")
