@@ -210,7 +210,7 @@ def enrich_by_doi(entries: DataFrame, works: DataFrame) -> DataFrame:
     w = works.select(
         "doi", *[F.col(c).alias(f"w_{c}") for c in (
             "entry_type", "title", "authors", "author", "year", "pdf_url", "source_url", "abstract", "citation_key", "openalex_id",
-            "cited_by_count", "referenced_works_count", "related_works_count", "concepts",
+            "cited_by_count",
         )]
     )
     # an entry without a DOI gets a key of its own, which matches nothing: such entries may be most of the table

@@ -11,16 +11,27 @@ from ...sources import dims
 from .common import Query, oracle, plain, view
 
 
-def work_rows(spark, sf):
-    """Works of the part table in the common shape. An author list holds all suppliers of the part."""
+def work_rows(spark, sf, counted=True):
+    """Works of the part table in the common shape. An author list holds all suppliers of the part. Without ``counted`` the numbers of references and of
+    citations by year are left out, whose joins Spark would make for jobs that do not show them, too."""
     base = view(spark, sf, "v_works")
     authors = view(spark, sf, "v_work_authors").groupBy("work_no").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "author"))), lambda x: x["author"]).alias("authors")
     )
+    joined = base.join(authors, "work_no", "left")
+    if not counted:
+        return _common(joined)
     cited = view(spark, sf, "v_work_references").groupBy("work_no").agg(F.count(F.lit(1)).alias("referenced_works_count"))
     # at most one entry a year
     years = view(spark, sf, "v_work_years").groupBy("work_no").agg(F.sort_array(F.collect_list(F.struct("year", "cited_by_count")), asc=False).alias("counts_by_year"))
-    joined = base.join(authors, "work_no", "left").join(cited, "work_no", "left").join(years, "work_no", "left")
+    rows = _common(joined.join(cited, "work_no", "left").join(years, "work_no", "left"), "referenced_works_count", "counts_by_year")
+    return rows.withColumns({
+        "referenced_works_count": F.coalesce("referenced_works_count", F.lit(0)).cast("bigint"),
+        "counts_by_year": F.coalesce("counts_by_year", F.array().cast("array<struct<year:int,cited_by_count:int>>")),
+    })
+
+
+def _common(joined, *more):
     none = F.array().cast("array<string>")
     names = F.coalesce("authors", none)
     doi, arxiv = works.doi_id(F.col("doi_raw")), works.arxiv_id(F.col("arxiv_raw"))
@@ -29,9 +40,9 @@ def work_rows(spark, sf):
         F.lit("journal-article").alias("entry_type"), "title", names.alias("authors"), F.array_join(names, ", ").alias("author"), "year",
         F.when(doi != "", doi).alias("doi"), F.when(arxiv != "", arxiv).alias("arxiv_id"), F.lit(None).cast("string").alias("pdf_url"),
         F.when(doi != "", F.concat(F.lit("https://doi.org/"), doi)).alias("source_url"), "abstract", F.col("cited_by").alias("cited_by_count"),
-        F.coalesce("referenced_works_count", F.lit(0)).cast("bigint").alias("referenced_works_count"), none.alias("referenced_works"),
+        *more, none.alias("referenced_works"),
         F.lit(0).cast("bigint").alias("related_works_count"), none.alias("related_works"), F.array("concept_1", "concept_2").alias("concepts"),
-        F.coalesce("counts_by_year", F.array().cast("array<struct<year:int,cited_by_count:int>>")).alias("counts_by_year"), F.lit("").alias("publication_date"),
+        F.lit("").alias("publication_date"),
         F.lit("").alias("primary_location_url"), F.lit("").alias("source_display_name"),
     )
     return rows.withColumn("citation_key", works.citation_key(F.col("authors"), F.col("author"), F.col("year"), F.col("title")))
@@ -57,7 +68,7 @@ _TREND = lambda n: f"coalesce(array_to_string(list_slice(y.shown, 1, {n}), ', ')
 def _items(spark, sf):
     """Every work under its topic."""
     topics = view(spark, sf, "v_topics")
-    w = work_rows(spark, sf)
+    w = work_rows(spark, sf, counted=False)
     return topics.join(w, "work_no").withColumn("citation", works.parenthetical(F.col("authors"), F.col("year")))
 
 
@@ -133,7 +144,7 @@ SELECT work_no, pos, r.t AS source_type, r.s AS source FROM l""", "v_works", usi
 
 
 def c10(spark, sf):
-    return plain(works.deduplicate(work_rows(spark, sf), "work_no").select("source_key", "copies", "work_no", "note_path", "citation_key"))
+    return plain(works.deduplicate(work_rows(spark, sf, counted=False), "work_no").select("source_key", "copies", "work_no", "note_path", "citation_key"))
 
 
 C10 = oracle(f"""SELECT source_key, count(*) AS copies, max(work_no) AS work_no, '{fixed.LITERATURE_FOLDER}/' || source_key || '.md' AS note_path,
@@ -216,8 +227,10 @@ T4 = oracle("SELECT * FROM (SELECT topic, work_no, pos, row_number() OVER (PARTI
 
 def j10(spark, sf):
     """Entries of every second work carry its DOI; works with a DOI enrich them."""
-    w = work_rows(spark, sf)
-    entries = w.select(
+    w = work_rows(spark, sf, counted=False)
+    doi = works.doi_id(F.col("doi_raw"))
+    asked = view(spark, sf, "v_works").select("work_no", F.when(doi != "", doi).alias("doi"))
+    entries = asked.select(
         F.lit("arxiv").alias("source_type"), F.concat(F.lit("24.1"), "work_no").alias("source_id"), F.lit("preprint").alias("entry_type"),
         F.concat(F.lit("Preprint "), "work_no").alias("title"), F.array(F.lit("Ann Ode")).alias("authors"), F.lit("Ann Ode").alias("author"), F.lit("2024").alias("year"),
         F.concat(F.lit("24.1"), "work_no").alias("arxiv_id"), F.when(F.col("work_no") % 2 == 0, F.col("doi")).alias("doi"), F.lit(None).cast("string").alias("pdf_url"),
@@ -236,7 +249,7 @@ FROM keyed e LEFT JOIN known k ON e.work_no % 2 = 0 AND k.doi = e.doi AND e.doi
 
 def j11(spark, sf):
     """PDF requests of every work: by DOI, by arXiv id or by file name, some with an explicit title."""
-    w = work_rows(spark, sf)
+    w = work_rows(spark, sf, counted=False)
     n = F.col("work_no")
     asked = w.select(
         F.concat(F.lit("/papers/Scan "), n, F.lit(".v1.pdf")).alias("source"), F.when(n % 3 == 0, F.col("doi")).otherwise("").alias("metadata_doi"),

@@ -124,3 +124,12 @@ def test_blanks_are_trimmed_as_unicode_has_them(spark):
     every = [(chr(c),) for c in (*range(1, 0x300), *range(0x1680, 0x1690), *range(0x2000, 0x2070), 0x3000, 0xfeff)]
     df = spark.createDataFrame([(c + " a" + c + "b" + c + "\n",) for (c,) in every], "t string")
     assert not df.where(T.trim_all(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).take(1)
+
+
+def test_works_are_not_joined_with_counts_that_are_not_shown(spark):
+    from __spark_entry__ import queries
+
+    for name in ("G5_literature_map", "J10_doi_enrichment"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "prev_line" not in plan and "counts_by_year" not in plan, name
+    assert "prev_line" in queries()["G9_work_citations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
