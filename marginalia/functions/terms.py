@@ -43,8 +43,14 @@ def is_bad_cjk(t: Column) -> Column:
     )
 
 
+# words of four or more lower-case letters: only the word lists can rule them out, and they are their own tag form
+PLAIN_WORD = "^[a-z]{4,}$"
+_LISTED = (*fixed.EN_STOPWORDS, *fixed.NOISY_TOKENS, *fixed.STRUCTURAL_TOKENS)
+
+
 def is_candidate(t: Column) -> Column:
-    return ~is_noisy(t) & ~is_structural(t) & ~is_low_signal(t) & ~is_bad_cjk(t)
+    every_rule = ~is_noisy(t) & ~is_structural(t) & ~is_low_signal(t) & ~is_bad_cjk(t)
+    return F.when(t.rlike(PLAIN_WORD), ~is_in(t, _LISTED)).otherwise(every_rule)
 
 
 def raw_terms(text: Column) -> Column:
@@ -66,7 +72,9 @@ def raw_terms(text: Column) -> Column:
         return let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(run)))
 
     def collect(low: Column) -> Column:
-        words = F.filter(F.transform(F.split(low, fixed.TERM_SPLIT), trim_all), lambda w: w != "")
+        split = F.split(low, fixed.TERM_SPLIT)
+        # the words are cut at plain blanks, so they need trimming only where the text has others
+        words = F.filter(F.when(low.rlike(r"(?U)[\s&&[^ \t\n\x0B\f\r]]"), F.transform(split, trim_all)).otherwise(split), lambda w: w != "")
         english = F.regexp_extract_all(low, F.lit(f"{WORD_START}[a-z][a-z-]{{2,}}{ASCII_BOUNDARY}"), F.lit(0))
         runs = F.regexp_extract_all(low, F.lit(f"[{fixed.CJK}]{{2,24}}"), F.lit(0))
         cjk = F.flatten(F.transform(F.flatten(F.transform(runs, blocks)), phrases))
@@ -81,7 +89,7 @@ def candidate_terms(text: Column) -> Column:
 
 
 def tag_form(tag: Column) -> Column:
-    return trim_all(collapse(F.regexp_replace(trim_all(tag), "^#", "")))
+    return F.when(tag.rlike(PLAIN_WORD), tag).otherwise(trim_all(collapse(F.regexp_replace(trim_all(tag), "^#", ""))))
 
 
 def length_bonus(t: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions.terms import (
 )
 from ..functions.text import distinct_ci, let
 from .graph import note_keys, resolve
-from .notes import entries, frontmatter_links, headings, natural_lines, note_facts, wikilinks
+from .notes import entries, frontmatter_links, headings, headings_in, natural_lines, note_facts, outside_fences, wikilinks_in
 from .refs import reference_targets
 from .phrases import phrase_hits
 from .settle import settle
@@ -29,13 +29,16 @@ def note_profiles(notes: DataFrame) -> DataFrame:
     """One row per note with what it offers to others: names, tags, headings, folder terms and raw link targets. No body."""
     content = F.col("content")
     folders = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
+    # headings and targets are read from the text once, their terms from them
+    told = let(outside_fences(content), lambda body: F.struct(
+        headings_in(body).alias("headings"), F.concat(wikilinks_in(body), let(entries(content), frontmatter_links)).alias("links"),
+        reference_targets(content).alias("targets"),
+    ))
+    rows = notes.select("path", "ord", "dir", "name", "basename", "ext", "content", F.inline(F.array(told)))
+    named = F.array_distinct(F.transform("targets", lambda t: F.regexp_replace(t, r"(?i)\.md$", "")))
     return note_facts(
-        notes, headings=headings(content), heading_terms=_terms_of(headings(content)), folder_terms=_terms_of(folders),
-        links=F.concat(wikilinks(content), let(entries(content), frontmatter_links)), targets=reference_targets(content),
-        reference_terms=let(
-            F.transform(reference_targets(content), lambda t: F.regexp_replace(t, r"(?i)\.md$", "")),
-            lambda t: F.array_distinct(_terms_of(t)),
-        ),
+        rows, headings=F.col("headings"), heading_terms=_terms_of(F.col("headings")), folder_terms=_terms_of(folders),
+        links=F.col("links"), targets=F.col("targets"), reference_terms=let(named, lambda t: F.array_distinct(_terms_of(t))),
     )
 
 
