@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import trim_all
+from ..functions.text import distinct_ci, let, trim_all
 from .notes import (
-    entries, file_rank, frontmatter_links, key_facts, relation_table, wikilinks,
+    as_list, entries, file_rank, frontmatter_links, is_drawing, key_facts, note_tags, outside_fences, raw_value, relation_table, relations_in, wikilinks,
+    wikilinks_in,
 )
-from .refs import block_table, line_targets, preview_table, range_label, reference_targets, references
+from .refs import block_table, block_targets, line_targets, preview_table, range_label, reference_targets, references
 from .settle import settle
 
 
@@ -50,10 +51,36 @@ def resolution_table(notes: DataFrame) -> DataFrame:
     return resolve(raw.distinct(), note_keys(key_facts(notes)), how="left").select("target", "target_path")
 
 
-def host_links(notes: DataFrame) -> DataFrame:
+def _hosts(pairs: Column, body: Column) -> Column:
     """Raw targets of the links the host knows itself: wikilinks and frontmatter links."""
+    return F.concat(wikilinks_in(body), frontmatter_links(pairs))
+
+
+def _aliases(pairs: Column) -> Column:
+    return distinct_ci(as_list(raw_value(pairs, "aliases", "alias")))
+
+
+def read_hosts(notes: DataFrame) -> DataFrame:
+    """What a note is found by, and its ``hosts``: raw targets of its wikilinks and frontmatter links, from one pass over the text."""
+    content = F.col("content")
+    found = let(entries(content), lambda fm: F.struct(_aliases(fm).alias("aliases"), _hosts(fm, outside_fences(content)).alias("hosts")))
+    return notes.select("path", "ord", "name", "basename", "ext", F.inline(F.array(found)))
+
+
+def read_notes(notes: DataFrame) -> DataFrame:
+    """All that a dashboard counts, from one pass over the text: what ``read_hosts`` gives, the number of tags, the targets of line and block references
+    and the relations with their raw targets."""
+    content = F.col("content")
+    found = let(
+        F.struct(entries(content).alias("fm"), outside_fences(content).alias("body")),
+        lambda n: F.struct(
+            _aliases(n["fm"]).alias("aliases"), _hosts(n["fm"], n["body"]).alias("hosts"),
+            F.size(note_tags(n["fm"], n["body"])).alias("tags"), relations_in(n["fm"]).alias("relations"),
+        ),
+    )
     return notes.select(
-        "path", F.explode(F.concat(wikilinks(F.col("content")), frontmatter_links(entries(F.col("content"))))).alias("target")
+        "path", "ord", "name", "basename", "ext", is_drawing(F.col("path"), F.col("ext")).alias("is_drawing"), F.inline(F.array(found)),
+        line_targets(content).alias("lines"), block_targets(content).alias("blocks"),
     )
 
 
@@ -122,13 +149,15 @@ def dangling(notes: DataFrame) -> DataFrame:
     )
 
 
-def dashboard(notes: DataFrame, facts: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
-    """Counts per note. Every count is a partial aggregate on its own edge table; drawings have no exact references."""
-    facts = settle(facts)
-    edges = settle(link_edges(notes, facts))
-    targets = notes.select("path", F.explode(reference_targets(F.col("content"))).alias("target"))
-    refs = settle(resolve(targets, note_keys(facts)).select("path", "target_path"))
-    relations = resolved_relations(notes, facts=facts)
+def dashboard(facts: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
+    """Counts per note, from the notes as ``read_notes`` gives them; they are settled by the caller, since every part reads them. Every count
+    is a partial aggregate on its own edge table; drawings have no exact references."""
+    keys = settle(note_keys(facts))
+    asked = facts.select("path", F.explode(F.array_distinct(F.concat("hosts", "lines"))).alias("target"))
+    edges = settle(resolve(asked, keys).select("path", "target_path").distinct())
+    refs = settle(resolve(facts.select("path", F.explode(F.concat("lines", "blocks")).alias("target")), keys).select("path", "target_path"))
+    named = facts.select("path", F.explode("relations").alias("r")).select("path", "r.relation_key", F.explode("r.targets").alias("target_raw"))
+    relations = resolve(named, keys, "target_raw")
     parts = [
         edges.select("path", F.lit("outlinks").alias("what")),
         backlinks(edges).select("path", F.lit("backlinks").alias("what")),
@@ -143,7 +172,7 @@ def dashboard(notes: DataFrame, facts: DataFrame, mentions: DataFrame | None = N
         facts_rows = facts_rows.unionByName(p)
     names = ["outlinks", "backlinks", "refs_out", "refs_in", "relation_groups", "mentions"]
     counts = facts_rows.groupBy("path").agg(*[F.count_if(F.col("what") == n).alias(n) for n in names])
-    joined = facts.select("path", "is_drawing", F.size("tags").alias("tags")).join(counts, "path", "left")
+    joined = facts.select("path", "is_drawing", "tags").join(counts, "path", "left")
     zero = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("bigint")
     hidden = lambda n: F.when(F.col("is_drawing"), F.lit(0)).otherwise(zero(n)).cast("bigint")
     return joined.select(

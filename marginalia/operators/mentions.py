@@ -2,26 +2,30 @@
 
 Titles are found by equi joins on n-grams, never by comparing every title with every text. A title has the windows of up to four of its
 tokens, or of the characters of its first CJK run, or of its first run of signs when it has nothing else; a text offers its distinct windows of the
-sizes that occur. Texts are counted for every window that titles and texts share, and each title is looked up by its rarest one. The whole
+sizes that occur, and only those that begin like a title where titles begin with few words. Texts are counted for every window that titles and texts share, and each title is looked up by its rarest one. The whole
 title is then checked, all candidates of a note at once, so a window only narrows and a text is read once.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import ASCII_BOUNDARY, WORD_END, collapse, distinct_ci, has_cjk, is_in, let, trim_all
-from .graph import host_links, note_keys, resolve
-from .notes import key_facts, strip_frontmatter
+from ..functions.text import ASCII_BOUNDARY, WORD_END, collapse, distinct_ci, has_cjk, let, trim_all
+from .graph import note_keys, read_hosts, resolve
+from .notes import strip_frontmatter
 from .settle import settle
 from .skew import number_within, top_k
 
 TOKEN = r"[0-9A-Za-z_]+|[^\x00-\x7f\x{3400}-\x{9fff}]+"
 SIGN = r"[^0-9A-Za-z_\s\x{80}-\x{10ffff}]"
+# the two kinds of runs in TOKEN, and what stands between tokens
+RUNS = ("[0-9A-Za-z_]", r"[^\x00-\x7f\x{3400}-\x{9fff}]")
+BETWEEN = r"(?:(?![0-9A-Za-z_])[\x00-\x7f\x{3400}-\x{9fff}])*+"
 MAX_GRAM = 4
 FEW_STARTS = 1000  # different first tokens of title windows that a text is sifted by
 PER_NOTE = 8
@@ -57,9 +61,6 @@ def _text_grams(body: Column, sizes: list[tuple[str, int]], starts: list[str] |
     """Distinct n-grams of a text, only of the sizes that occur among the keys, and if ``starts`` are given only those of words that begin with one."""
 
     def words(tokens: Column, n: int) -> Column:
-        if starts is not None:
-            at = lambda t, i: F.when(is_in(t, starts) & (i + n <= F.size(tokens)), F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))
-            return F.array_distinct(F.array_compact(F.transform(tokens, at)))
         grams = tokens
         for k in range(1, n):
             rest = F.slice(tokens, k + 1, F.greatest(F.size(tokens) - k, F.lit(0)))
@@ -70,12 +71,34 @@ def _text_grams(body: Column, sizes: list[tuple[str, int]], starts: list[str] |
     def chars(kind: str, n: int) -> Column:
         return F.array_distinct(F.regexp_extract_all(body, F.lit(f"(?=({kind}{{{n}}}))"), F.lit(1)))
 
-    def collect(tokens: Column) -> Column:
+    def begun(text: Column, n: int) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(_begun(starts, n)), F.lit(1)))
+        return F.array_distinct(F.transform(found, lambda w: F.array_join(F.regexp_extract_all(w, F.lit(TOKEN), F.lit(0)), " ")))
+
+    def collect(text: Column) -> Column:
         kinds = {"c": f"[{fixed.CJK}]", "s": SIGN}
-        parts = [F.transform(words(tokens, n) if fam == "w" else chars(kinds[fam], n), functools.partial(_tag, fam, n)) for fam, n in sizes]
+        of_words = words if starts is None else begun
+        parts = [F.transform(of_words(text, n) if fam == "w" else chars(kinds[fam], n), functools.partial(_tag, fam, n)) for fam, n in sizes]
         return F.concat(*parts)
 
-    return let(F.regexp_extract_all(F.lower(body), F.lit(TOKEN), F.lit(0)), collect)
+    # a text is cut into all its tokens only where any of them may begin a title
+    lowered = F.lower(body)
+    return let(lowered if starts is not None else F.regexp_extract_all(lowered, F.lit(TOKEN), F.lit(0)), collect)
+
+
+def _begun(starts: list[str], size: int) -> str:
+    """Pattern whose first group is a run of ``size`` tokens that begins with one of ``starts``; runs may overlap. A token holds no sign of a pattern."""
+    options = []
+    for run in RUNS:
+        by_first: dict[str, list[str]] = {}
+        for t in starts:
+            if re.match(r"[0-9A-Za-z_]", t) if run == RUNS[0] else not t[0].isascii():
+                by_first.setdefault(t[0], []).append(t[1:])
+        if by_first:
+            words = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items()))
+            options.append(f"(?<!{run})(?:{words})(?!{run})")
+    more = f"(?:{BETWEEN}(?:{RUNS[0]}++|{RUNS[1]}++)){{{size - 1}}}"
+    return f"(?=((?:{'|'.join(options)}){more}))"
 
 
 def _tag(family: str, size: int, gram: Column) -> Column:
@@ -125,19 +148,20 @@ def mention_hits(notes: DataFrame, terms: DataFrame) -> DataFrame:
     return checked.select("path", "ord", "ext", F.explode(hits).alias("h")).select("h.term", "path", "ord", "ext", "h.snippet")
 
 
-def unlinked_mentions(notes: DataFrame, limit: int = PER_NOTE) -> DataFrame:
+def unlinked_mentions(notes: DataFrame, limit: int = PER_NOTE, read: DataFrame | None = None) -> DataFrame:
     """Up to ``limit`` notes per target that mention it without a host link to it, in file order. A line reference is no such link.
 
     A common title may belong to very many notes and appear in very many texts. A target needs no more than the first
     ``limit + 1 + (notes already linking to it)`` mentions of each of its terms to fill its list, because only itself and
     those notes can be skipped; so the mention list of a term is numbered once and every target joins the places it needs.
+    ``read``: the notes as ``read_hosts`` or ``read_notes`` gives them, if they were read already.
     """
-    facts = settle(key_facts(notes))
+    facts = settle(read_hosts(notes)) if read is None else read
     terms = title_terms(facts)
     hits = settle(mention_hits(notes, terms))
     rank_key = F.shiftleft((F.col("ext") == "excalidraw").cast("bigint"), 62) + F.col("ord")
     numbered = number_within(hits.withColumn("file_order", rank_key), ["term"], "file_order", "place")
-    edges = resolve(host_links(notes), note_keys(facts)).where("target_path <> path")
+    edges = resolve(facts.select("path", F.explode("hosts").alias("target")), note_keys(facts)).where("target_path <> path")
     links = settle(edges.select("target_path", F.col("path").alias("source_path")).distinct())
     linked = links.groupBy("target_path").agg(F.count(F.lit(1)).alias("linked"))
     owners = terms.join(linked, "target_path", "left").withColumn("need", F.coalesce("linked", F.lit(0)) + limit + 1)

@@ -162,10 +162,19 @@ def outside_fences(content: Column) -> Column:
 
 def inline_tags(content: Column) -> Column:
     """``#tag`` outside fences, ordered, first spelling wins. A tag needs one character that is not a digit."""
-    found = F.regexp_extract_all(outside_fences(content), F.lit(INLINE_TAG), F.lit(1))
+    return inline_tags_in(outside_fences(content))
+
+
+def inline_tags_in(body: Column) -> Column:
+    found = F.regexp_extract_all(body, F.lit(INLINE_TAG), F.lit(1))
     return distinct_ci(F.filter(found, lambda t: t.rlike(r"[^0-9]")))
 
 
+def note_tags(pairs: Column, body: Column) -> Column:
+    """Tags of the frontmatter, then those of the text outside fences."""
+    return distinct_ci(F.concat(distinct_ci(as_list(raw_value(pairs, "tags"))), inline_tags_in(body)))
+
+
 def markup_table(notes: DataFrame) -> DataFrame:
     """A4: tags, headings, wikilinks and block ids outside fences, with their line in the whole note."""
     lines = F.split("content", "\n")
@@ -253,7 +262,7 @@ def _facts() -> Column:
         entries(F.col("content")),
         lambda fm: F.struct(
             distinct_ci(as_list(raw_value(fm, "aliases", "alias"))).alias("aliases"),
-            distinct_ci(F.concat(distinct_ci(as_list(raw_value(fm, "tags"))), inline_tags(F.col("content")))).alias("tags"),
+            note_tags(fm, outside_fences(F.col("content"))).alias("tags"),
             source_metadata(fm).alias("metadata"),
         ),
     )
@@ -358,21 +367,21 @@ def wikilinks_in(body: Column) -> Column:
 # ----------------------------------------------------------------------------------------------------- relations
 
 
-def relation_table(notes: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Typed relation values per note: (path, relation_key, pos, target_raw)."""
-    names = keys or fixed.RESEARCH_RELATION_KEYS
+def relations_in(fm: Column, keys: list[str] | None = None) -> Column:
+    """Typed relations of a frontmatter: (relation_key, targets)."""
+    present = F.filter(F.transform(fm, lambda e: e["key"]), lambda k: is_in(k, keys or fixed.RESEARCH_RELATION_KEYS))
+    return F.transform(
+        F.array_distinct(present),
+        lambda k: F.struct(
+            k.alias("relation_key"),
+            distinct_ci(as_list(F.get(F.reverse(F.filter(fm, lambda e: e["key"] == k)), F.lit(0))["raw"])).alias("targets"),
+        ),
+    )
 
-    def values(fm: Column) -> Column:
-        present = F.filter(F.transform(fm, lambda e: e["key"]), lambda k: is_in(k, names))
-        return F.transform(
-            F.array_distinct(present),
-            lambda k: F.struct(
-                k.alias("relation_key"),
-                distinct_ci(as_list(F.get(F.reverse(F.filter(fm, lambda e: e["key"] == k)), F.lit(0))["raw"])).alias("targets"),
-            ),
-        )
 
-    return notes.select("path", F.explode(let(entries(F.col("content")), values)).alias("r")).select(
+def relation_table(notes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Typed relation values per note: (path, relation_key, pos, target_raw)."""
+    return notes.select("path", F.explode(let(entries(F.col("content")), lambda fm: relations_in(fm, keys))).alias("r")).select(
         "path", "r.relation_key", F.posexplode("r.targets").alias("pos", "target_raw")
     )
 

@@ -90,15 +90,36 @@ def line_hits(content: Column) -> Column:
 
 
 def line_targets(content: Column) -> Column:
-    """Targets of the line references of one text."""
-    return F.transform(line_hits(content), lambda m: _line_target(m["hit"]))
+    """Targets of the line references of one text, as ``line_hits`` counts them, without their places.
+
+    References and back-ticks are taken from the text together; walked from the end, each reference knows the back-ticks behind it.
+    """
+    marks = F.regexp_extract_all(content, F.lit(f"{LINE_REF}|`"), F.lit(0))
+
+    def target(raw: Column) -> Column:
+        return _line_target(F.struct(F.regexp_extract(raw, LINE_REF, 1).alias("g1"), F.regexp_extract(raw, LINE_REF, 4).alias("g4")))
+
+    def step(state: Column, mark: Column) -> Column:
+        counts = (mark != "`") & (state["ticks"] % 2 == 0)
+        ticks = F.length(mark) - F.length(F.replace(mark, F.lit("`"), F.lit("")))
+        return F.struct(
+            (state["ticks"] + ticks).alias("ticks"),
+            F.when(counts, F.concat(state["found"], F.array(target(mark)))).otherwise(state["found"]).alias("found"),
+        )
+
+    start = F.struct(F.lit(0).alias("ticks"), F.array().cast("array<string>").alias("found"))
+    found = F.aggregate(F.reverse(marks), start, step, lambda state: F.reverse(state["found"]))
+    return F.filter(found, lambda t: F.length(t) > 0)
+
+
+def block_targets(content: Column) -> Column:
+    """Targets of the block references of one text."""
+    return F.filter(F.transform(F.regexp_extract_all(content, F.lit(BLOCK_REF), F.lit(1)), trim_all), lambda t: t != "")
 
 
 def reference_targets(content: Column) -> Column:
     """Targets of all line and block references of one text."""
-    lines = line_targets(content)
-    blocks = F.transform(F.regexp_extract_all(content, F.lit(BLOCK_REF), F.lit(1)), trim_all)
-    return F.filter(F.concat(lines, blocks), lambda t: t != "")
+    return F.concat(line_targets(content), block_targets(content))
 
 
 def _line_structs(content: Column, context: bool) -> Column:

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import graph, mentions, notes as N, suggest, tags, vectors
+from marginalia.operators import graph, mentions, notes as N, refs, suggest, tags, vectors
 from marginalia.sinks import notes as sinks
 from marginalia.sources import vault, walk
 
@@ -133,3 +133,47 @@ def test_works_are_not_joined_with_counts_that_are_not_shown(spark):
         plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "prev_line" not in plan and "counts_by_year" not in plan, name
     assert "prev_line" in queries()["G9_work_citations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_dashboard_reads_the_notes_once(spark, monkeypatch):
+    """Frontmatter, fences and references of a text are looked at in one pass, and all its tokens nowhere when titles begin with few words."""
+    from marginalia.plans.queries import ALL
+
+    seen = {}
+
+    def counted(module, name):
+        real = getattr(module, name)
+
+        def call(*args, **kwargs):
+            seen[name] = seen.get(name, 0) + 1
+            return real(*args, **kwargs)
+
+        monkeypatch.setattr(module, name, call)
+
+    for name in ("entries", "outside_fences", "line_targets"):
+        counted(graph, name)
+    assert ALL["G4_dashboard"].run(spark, "/root/testdata/sf0.001").count() == 200
+    assert seen == {"entries": 1, "outside_fences": 1, "line_targets": 1}
+
+
+def test_windows_that_begin_like_titles_are_those_of_all_tokens(spark):
+    texts = [
+        "doc doc-1, doc\u00e9 \u00e9doc x \u00e9 doc_1 doc", "Doc\u6570doc\u636e7 \U0001f600\U0001f600 a \U0001f600", "", "doc", "a doc. \u00c9t\u00e9 2 docs a1 a",
+        "doc\u00e9\u00e9doc doc\n\n- \u00e9 a \u0130 a\u0307 a", "\u00e9a\u00e9 doc1doc a doc", "doc (doc) [[doc|doc]] doc",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    starts = ["a", "doc", "docs", "\u00e9", "\U0001f600", "i"]
+    sizes = [("w", n) for n in (1, 2, 3, 4)]
+    every = mentions._text_grams(F.col("t"), sizes)
+    for r in rows.select("t", every.alias("every"), mentions._text_grams(F.col("t"), sizes, starts).alias("sifted")).collect():
+        want = {(g.size, g.gram) for g in r.every if g.gram.split(" ")[0] in starts}
+        assert {(g.size, g.gram) for g in r.sifted} == want and len(r.sifted) == len(want), r.t
+
+
+def test_back_ticks_behind_references(spark):
+    """References count when an even number of back-ticks follows, those inside later references included."""
+    texts = ["<<a:1>> `<<b:2>>` <<c:3-4>>", "`<<a:1>> <<b`c:2>> (((d`e#3))) ` ((( f #4-5)))", "<<a:1>>`", "``", "", "<<{x}:{1}-{2}>>>> <<y:1>>`z`", "(((a#1)))<<:1>>((( #2)))<<b:1>>"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    hits = F.transform(refs.line_hits(F.col("t")), lambda m: refs._line_target(m["hit"]))
+    for r in rows.select("t", hits.alias("want"), refs.line_targets(F.col("t")).alias("got")).collect():
+        assert r.got == r.want, r.t
