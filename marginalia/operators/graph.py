@@ -60,11 +60,12 @@ def _aliases(pairs: Column) -> Column:
     return distinct_ci(as_list(raw_value(pairs, "aliases", "alias")))
 
 
-def read_hosts(notes: DataFrame) -> DataFrame:
-    """What a note is found by, and its ``hosts``: raw targets of its wikilinks and frontmatter links, from one pass over the text."""
+def read_hosts(notes: DataFrame, **extra: Column) -> DataFrame:
+    """What a note is found by, and its ``hosts``: raw targets of its wikilinks and frontmatter links, from one pass over the text. ``extra`` columns come
+    from the same pass."""
     content = F.col("content")
     found = let(entries(content), lambda fm: F.struct(_aliases(fm).alias("aliases"), _hosts(fm, outside_fences(content)).alias("hosts")))
-    return notes.select("path", "ord", "name", "basename", "ext", F.inline(F.array(found)))
+    return notes.select("path", "ord", "name", "basename", "ext", F.inline(F.array(found)), *[value.alias(name) for name, value in extra.items()])
 
 
 def read_notes(notes: DataFrame) -> DataFrame:

@@ -20,13 +20,14 @@ def write_notes(notes: DataFrame, target: str, key: str = "path") -> None:
     """K1, K2, K4: rendered notes as a table partitioned by a hash prefix; a rewritten key replaces its old row.
 
     The new rows of a prefix are merged with the stored ones and only touched prefixes are overwritten. Of several new rows with one key the
-    greatest stays (by its other columns, in order).
+    greatest stays (by its other columns, in order). Rows are dealt by prefix before they are written, large prefixes to several tasks, so the number of
+    files follows the prefixes and bytes, not the tasks.
     """
     spark = notes.sparkSession
     others = [c for c in notes.columns if c != key]
     notes = notes.groupBy(key).agg(F.max(F.struct(*others)).alias("row")).select(key, "row.*").select(*notes.columns)
     prefixed = notes.withColumn("prefix", _prefix(F.col(key)))
-    writer = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(target)
+    writer = lambda df: df.hint("rebalance", "prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(target)
     if not _exists(spark, target):
         writer(prefixed)
         return
@@ -59,7 +60,7 @@ def write_changed(original: DataFrame, changed: DataFrame, target: str, dry_run:
     else:
         touched, stored = None, prefixed(original.select("path", "content"))
     rows = settle(stored.join(gone, "path", "left_anti").select("path", "content", "prefix").unionByName(prefixed(fresh)))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(target)
+    rows.hint("rebalance", "prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(target)
     if touched is not None:  # a prefix that every note has left
         for r in touched.join(rows.select("prefix").distinct(), "prefix", "left_anti").collect():  # at most one for each prefix
             delete_folder(spark, f"{target}/prefix={r.prefix}")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators.graph import note_keys, raw_links, resolve, target_key
-from ..operators.notes import note_facts
+from ..operators.graph import note_keys, read_hosts, resolve, target_key
+from ..operators.refs import line_targets
 from ..operators.settle import settle
 
 
@@ -70,14 +70,16 @@ def maintain_edges(versions: DataFrame, target: str, checkpoint: str):
         from ..sinks.notes import _exists, read_notes_table, write_notes
 
         spark = batch.sparkSession
-        latest = batch.groupBy("path").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "path"]), "ts").alias("v")).select("path", "v.*")
-        latest = settle(latest if "deleted" in latest.columns else latest.withColumn("deleted", F.lit(False)))
-        live, dead = latest.where("NOT coalesce(deleted, false)"), latest.where("deleted").select("path")
+        # what a version says is read before the versions of a note meet, so its text is read once and stays behind
+        said = read_hosts(batch, lines=line_targets(F.col("content")), ts=F.col("ts"), gone=F.col("deleted") if "deleted" in batch.columns else F.lit(False))
+        latest = said.groupBy("path").agg(F.max_by(F.struct(*[c for c in said.columns if c != "path"]), "ts").alias("v")).select("path", "v.*")
+        latest = settle(latest.withColumn("gone", F.coalesce("gone", F.lit(False))))
+        none = F.array().cast("array<string>")
         listed = lambda rows, name, to: rows.groupBy("path").agg(F.array_sort(F.collect_set(name)).alias(to))
-        every = lambda notes, rows, name: notes.select("path").join(rows, "path", "left").select("path", F.coalesce(name, F.array().cast("array<string>")).alias(name))
-        facts = note_facts(live).select("path", "ord", "basename", "name", "ext", "aliases").withColumn("gone", F.lit(False))
-        fresh = settle(facts.unionByName(dead.withColumn("gone", F.lit(True)), allowMissingColumns=True))
-        raw = every(latest, listed(raw_links(live), "target", "targets"), "targets")
+        every = lambda notes, rows, name: notes.select("path").join(rows, "path", "left").select("path", F.coalesce(name, none).alias(name))
+        fresh = latest.select("path", *[F.when(~F.col("gone"), F.col(c)).alias(c) for c in ("ord", "basename", "name", "ext", "aliases")], "gone")
+        targets = F.array_sort(F.array_distinct(F.concat("hosts", "lines")))
+        raw = latest.select("path", F.coalesce(F.when(~F.col("gone"), targets), none).alias("targets"))
         if _exists(spark, f"{target}/facts"):
             old = read_notes_table(spark, f"{target}/facts").select(*fresh.columns).where("NOT gone")
             keys = settle(note_keys(old.join(latest, "path", "left_anti").unionByName(fresh.where("NOT gone"))))

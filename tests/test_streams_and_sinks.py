@@ -330,3 +330,36 @@ def test_write_notes_with_digits_as_prefix(spark, tmp_path):
     write_notes(spark.createDataFrame([(keys[0], "b"), (keys[0], "c")], "path string, content string"), target)
     assert {r.path: r.content for r in read_notes_table(spark, target).collect()} == {k: "c" if k == keys[0] else "a" for k in keys}
     assert read_notes_table(spark, target).count() == len(keys)
+
+
+def test_note_files_follow_prefixes_not_tasks(spark, tmp_path):
+    """One file for each prefix of a small table, however many tasks hold its rows."""
+    from marginalia.sinks.notes import write_changed, write_notes
+
+    rows = spark.range(2000).select(F.concat(F.lit("n"), F.col("id"), F.lit(".md")).alias("path"), F.lit("x").alias("content")).repartition(4)
+    files = lambda name: sum(1 for p in (tmp_path / name).rglob("*.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for _ in range(2):
+            write_notes(rows, str(tmp_path / "notes"))
+            assert files("notes") <= 256
+        write_changed(rows, rows.limit(1), str(tmp_path / "corpus"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files("corpus") <= 256
+    for name in ("notes", "corpus"):
+        assert spark.read.parquet(str(tmp_path / name)).select("path").distinct().count() == 2000
+
+
+def test_edge_maintenance_keeps_no_text(spark, notes, tmp_path, monkeypatch):
+    """Texts are read where they lie; only keys and targets are stored and shuffled. The latest version of a batch counts, and a deleted one has no edges."""
+    seen = []
+    monkeypatch.setattr(changes, "settle", lambda df: (seen.extend(df.columns), df.localCheckpoint())[1])
+    old = notes(("a.md", "[[b]]"), ("b.md", "[[a]]"), ("c.md", "[[a]]")).withColumns({"ts": F.lit(at(0)), "deleted": F.lit(False)})
+    new = notes(("a.md", "[[c]] and <<b:1>>"), ("b.md", "[[a]]")).withColumns({"ts": F.lit(at(9)), "deleted": F.col("path") == "b.md"})
+    none = notes(("c.md", "")).withColumns({"ts": F.lit(at(3)), "deleted": F.lit(None).cast("boolean"), "content": F.lit(None).cast("string")})
+    old.unionByName(new).unionByName(none).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(old.schema).parquet(str(tmp_path / "in"))
+    changes.maintain_edges(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert {(r.path, r.target_path) for r in changes.read_edges(spark, str(tmp_path / "out")).collect()} == {("a.md", "c.md")}
+    assert seen and "content" not in seen
