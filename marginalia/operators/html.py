@@ -24,6 +24,7 @@ BLOCKS = (
     "tbody tr td th hr label"
 ).split()
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+PAGE_CHARS = 4_000_000  # characters of HTML dealt to one task, which sorts their tokens
 
 
 # executors need no copy of this package: its functions travel by value
@@ -63,6 +64,12 @@ def page_titles(pages: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
+def page_parts(pages: DataFrame) -> int:
+    """Number of tasks the pages are dealt to: more pages make more tasks, not larger ones."""
+    size = pages.agg(F.sum(F.length("html"))).first()[0] or 0
+    return max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // PAGE_CHARS))
+
+
 def tokens(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per tag or text. The content root is ``div.ck-content`` when the page has one, else the whole tree."""
     clean = F.regexp_replace("html", DROPPED, "")
@@ -167,8 +174,12 @@ def _tables(rows: DataFrame, key: str) -> DataFrame:
 
 
 def markdown(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, markdown) for every page, without the title line. A page's tokens are one window group; pages are rows."""
-    b = settle(blocks(pages, key))
+    """(key, markdown) for every page, without the title line. A page's tokens are one window group; pages are rows.
+
+    Whole pages are dealt to tasks by ``page_parts``, so tokens are made where they are numbered and never shuffled.
+    """
+    parts = page_parts(pages)
+    b = settle(blocks(pages.select(key, "html").repartition(parts, key), key)).repartition(parts, key)
     with_cells = b.withColumn("body", trim_all(_spacing(F.col("raw"))))
     body = F.when(F.col("in_pre"), trim_all(F.col("raw"))).otherwise(trim_all(_spacing(F.col("raw"))))
     b = b.withColumn("body", body)
@@ -198,7 +209,7 @@ def markdown(pages: DataFrame, key: str = "page_id") -> DataFrame:
     rows = rows.unionByName(_tables(with_cells, key))
     quoted = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(x == "", ">").otherwise(F.concat(F.lit("> "), x))), "\n")
     rows = rows.withColumn("text", F.when(F.col("quote_depth") > 0, quoted).otherwise(F.col("text")))
-    lists = rows.groupBy(key).agg(
+    lists = rows.repartition(parts, key).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pos", "text", "kind", "quote_depth", "outer_list", "outer_quote"))).alias("x")
     )
 

@@ -107,6 +107,22 @@ def test_html_page(spark):
     assert html.convert_pages(pages).first().markdown == MARKDOWN
 
 
+def test_more_pages_make_more_tasks(spark, monkeypatch):
+    """Whole pages are dealt to tasks by their size, so a task's tokens do not grow with the input; tokens are not shuffled."""
+    seen = []
+    keep = html.settle
+    # in a printed plan the input of a step stands below it
+    early = lambda df: (lambda plan: plan.index("Generate") < plan.index("Exchange"))(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(html, "settle", lambda df: (seen.append((early(df), df.rdd.getNumPartitions())), keep(df))[1])
+    pages = spark.createDataFrame([(i, f"a/{i}.html", PAGE) for i in range(40)] + [(40, "b.html", None), (41, "c.html", "")], "page_id long, path string, html string")
+    for size, parts in ((html.PAGE_CHARS, 4), (len(PAGE) * 2, 20)):
+        monkeypatch.setattr(html, "PAGE_CHARS", size)
+        out = {r.page_id: r.markdown for r in html.convert_pages(pages).collect()}
+        assert [out[i] for i in range(40)] == [MARKDOWN] * 40 and len(out) == 42 and out[41] == "# c"
+        assert seen.pop() == (True, parts)
+    assert html.convert_pages(pages.where("page_id < 0")).count() == 0
+
+
 def test_html_import(spark):
     files = [(0, "a/b:1.html", '<p><a href="c%20d.html#s">l</a> <a href="/a/c d?q=1">r</a> <a href="f.pdf">f</a></p>'), (1, "a/c d.html", "<p>x</p>"), (2, "index.html", "<p>n</p>")]
     out = {r.new_path: r.content for r in html.import_pages(spark.createDataFrame(files, "ord long, path string, html string"), "now").collect()}
