@@ -130,6 +130,17 @@ def test_html_import(spark):
     assert out["a/b 1.md"].endswith("# b 1\n\n[l](c%20d.md#s) [r](c%20d.md?q=1) [f](f.pdf)\n")
 
 
+def test_an_import_deals_its_pages_by_size(spark, monkeypatch):
+    seen = []
+    keep = html.settle
+    monkeypatch.setattr(html, "settle", lambda df: (seen.append(df.rdd.getNumPartitions()), keep(df))[1])
+    monkeypatch.setattr(html, "PAGE_CHARS", 100)
+    files = [(i, f"a/p{i}.html", f'<p><a href="p{(i + 1) % 30}.html#s">l{i}</a> {"x" * 170}</p>') for i in range(30)]
+    out = {r.new_path: r.content for r in html.import_pages(spark.createDataFrame(files, "ord long, path string, html string"), "now").collect()}
+    assert len(out) == 30 and all(f"[l{i}](p{(i + 1) % 30}.md#s)" in out[f"a/p{i}.md"] for i in range(30))
+    assert seen == [-(-sum(len(h) for _, _, h in files) // 100)]
+
+
 def test_notebooks(spark, tmp_path):
     text = """{"notebook_id":"n1","title":"Book: 1","source_count":2,"url":"u","notes":[{"id":"x","title":"A/B","content":"  l1\\\\nl2 conversation_id: 0123abcd-0000-1111-2222-333344445555"},
     {"id":"y","title":"A/B","content":""}],"artifacts":[{"id":"x","type":"mind_map","status":"completed"},{"id":"r1234567890","type":"report","status":"completed"},{"id":"q","type":"audio","status":"failed"}]}"""
