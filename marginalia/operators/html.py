@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 from ..functions import fixed
 from ..functions.paths import name_of, stem_of, suffix_of
 from ..functions.text import collapse, let, safe_filename, trim_all
-from .migrate import import_links
+from .migrate import import_links, settled_names
 from .settle import settle
 
 DROPPED = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>|<\?.*?\?>"
@@ -173,12 +173,13 @@ def _tables(rows: DataFrame, key: str) -> DataFrame:
                         F.lit(None).cast("int").alias("outer_list"), F.lit(None).cast("int").alias("outer_quote"))
 
 
-def markdown(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def markdown(pages: DataFrame, key: str = "page_id", parts: int | None = None) -> DataFrame:
     """(key, markdown) for every page, without the title line. A page's tokens are one window group; pages are rows.
 
-    Whole pages are dealt to tasks by ``page_parts``, so tokens are made where they are numbered and never shuffled.
+    Whole pages are dealt to ``parts`` tasks (``page_parts``), so tokens are made where they are numbered and never shuffled. What meets
+    their text is dealt alike, else a join moves the text to as few tasks as adaptive execution leaves.
     """
-    parts = page_parts(pages)
+    parts = parts or page_parts(pages)
     b = settle(blocks(pages.select(key, "html").repartition(parts, key), key)).repartition(parts, key)
     with_cells = b.withColumn("body", trim_all(_spacing(F.col("raw"))))
     body = F.when(F.col("in_pre"), trim_all(F.col("raw"))).otherwise(trim_all(_spacing(F.col("raw"))))
@@ -221,12 +222,14 @@ def markdown(pages: DataFrame, key: str = "page_id") -> DataFrame:
     joined = F.array_join(
         F.transform("x", lambda r, i: F.concat(F.when(i == 0, "").otherwise(gap(r, F.get("x", F.greatest(i - 1, F.lit(0))))), r["text"])), ""
     )
-    return pages.select(key).join(lists, key, "left").select(key, F.coalesce(joined, F.lit("")).alias("markdown"))
+    return pages.select(key).repartition(parts, key).join(lists, key, "left").select(key, F.coalesce(joined, F.lit("")).alias("markdown"))
 
 
-def convert_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, title, markdown) with the title line in front unless the body starts with it."""
-    both = markdown(pages, key).join(page_titles(pages, key), key)
+def convert_pages(pages: DataFrame, key: str = "page_id", parts: int | None = None) -> DataFrame:
+    """(key, title, markdown) with the title line in front unless the body starts with it. Dealt by ``key`` to ``parts`` tasks,
+    or as many as ``page_parts`` tells."""
+    parts = parts or page_parts(pages)
+    both = markdown(pages, key, parts).join(page_titles(pages, key).repartition(parts, key), key)
     head = F.concat(F.lit("# "), "title")
     full = F.when(F.col("markdown").startswith(head), F.col("markdown")).when(F.col("markdown") == "", head).otherwise(
         F.concat(head, F.lit("\n\n"), "markdown")
@@ -239,8 +242,6 @@ def convert_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 def path_map(files: DataFrame) -> DataFrame:
     """New path of every exported file: safe parts, ``.html`` becomes ``.md``. Equal results are numbered."""
-    from .migrate import conflict_free
-
     parts = F.transform(F.split("path", "/"), lambda p: safe_filename(p))
     safe = F.array_join(parts, "/")
     rows = files.select("ord", "path", F.explode(F.array(safe)).alias("safe"))
@@ -249,7 +250,7 @@ def path_map(files: DataFrame) -> DataFrame:
         "ord", "path", F.regexp_replace("safe", r"/?[^/]*$", "").alias("dir"), stem_of(name).alias("stem"),
         F.when(F.lower(suffix_of(name)) == ".html", ".md").otherwise(suffix_of(name)).alias("suffix"),
     )
-    return conflict_free(rows).select(
+    return settled_names(rows).select(
         "ord", F.col("path").alias("old_path"), F.when(F.col("dir") == "", F.col("name")).otherwise(F.concat_ws("/", "dir", "name")).alias("new_path")
     )
 
@@ -260,12 +261,11 @@ def import_pages(files: DataFrame, exported_at: str) -> DataFrame:
     ``files``: (ord, path, html).
     """
     mapped = path_map(files)
-    wanted = files.where(F.lower("path").endswith(".html") & ~name_of(F.col("path")).isin(*fixed.SKIPPED_IMPORT_PAGES))
-    notes = convert_pages(wanted.withColumn("page_id", F.col("ord")))
-    rows = wanted.select(F.col("ord").alias("page_id"), "path").join(notes, "page_id").join(
-        mapped.select(F.col("old_path").alias("path"), "new_path"), "path"
-    ).select("path", "new_path", F.col("markdown").alias("content"))
-    linked = import_links(rows, mapped)
+    wanted = files.where(F.lower("path").endswith(".html") & ~name_of(F.col("path")).isin(*fixed.SKIPPED_IMPORT_PAGES)).withColumnRenamed("ord", "page_id")
+    parts = page_parts(wanted)
+    named = mapped.select(F.col("ord").alias("page_id"), F.col("old_path").alias("path"), "new_path").repartition(parts, "page_id")
+    rows = convert_pages(wanted, parts=parts).join(named, "page_id").select("page_id", "path", "new_path", F.col("markdown").alias("content"))
+    linked = import_links(rows, mapped, "page_id", parts)
     head = F.concat(
         F.lit('---\nimported_from: "html-export"\nsource_html: '), F.substring(F.to_json(F.array("path")), F.lit(2), F.length(F.to_json(F.array("path"))) - 2),
         F.lit(f'\nexported_at: "{exported_at}"\n---\n'),

@@ -71,6 +71,11 @@ def conflict_free(rows: DataFrame, existing: DataFrame | None = None, sep: str =
     return joined.withColumn("name", F.concat("stem", label, "suffix")).drop("copy", "blocked")
 
 
+def settled_names(rows: DataFrame) -> DataFrame:
+    """``conflict_free`` computed once, for plans that look the names up more than once."""
+    return settle(conflict_free(rows))
+
+
 def safe_names(rows: DataFrame) -> DataFrame:
     """W4 from raw titles: (dir, title, suffix, ord) -> name."""
     return conflict_free(rows.withColumn("stem", safe_filename(F.col("title"))))
@@ -202,10 +207,8 @@ def _link_rows(files: DataFrame, pattern: str) -> DataFrame:
     )
 
 
-def _rebuild(files: DataFrame, pattern: str, replaced: DataFrame) -> DataFrame:
-    """Put new targets into their places. ``replaced``: (path, n, target), only of files with a changed link."""
-    lists = replaced.groupBy("path").agg(F.collect_list(F.struct("n", "target")).alias("new"))
-    joined = files.join(lists, "path")
+def _with_targets(pattern: str) -> Column:
+    """``content`` with the targets of ``new`` (n, target) in their places."""
     pieces = F.split("content", pattern, -1)
     hits = F.arrays_zip(*[F.regexp_extract_all("content", F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in (1, 2, 3)])
 
@@ -213,11 +216,16 @@ def _rebuild(files: DataFrame, pattern: str, replaced: DataFrame) -> DataFrame:
         by_n = F.map_from_entries(new)
         return F.transform(hits, lambda h, i: F.concat(h["g1"], F.coalesce(F.try_element_at(by_n, i), h["g2"]), h["g3"]))
 
-    text = let(
+    return let(
         F.struct(pieces.alias("p"), put(F.col("new")).alias("h")),
         lambda x: F.array_join(F.transform(x["p"], lambda p, i: F.concat(p, F.coalesce(F.get(x["h"], i), F.lit("")))), ""),
     )
-    return joined.select(*[c for c in files.columns if c != "content"], text.alias("content"))
+
+
+def _rebuild(files: DataFrame, pattern: str, replaced: DataFrame) -> DataFrame:
+    """Put new targets into their places. ``replaced``: (path, n, target), only of files with a changed link."""
+    lists = replaced.groupBy("path").agg(F.collect_list(F.struct("n", "target")).alias("new"))
+    return files.join(lists, "path").select(*[c for c in files.columns if c != "content"], _with_targets(pattern).alias("content"))
 
 
 def rewrite_links(files: DataFrame, path_map: DataFrame, html: bool = False) -> DataFrame:
@@ -247,28 +255,35 @@ def rewrite_links(files: DataFrame, path_map: DataFrame, html: bool = False) ->
     return _rebuild(texts, pattern, changed).join(moved, "path").select("path", "new_path", "content")
 
 
-def import_links(pages: DataFrame, path_map: DataFrame) -> DataFrame:
+def import_links(pages: DataFrame, path_map: DataFrame, key: str, parts: int) -> DataFrame:
     """J9 for imported pages: targets may lack ``.html`` or start at the root; query and fragment stay.
 
-    ``pages``: (path = old path, new_path, content); returns every page with its rewritten content.
+    ``pages``: (key, path = old path, new_path, content), dealt to ``parts`` tasks by ``key``; returns every page with its rewritten
+    content. Texts are computed once and stay in their tasks: links leave them as short rows and come back as one list a page.
     """
     pattern = MARKDOWN_LINK
-    links = _link_rows(pages, pattern).where(~F.col("raw").rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//|#)"))
+    pages = settle(pages)
+    links = pages.where(F.col("content").rlike(pattern)).select(
+        key, "path", "new_path", F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(2))).alias("n", "raw")
+    ).where(~F.col("raw").rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//|#)"))
     bare = F.regexp_extract("raw", r"^[^?#]*", 0)
     rest = F.substring("raw", F.length(bare) + 1, F.length("raw"))
     rooted = decode_link(bare)
     at = F.when(rooted.startswith("/"), F.regexp_replace(rooted, "^/+", "")).otherwise(resolve(dir_of(F.col("path")), rooted))
-    links = links.select("path", "n", rest.alias("rest"), at.alias("at"))
-    variants = F.array(F.struct(F.lit(0).alias("v"), F.col("at").alias("old_path")), F.struct(F.lit(1).alias("v"), F.concat("at", F.lit(".html")).alias("old_path")))
-    plain = suffix_of(name_of(F.col("at"))) == ""
-    offered = links.select("at").distinct().select("at", F.explode(F.when(plain, variants).otherwise(F.slice(variants, 1, 1))).alias("o")).select("at", "o.*")
-    places = offered.join(path_map.select("old_path", F.col("new_path").alias("target_path")), "old_path").groupBy("at").agg(F.min_by("target_path", "v").alias("target_path"))
-    new_dir = pages.select("path", dir_of(F.col("new_path")).alias("new_dir"))
-    placed = links.join(places, "at").join(new_dir, "path")
+    links = links.select(key, "n", dir_of(F.col("new_path")).alias("new_dir"), rest.alias("rest"), at.alias("at"))
+    # a file answers to its path, and a page also to its path without .html where no other suffix is left
+    bald = F.regexp_replace("old_path", r"\.html$", "")
+    plain = F.col("old_path").endswith(".html") & (suffix_of(name_of(bald)) == "")
+    answers = F.array(F.struct(F.lit(0).alias("v"), F.col("old_path").alias("at")), F.struct(F.lit(1).alias("v"), bald.alias("at")))
+    places = path_map.select(F.col("new_path").alias("target_path"), F.explode(F.when(plain, answers).otherwise(F.slice(answers, 1, 1))).alias("o")).select(
+        "target_path", "o.*"
+    ).groupBy("at").agg(F.min_by("target_path", "v").alias("target_path"))
     target = F.concat(encode_link(relative(F.col("target_path"), F.col("new_dir"))), "rest")
-    rebuilt = _rebuild(pages, pattern, placed.select("path", "n", target.alias("target")))
-    untouched = pages.join(placed.select("path").distinct(), "path", "left_anti")
-    return rebuilt.unionByName(untouched)
+    lists = links.join(places, "at").select(key, "n", target.alias("target")).repartition(parts, key).groupBy(key).agg(
+        F.collect_list(F.struct("n", "target")).alias("new")
+    )
+    text = F.when(F.col("new").isNull(), F.col("content")).otherwise(_with_targets(pattern))
+    return pages.repartition(parts, key).join(lists, key, "left").select("path", "new_path", text.alias("content"))
 
 
 # ---------------------------------------------------------------------------------------------------- hash cleaning

@@ -118,10 +118,11 @@ def c14(spark, sf):
     path = F.concat("path", F.lit("-"), "page_id", F.lit(".html"))
     named = p.select(F.col("page_id").alias("ord"), path.alias("path"), "html")
     after = named.select((F.col("ord") - 1).alias("ord"), F.col("path").alias("next"))
-    linked = named.join(after, "ord", "left").select(
+    parts = html.page_parts(p)
+    linked = named.repartition(parts, "ord").join(after.repartition(parts, "ord"), "ord", "left").select(
         "ord", "path", F.concat("html", F.coalesce(F.concat(F.lit('<p><a href="/'), F.regexp_replace("next", r"\.html$", ""), F.lit('?q=1#top">next</a></p>')), F.lit(""))).alias("html")
     )
-    return plain(html.import_pages(linked, "2024-01-01T00:00:00+00:00"))
+    return plain(html.import_pages(settle(linked), "2024-01-01T00:00:00+00:00"))
 
 
 # ------------------------------------------------------------------------------------------------------------ suggest

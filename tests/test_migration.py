@@ -141,6 +141,32 @@ def test_an_import_deals_its_pages_by_size(spark, monkeypatch):
     assert seen == [-(-sum(len(h) for _, _, h in files) // 100)]
 
 
+def test_an_import_joins_its_texts_by_size(spark, monkeypatch):
+    """Texts that meet titles, paths and links are dealt as the pages are, once; only the path map and the texts are written on the way."""
+    seen = []
+    keep = migrate.settle
+    monkeypatch.setattr(migrate, "settle", lambda df: (seen.append(("content" in df.columns, df.rdd.getNumPartitions())), keep(df))[1])
+    monkeypatch.setattr(html, "PAGE_CHARS", 100)
+    files = [(i, f"a/p{i}.html", f'<p><a href="p{(i + 1) % 30}.html#s">l{i}</a> {"x" * 170}</p>') for i in range(30)]
+    done = html.import_pages(spark.createDataFrame(files, "ord long, path string, html string"), "now")
+    parts = -(-sum(len(h) for _, _, h in files) // 100)
+    assert [n for text, n in seen if text] == [parts] and len(seen) == 2
+    assert done.rdd.getNumPartitions() == parts and done.count() == 30
+
+
+def test_import_targets(spark):
+    """A target is a file's path, else the page that has it plus .html; the shorter name wins where both are there."""
+    asked = ["x", "x.html", "v1.2", "v1.2.html", "/b/y", "/b/y?q#f", "gone", "f.pdf", "f", ".html", "https://h/x", "#s", "b/y.html", "x.HTML", "b", "z%20z", ""]
+    page = "".join(f'<p><a href="{a}">t{i}</a></p>' for i, a in enumerate(asked))
+    names = ["p.html", "x", "x.html", "v1.2.html", "b/y.html", "f.pdf", "z z.html", "b.html", "q.HTML"]
+    files = [(i, n, page if n in ("p.html", "b/y.html") else "<p>none</p>") for i, n in enumerate(names)]
+    out = {r.old_path: r.content for r in html.import_pages(spark.createDataFrame(files, "ord long, path string, html string"), "now").collect()}
+    want = ["x", "x.md", "v1.2", "v1.2.md", "b/y.md", "b/y.md?q#f", "gone", "f.pdf", "f", ".html", "https://h/x", "#s", "b/y.md", "x.HTML", "b.md", "z%20z.md"]
+    assert [line for line in out["p.html"].split("\n") if "](" in line] == [f"[t{i}]({w})" for i, w in enumerate(want)]
+    assert "[t4](y.md)" in out["b/y.html"] and "[t0](x)" in out["b/y.html"] and "[t12](b/y.html)" in out["b/y.html"]
+    assert set(out) == {n for n in names if n.lower().endswith(".html")} and out["x.html"].endswith("# x\n\nnone\n")
+
+
 def test_notebooks(spark, tmp_path):
     text = """{"notebook_id":"n1","title":"Book: 1","source_count":2,"url":"u","notes":[{"id":"x","title":"A/B","content":"  l1\\\\nl2 conversation_id: 0123abcd-0000-1111-2222-333344445555"},
     {"id":"y","title":"A/B","content":""}],"artifacts":[{"id":"x","type":"mind_map","status":"completed"},{"id":"r1234567890","type":"report","status":"completed"},{"id":"q","type":"audio","status":"failed"}]}"""
