@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import let, trim_all
 from .settle import settle
-from .skew import top_k
-from .vectors import build_index, search
+from .skew import fits, top_k
+from .vectors import build_index, lists
 
 RESULTS = 20
+COPIED = 10_000  # vectors with copies that every task may hold
 
 
 def comparable(vectors: DataFrame) -> DataFrame:
@@ -25,8 +26,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = RESULTS, exclude_fo
     """The ``k`` vectors most similar (cosine) to every query: (query_id, rank, vec_id, score).
 
     ``vectors``: vec_id, embedding, optional path and heading; ``queries``: query_id, embedding, optional own_id to leave out. Any number of
-    queries: equal vectors and equal queries are searched once, by ``vectors.search``, with one more than ``k`` as a query may leave itself out. A vector
-    that is null, zero or not finite takes no part; a query meets the vectors of its own length.
+    queries: equal vectors and equal queries are searched once, by ``vectors.lists``, with one more than ``k`` as a query may leave itself out. A vector
+    that is null, zero or not finite takes no part, nor does one without a vec_id; a query meets the vectors of its own length.
     """
     rows = vectors
     if "path" in vectors.columns:
@@ -36,23 +37,42 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = RESULTS, exclude_fo
         rows = rows.where(F.col("heading").isNull() | ~F.col("heading").isin(*fixed.SEMANTIC_EXCLUDED_HEADINGS))
     own = F.col("own_id") if "own_id" in queries.columns else F.lit(None)
     plain = lambda df: df.withColumn("embedding", F.col("embedding").cast("array<float>"))
-    rows = comparable(plain(rows.select("vec_id", "embedding")))
-    asked = settle(comparable(plain(queries.select(F.col("query_id").cast("string").alias("query_id"), own.cast("bigint").alias("own_id"), "embedding"))))
+    rows = comparable(plain(rows.select("vec_id", "embedding").where("vec_id IS NOT NULL")))
+    asked = comparable(plain(queries.select(F.col("query_id").cast("string").alias("query_id"), own.cast("bigint").alias("own_id"), "embedding")))
+    asked = settle(asked.withColumn("row", F.monotonically_increasing_id()))
     # of equal vectors only the k + 1 smallest ids can be in a list
-    copies = settle(top_k(rows, ["embedding"], [F.asc("vec_id")], k + 1, "_copy"))
-    distinct = settle(copies.where("_copy = 1").select(F.col("vec_id").alias("id"), "embedding"))
-    once = settle(asked.select("embedding").distinct().withColumn("id", F.monotonically_increasing_id()))
+    equal = Window.partitionBy("embedding").orderBy("vec_id")
+    numbered = rows.withColumn("id", F.first("vec_id").over(equal.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    copies = settle(numbered.withColumn("_copy", F.row_number().over(equal)).where(F.col("_copy") <= k + 1))
+    distinct = copies.where("_copy = 1").select("id", "embedding")
+    once = settle(asked.groupBy("embedding").agg(F.min("row").alias("id")))
     found = None
     for (size,) in distinct.select(F.size("embedding")).distinct().collect():  # lengths are few
         index = build_index(distinct.where(F.size("embedding") == size), k + 1)
-        part = search(index, once.where(F.size("embedding") == size), k + 1)
+        part = lists(index, once.where(F.size("embedding") == size), k + 1)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return asked.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
-    sets = copies.select("vec_id", "embedding").join(distinct, "embedding").select(F.col("id"), "vec_id")
-    listed = found.drop("rank").join(sets, "id").join(once.select(F.col("id").alias("query"), "embedding"), "query")
-    hits = asked.join(listed.select("embedding", "vec_id", "score"), "embedding").where("own_id IS NULL OR own_id <> vec_id")
-    return top_k(hits.select("query_id", "vec_id", "score"), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    # vectors and texts of queries are in no row of a hit: a query's list stays one value until it lies at its query_id
+    more = copies.where("_copy > 1").groupBy("id").agg(F.collect_list("vec_id").alias("more"))  # k at most
+    requests = asked.join(once, "embedding").select("query_id", "own_id", F.col("id").alias("query"))
+    listed = requests.join(_with_copies(found, more, k), "query").select("query_id", F.slice(F.filter("hits", lambda h: F.col("own_id").isNull() | (F.col("own_id") != h["vec_id"])), 1, k).alias("hits"))
+    hits = listed.repartition("query_id").select("query_id", F.explode("hits").alias("hit"))
+    return top_k(hits.select("query_id", "hit.vec_id", (-F.col("hit.less")).alias("score")), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+
+
+def _with_copies(found: DataFrame, more: DataFrame, k: int) -> DataFrame:
+    """Lists (query, ids, scores) with the further copies (id, more) of their vectors: (query, hits), a hit being its negative score and a vec_id, best first. Of a list
+    that names no vec_id twice ``k + 1`` hits stay, as its query may leave one out."""
+    if more.isEmpty():
+        return found.select("query", F.transform(F.arrays_zip("ids", "scores"), lambda h: F.struct((-h["scores"]).alias("less"), h["ids"].alias("vec_id"))).alias("hits"))
+    each = found.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("hit")).select("query", F.col("hit.ids").alias("id"), (-F.col("hit.scores")).alias("less"))
+    each = each.join(F.broadcast(more) if fits(more, COPIED) else more, "id", "left")
+    equal = F.concat(F.array("id"), F.coalesce("more", F.array().cast("array<bigint>")))
+    whole = each.groupBy("query").agg(F.collect_list(F.transform(equal, lambda x: F.struct(F.col("less"), x.alias("vec_id")))).alias("hits"))
+    whole = whole.select("query", F.array_sort(F.flatten("hits")).alias("hits"))
+    once = F.size(F.array_distinct("hits.vec_id")) == F.size("hits")
+    return whole.select("query", F.when(once, F.slice("hits", 1, k + 1)).otherwise(F.col("hits")).alias("hits"))
 
 
 def _text(v: Column, *names: str) -> Column:

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import graph, mentions, notes as N, refs, suggest, tags, vectors
+from marginalia.operators import graph, mentions, notes as N, refs, semantic, suggest, tags, vectors
 from marginalia.sinks import notes as sinks
 from marginalia.sources import vault, walk
 
@@ -79,6 +79,57 @@ def test_nearest_hands_workers_few_blocks(spark, monkeypatch):
     assert int(seen[-1]) <= 16 and spark.conf.get(name) == before
 
 
+def _shuffled(spark) -> dict[str, int]:
+    """Shuffle files of the session and their bytes."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName(): files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_nearest_writes_no_pairs_to_disk(spark):
+    """Of vectors without clusters every query needs every cluster; what is written stays a small multiple of the vectors, also where no table is broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    threshold = spark.conf.get(name)
+    m = np.random.default_rng(4).normal(size=(3000, 16)).astype("float32")
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(m)], "id long, embedding array<float>")
+    got = {}
+    spark.conf.set(name, "-1")
+    try:
+        index, before = vectors.build_index(df, 5), _shuffled(spark)
+        for r in vectors.search(index, df, 5).collect():
+            got.setdefault(r["query"], []).append((r["rank"], r["id"]))
+    finally:
+        spark.conf.set(name, threshold)
+    assert sum(size for name, size in _shuffled(spark).items() if name not in before) < 10 * m.nbytes
+    unit = m.astype("float64") / np.linalg.norm(m.astype("float64"), axis=1, keepdims=True)
+    best = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :5]
+    assert all([j for _, j in sorted(got[i])] == list(best[i]) for i in range(3000))
+
+
+def test_nearest_in_many_parts(spark, monkeypatch):
+    """Lists of several parts are put together; rows that come twice, multiples of a vector, copies and a row without id are among them, and a large cluster."""
+    for name, value in (("BLOCK", 40), ("PART_BYTES", 4000), ("CELLS", 100), ("HITS", 50)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(260, 8)).astype("float32")
+    m[200:] = m[200] + 0.01 * m[200:]
+    m = [tuple(float(x) for x in row) for row in m]
+    rows = [(i, x) for i, x in enumerate(m)] + [(i, m[i]) for i in range(20)] + [(300 + i, tuple(2 * x for x in m[i])) for i in range(30)] + [(400 + i, m[30 + i % 2]) for i in range(12)]
+    v = spark.createDataFrame([*rows, (None, m[0])], "vec_id long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame(rows, "own_id long, embedding array<float>").select(F.col("own_id").alias("query_id"), "own_id", "embedding")
+    asked = asked.unionByName(spark.createDataFrame([(1000, None, m[0])], "query_id long, own_id long, embedding array<float>"))
+    got = {}
+    for r in semantic.nearest(v, asked, k=4).collect():
+        got.setdefault(int(r.query_id), []).append((r.rank, r.vec_id, round(r.score, 9)))
+    unit = {x: np.array(x) / np.linalg.norm(x) for _, x in rows}
+    want = {}
+    for q, own, x in [*((i, i, x) for i, x in rows), (1000, None, m[0])]:
+        want.setdefault(q, []).extend((-round(float(unit[x] @ unit[y]), 9), j) for j, y in rows if j != own)
+    for q, found in want.items():
+        best = sorted(found)[:4]
+        assert [(n, -s) for _, n, s in sorted(got[q])] == [(j, s) for s, j in best]
+    assert set(got) == set(want)
+
+
 def test_title_terms_of_a_note_without_text(spark, notes):
     n = notes(("marble lantern.md", None), ("b.md", "copper\n"))
     found = {(r.path, r.source, r.term) for r in suggest.term_table(n).collect()}
